@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import content_sort, fair_mix, robust_outliers
+from heddle.llm import backoff_langid, content_sort, fair_mix, group_pack, robust_outliers, toxic_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,26 @@ def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.taken(_table(spark, sf_dir, "documents"))
 
 
+def op4_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return backoff_langid.identify(docs, backoff_langid.learn(docs))
+
+
+def op5_toxic_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxic_trees.learn(docs, _table(spark, sf_dir, "labels")).score(docs)
+
+
+def op6_group_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return robust_outliers.judge(docs).drop("lang", "source", "d2")
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_fair_mix, op8_robust_outliers)}
+QUERIES = {f.__name__: f for f in (op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op8_robust_outliers)}
 
 ORACLES = {
     "op2_content_sort": r"""
