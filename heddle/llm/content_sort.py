@@ -3,7 +3,9 @@
 Normalised bytes are range-partitioned by sampled splitters and sorted outside memory, so equal texts stand next to each
 other; each row is compared in full with its neighbour. The identifier is the last part of the sort key, so a group of
 copies of any size is split over as many partitions as its rows need, and the pieces are joined again at the partition
-borders, of which there are two a partition.
+borders, of which there are two a partition. The sampled splitters are whole rows of the sort key's short columns: a prefix
+of the bytes, two hashes of them, and the identifier. The bytes themselves come last in the order of a partition, so long
+texts never travel to the driver as splitters.
 
 Null or missing text counts as empty; a null identifier sorts last, so it is kept only if the whole group has none.
 Repeated rows are rows like any other: one of them stays. An empty table gives an empty result. Other columns are ignored.
@@ -22,6 +24,8 @@ from pyspark.sql import window as W
 
 from heddle.llm.common import BLANKS, stored, text_or_empty
 
+#: Bytes of a text that take part in a splitter.
+PREFIX = 32
 #: Rows that a task gathers before it hands them on.
 ROWS_OUT = 20_000
 
@@ -73,10 +77,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256."""
     keyed = docs.select(F.col(id_col).alias("id"), F.encode(F.regexp_replace(text_or_empty(text_col), BLANKS, " "), "UTF-8").alias("body"))
-    order = [F.col("body"), F.col("id").asc_nulls_last()]
+    keyed = keyed.select("*", F.substring("body", 1, PREFIX).alias("prefix"), F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(1)).alias("h2"))
+    last = F.col("id").asc_nulls_last()
     kind = keyed.schema["id"].dataType.simpleString()
     shape = f"id {kind}, sha string, head {kind}, lead boolean, local long, part int, run long, border binary"
-    rows = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, shape), "content-sort")
+    rows = stored(keyed.repartitionByRange("prefix", "h1", "h2", last).sortWithinPartitions("prefix", "h1", "h2", "body", last).select("id", "body").mapInArrow(_runs, shape), "content-sort")
 
     border = rows.filter(F.col("border").isNotNull())
     thin = border.select("part", "run", "sha", "head", "local")
