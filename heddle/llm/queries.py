@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import backoff_langid, content_sort, fair_mix, group_pack, robust_outliers, toxic_trees
+from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, paragraph_bands, robust_outliers, toxic_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,15 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.judge(docs).drop("lang", "source", "d2")
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op8_robust_outliers)}
+def op9_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_bands.repeated(_table(spark, sf_dir, "documents"))
+
+
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op8_robust_outliers, op9_paragraph_bands, op10_bbit_minhash)}
 
 ORACLES = {
     "op2_content_sort": r"""
@@ -74,4 +82,39 @@ ORACLES = {
                (least(p.size, greatest(0, floor(g.target) - (p.upto - p.size)))
                 + least(p.size, greatest(0, floor(g.target) - (g.source_size + p.upto - p.size))))::BIGINT AS taken
         FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source""",
+    "op10_bbit_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents),
+        shingled AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+            FROM words),
+        one AS (SELECT doc_id, unnest(s) AS g FROM shingled),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM pairs JOIN shingled a ON a.doc_id = x JOIN shingled b ON b.doc_id = y
+            WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+        either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT x, y FROM either UNION SELECT r.x, e.y FROM reach r JOIN either e ON r.y = e.x)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id,
+               s.doc_id = least(s.doc_id, coalesce(m.y, s.doc_id)) AS kept
+        FROM shingled s LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = s.doc_id""",
+    "op9_paragraph_bands": r"""
+        WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS paragraph FROM documents),
+        words AS (
+            SELECT doc_id * 100000 + paragraph AS id, [x FOR x IN regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM lines),
+        shingled AS (SELECT id, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM words WHERE len(w) >= 20),
+        one AS (SELECT id, unnest(s) AS g FROM shingled),
+        pairs AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM pairs JOIN shingled a ON a.id = x JOIN shingled b ON b.id = y
+            WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+        either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT x, y FROM either UNION SELECT r.x, e.y FROM reach r JOIN either e ON r.y = e.x),
+        least_ AS (SELECT x AS id, least(x, min(y)) AS keep FROM reach GROUP BY x)
+        SELECT id // 100000 AS doc_id, (id % 100000)::INTEGER AS paragraph, len(s)::BIGINT AS n_shingles, keep // 100000 AS keep_doc_id, (keep % 100000)::INTEGER AS keep_paragraph,
+               count(*) OVER (PARTITION BY keep) AS members, id = keep AS kept
+        FROM least_ JOIN shingled USING (id)""",
 }
