@@ -27,7 +27,9 @@ SUBSET, STEPS = 0.5, 5
 #: Rows below which a group borrows the estimate of the next larger one.
 LEAST_ROWS = 200
 #: Least standard deviation of each statistic, in its transformed unit: keeps a constant statistic from rejecting rounding.
-FLOOR = (0.5, 0.12, 0.35, 0.35, 0.35)
+FLOOR = (0.5, 0.12, 0.2, 0.2, 0.2)
+#: Rates per thousand words of symbols, repeated lines and repeated words below which a text looks like one without any.
+USUAL = {"n_symbols": 50.0, "n_dup_lines": 20.0, "n_repeat_words": 50.0}
 #: The 0.5 and the 1 - 1e-9 quantile of the chi-square distribution with five degrees of freedom.
 MEDIAN_CHI2, REJECT_CHI2 = 4.3515, 52.62
 P = len(FLOOR)
@@ -58,9 +60,9 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def transformed() -> list[Column]:
-    """The statistics as near-symmetric numbers: lengths by logarithm, rates by the logarithm of their count per thousand words."""
+    """The statistics as near-symmetric numbers: lengths by logarithm, rates per thousand words by logarithm from the usual rate on."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *[F.log1p(1000 * F.col(c) / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]]
+    return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *[F.log1p(1000 / rate * F.col(c) / n) for c, rate in USUAL.items()]]
 
 
 def _total(columns: list[Column]) -> Column:
