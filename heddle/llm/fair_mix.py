@@ -91,6 +91,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     """
     entries = mix(stored(queue(docs, id_col, text_col=text_col, **how), "mix-queue"))
     entries = entries.select(F.col("doc").alias("_doc"), F.col("size").alias("_size"), F.col("words").alias("_words"))
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_words"), F.lit("}"))
-    cut = F.when(F.col("_words") < F.col("_size"), F.regexp_extract(text_col, head, 0)).otherwise(F.col(text_col))
+    head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
+    cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text_col))
     return docs.join(entries, docs[id_col] == entries["_doc"]).withColumn(text_col, cut).select(docs.columns)
