@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, paragraph_bands, robust_outliers, toxic_trees
+from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, paragraph_bands, robust_outliers, suffix_groups, toxic_trees, warc_derive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Capture date of the pages, which do not carry one.
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
+def op1_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc_derive.derive(warc_derive.responses(_table(spark, sf_dir, "pages"), CAPTURED), keep=("page_id",))
+    return made.withColumn("block", made["block"].cast("string"))
+
+
 def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,10 @@ def op6_group_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.digests(suffix_groups.cut(_table(spark, sf_dir, "documents")))
+
+
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return robust_outliers.judge(docs).drop("lang", "source", "d2")
@@ -47,9 +60,46 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op8_robust_outliers, op9_paragraph_bands, op10_bbit_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc_derive, op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op7_suffix_groups, op8_robust_outliers, op9_paragraph_bands, op10_bbit_minhash)}
+
+_UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
+_STRIPPED = "html"
+for _pattern, _to in (
+    (r"(?s)<!--.*?-->", "' '"),
+    *[(rf"(?is)<{_x}(?:[ \t\r\n/][^>]*)?>.*?</{_x}[ \t\r\n]*>", "' '") for _x in warc_derive.SILENT],
+    (rf"(?i)</?(?:{warc_derive.LINES})(?:[ \t\r\n/][^>]*)?>", "chr(10)"),
+    (r"<[a-zA-Z/!?][^>]*>", "''"),
+):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', {_to}, 'g')"
+for _entity, _char in warc_derive.ENTITIES.items():
+    _quoted = _char.replace("'", "''")
+    _STRIPPED = f"replace({_STRIPPED}, '{_entity}', '{_quoted}')"
+for _pattern, _to in ((r"[ \t\r]+", "' '"), (r" ?\n[ \n]*", "chr(10)"), (r"^[ \n]+|[ \n]+$", "''")):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', {_to}, 'g')"
 
 ORACLES = {
+    "op1_warc_derive": rf"""
+        WITH named AS (SELECT page_id, url, coalesce(html, '') AS html, md5(concat_ws(' ', 'response', page_id::VARCHAR, url)) AS h FROM pages),
+        source AS (
+            SELECT page_id, url, html, {_UUID} AS refers_to, 'sha256:' || sha256(html) AS source_digest,
+                   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS source_headers
+            FROM named),
+        meta AS (SELECT page_id, {_UUID} AS meta_id FROM (SELECT page_id, md5('metadata ' || refers_to) AS h FROM source)),
+        conv AS (SELECT page_id, {_UUID} AS text_id FROM (SELECT page_id, md5('conversion ' || refers_to) AS h FROM source)),
+        all_ AS (
+            SELECT *, {_STRIPPED} AS body,
+                   concat('http-status: 200', chr(13), chr(10), 'http-content-type: text/html; charset=utf-8', chr(13), chr(10), 'source-payload-digest: ', source_digest, chr(13), chr(10),
+                          'title: ', trim(regexp_extract(html, '(?is)<title(?:[ \t\r\n][^>]*)?>([^<]*)', 1), ' '), chr(13), chr(10),
+                          'language: ', regexp_extract(html, '(?i)<html[^>]*[ \t\r\n]lang=["'']?([a-zA-Z-]+)', 1), chr(13), chr(10),
+                          'outlinks: ', len(regexp_extract_all(html, '(?i)<a[ \t\r\n][^>]*href=')), chr(13), chr(10), 'conversion-record-id: ', text_id, chr(13), chr(10)) AS facts
+            FROM source JOIN meta USING (page_id) JOIN conv USING (page_id)),
+        both_ AS (
+            SELECT page_id, meta_id AS record_id, 'metadata' AS warc_type, url, 'application/warc-fields' AS content_type, facts AS block, refers_to, text_id AS concurrent_to, source_headers, source_digest FROM all_
+            UNION ALL
+            SELECT page_id, text_id, 'conversion', url, 'text/plain; charset=utf-8', body, refers_to, meta_id, source_headers, source_digest FROM all_)
+        SELECT page_id, record_id, warc_type, url AS target_uri, '{CAPTURED}' AS date, content_type, block, refers_to, url AS refers_to_uri, '{CAPTURED}' AS refers_to_date,
+               concurrent_to, source_headers, source_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length
+        FROM both_""",
     "op2_content_sort": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
