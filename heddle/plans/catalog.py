@@ -2,5 +2,257 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.functions.vectors import cosine, nearest
+from heddle.operators import graph, memory, retrieval, service
+from heddle.sources.tables import EDGES, VERTICES, edges, table, vertices
+from heddle.streaming import metrics
+
+#: Words that the keyword queries look for, and the vertex that the graph queries start from.
+WORDS = ["the", "und", "que"]
+START = "Nation:7"
+BUDGET, TOP = 4_000, 50
+BUCKETS = [1.0, 5.0, 10.0, 50.0, 100.0]
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COSINE = "coalesce(round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6), 0)"
+_TERMS = "[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+') IF length(x) >= 3]"
+_HITS = " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in WORDS)
+_BM25 = f"""
+    t AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+    c AS (SELECT doc_id, len(w) AS n, {", ".join(f"len([x FOR x IN w IF x = '{w}']) AS f{i}" for i, w in enumerate(WORDS))} FROM t),
+    s AS (SELECT count(*) AS docs, avg(n) AS mean, {", ".join(f"sum((f{i} > 0)::INT) AS d{i}" for i in range(len(WORDS)))} FROM c),
+    bm25 AS (
+        SELECT doc_id, round({" + ".join(f"ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(WORDS)))}, 6) AS score
+        FROM c, s WHERE {" OR ".join(f"f{i} > 0" for i in range(len(WORDS)))})"""
+_VERTICES = " UNION ALL ".join(f"SELECT '{label}:' || {key} AS id, '{label}' AS label, {name} AS name FROM {t}" for label, t, key, name in VERTICES)
+_EDGES = " UNION ".join(f"SELECT '{a}:' || {ak} AS src, '{b}:' || {bk} AS dst, '{kind}' AS type FROM {t} WHERE {ak} IS NOT NULL AND {bk} IS NOT NULL" for kind, t, a, ak, b, bk in EDGES)
+_GRAPH = f"v AS ({_VERTICES}), e AS ({_EDGES}), b AS (SELECT src AS id, dst AS other, type, 'out' AS direction FROM e UNION ALL SELECT dst, src, type, 'in' FROM e)"
+_NEAREST = f"""
+    near AS (
+        SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE.format(a="a.embedding", b="b.embedding")} AS score
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM near QUALIFY rank <= 10")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose identifier is divisible by 50."""
+    v = table(spark, d, "embeddings")
+    return nearest(v.filter("vec_id % 50 = 0"), v, 10)
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, max(score) AS score, max(score) < 0.4 AS novel FROM near GROUP BY query_id")
+def novelty_vs_existing(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return memory.novelty(v.filter("vec_id % 50 = 0"), v, 0.4)
+
+
+@query(f"SELECT doc_id, ({_HITS}) / 3.0::DOUBLE AS score FROM documents WHERE ({_HITS}) > 0")
+def keyword_contains(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.contains(table(spark, d, "documents"), WORDS).select("doc_id", "score")
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM bm25")
+def keyword_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), WORDS)
+
+
+_HYBRID = f"""
+    WITH {_BM25},
+    q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+    every AS (
+        SELECT doc_id AS id, {_COSINE.format(a="embedding", b="q")} AS score, 'vector' AS source, 0 AS ord FROM q, embeddings JOIN documents ON vec_id = doc_id
+        UNION ALL SELECT doc_id, round(score / 10, 6), 'keyword', 1 FROM bm25),
+    best AS (SELECT id, score, source FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1),
+    head AS (
+        SELECT id, score, best.source AS source, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS tokens FROM best JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT {TOP}),
+    sums AS (SELECT id, source, score, tokens, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank, (sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM head)
+    SELECT * FROM sums WHERE running <= {BUDGET}"""
+
+
+@query(_HYBRID)
+def hybrid_union_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and keyword channels for one question, the best score of each document, cut at a token budget."""
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    near = v.join(F.broadcast(ask)).select(F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), 6).alias("score"), F.lit("vector").alias("source"))
+    near = near.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    words = retrieval.bm25(docs, WORDS).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
+    best = retrieval.best_of([near, words])
+    head = best.orderBy(F.desc("score"), "id").limit(TOP)
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(head), "id")
+    return retrieval.within_budget(texts, BUDGET, top=TOP).select("id", "source", "score", "tokens", "rank", "running")
+
+
+@query(r"""
+    WITH k AS (SELECT doc_id, substring(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), ' '), 1, 200) AS key FROM documents)
+    SELECT min(doc_id) AS doc_id, count(*) AS members, length(key)::INTEGER AS width FROM k GROUP BY key""")
+def evidence_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.evidence(table(spark, d, "documents"))
+
+
+@query("""SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY page_id) = 1""")
+def url_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of each host."""
+    return retrieval.first_by(table(spark, d, "pages").select("page_id", "url"), F.regexp_extract("url", r"^https?://([^/]+)", 1), ["page_id"])
+
+
+@query("""
+    WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+    w AS (SELECT conv_id, turn, unnest(range(greatest(0, floor((i - 5) / 3.0)::INT + 1), floor(i / 3.0)::INT + 1)) AS "window" FROM n)
+    SELECT conv_id, "window"::INTEGER AS "window", min(turn) AS first, max(turn) AS last, count(*) AS n FROM w GROUP BY ALL""")
+def sliding_window(spark: SparkSession, d: str) -> DataFrame:
+    return memory.sliding_windows(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+_MARKED = f"""
+    s AS (SELECT label, vec_id, {_COSINE.format(a="embedding", b="p")} AS x, p FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)),
+    y AS (SELECT label, vec_id, CASE WHEN p IS NOT NULL THEN x END AS similarity FROM s),
+    z AS (SELECT *, coalesce(similarity < 0, false) AS low, coalesce(similarity < lag(similarity) OVER w AND similarity < lead(similarity) OVER w, false) AS least_ FROM y WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    marked AS (SELECT label, vec_id, similarity, CASE WHEN bool_or(low AND least_) OVER (PARTITION BY label) THEN low AND least_ ELSE low END AS boundary FROM z)"""
+
+
+@query(f"WITH {_MARKED} SELECT * FROM marked")
+def topic_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return memory.boundaries(table(spark, d, "embeddings"), "label", "vec_id")
+
+
+@query(f"""
+    WITH {_MARKED},
+    r AS (SELECT label, vec_id, sum(boundary::INT) OVER (PARTITION BY label ORDER BY vec_id) AS s FROM marked),
+    g AS (SELECT label, s, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM r GROUP BY ALL),
+    o AS (SELECT *, (n >= 2 OR row_number() OVER (PARTITION BY label ORDER BY s) = 1)::INT AS opens FROM g),
+    k AS (SELECT *, sum(opens) OVER (PARTITION BY label ORDER BY s) - 1 AS segment FROM o)
+    SELECT label, segment::BIGINT AS segment, min(first) AS first, max(last) AS last, sum(n)::BIGINT AS n FROM k GROUP BY label, segment""")
+def topic_segments(spark: SparkSession, d: str) -> DataFrame:
+    return memory.segments(memory.boundaries(table(spark, d, "embeddings"), "label", "vec_id"), "label", "vec_id")
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::INTEGER AS rank FROM c QUALIFY rank <= 5""")
+def structured_index_tf(spark: SparkSession, d: str) -> DataFrame:
+    return memory.term_index(table(spark, d, "documents"))
+
+
+@query(f"WITH {_GRAPH} SELECT other, label, name, type, direction FROM b JOIN v ON v.id = b.other WHERE b.id = '{START}'")
+def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(edges(spark, d), vertices(spark, d), START)
+
+
+@query(f"WITH {_GRAPH}, h1 AS (SELECT '{START}' AS id, 0 AS hops UNION SELECT other, 1 FROM b WHERE id = '{START}'), h2 AS (SELECT * FROM h1 UNION SELECT b.other, 2 FROM b JOIN h1 USING (id) WHERE hops = 1) SELECT id, min(hops)::INTEGER AS hops FROM h2 GROUP BY id")
+def graph_subgraph_khop(spark: SparkSession, d: str) -> DataFrame:
+    return graph.within(edges(spark, d), START, 2)
+
+
+@query(f"WITH {_GRAPH}, h AS (SELECT '{START}' AS id UNION SELECT other FROM b WHERE id = '{START}') SELECT src, dst, type FROM e WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h)")
+def graph_induced_edges(spark: SparkSession, d: str) -> DataFrame:
+    all_ = edges(spark, d)
+    return graph.induced(all_, graph.within(all_, START, 1))
+
+
+@query(f"WITH {_GRAPH} SELECT label, count(*) AS n FROM v GROUP BY label")
+def graph_stats_labels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_counts(vertices(spark, d))
+
+
+@query(f"WITH {_GRAPH} SELECT type, count(*) AS n FROM e GROUP BY type")
+def graph_stats_edge_types(spark: SparkSession, d: str) -> DataFrame:
+    return graph.type_counts(edges(spark, d))
+
+
+@query(f"WITH {_GRAPH} SELECT id, sum((direction = 'out')::INT)::BIGINT AS outgoing, sum((direction = 'in')::INT)::BIGINT AS incoming FROM b GROUP BY id")
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(edges(spark, d))
+
+
+@query(f"""
+    WITH {_GRAPH}, m AS (SELECT DISTINCT dst AS community, src, name FROM e JOIN v ON v.id = src WHERE type = 'LIVES_IN'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY name, src) AS r FROM m)
+    SELECT community, count(*) AS members, string_agg(name, ', ' ORDER BY name) FILTER (r <= 5) AS top FROM r GROUP BY community""")
+def community_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.communities(edges(spark, d), vertices(spark, d), "LIVES_IN")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def timeline_day(spark: SparkSession, d: str) -> DataFrame:
+    return service.timeline(table(spark, d, "events"))
+
+
+@query("SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def conversation_last_message(spark: SparkSession, d: str) -> DataFrame:
+    return service.last_messages(table(spark, d, "conversations"))
+
+
+@query("SELECT -conv_id - 1 AS conv_id, turn, role, text FROM conversations WHERE turn <= 1")
+def conversation_fork(spark: SparkSession, d: str) -> DataFrame:
+    return service.fork(table(spark, d, "conversations"), 1)
+
+
+@query("SELECT source, count(*) AS documents, count(DISTINCT lang) AS languages, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY source")
+def workspace_stats(spark: SparkSession, d: str) -> DataFrame:
+    return service.workspace(table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
+def memory_list_page(spark: SparkSession, d: str) -> DataFrame:
+    return service.page(table(spark, d, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 20, 20)
+
+
+@query(" UNION ALL ".join(f"SELECT event_type, '{e}' AS le, sum((value <= {e})::INT)::BIGINT AS n FROM events GROUP BY event_type" for e in BUCKETS) + " UNION ALL SELECT event_type, '+Inf', count(value) FROM events GROUP BY event_type")
+def metrics_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return service.histogram(table(spark, d, "events"), BUCKETS)
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return service.percentiles(table(spark, d, "events"))
+
+
+@query("""
+    WITH p AS (SELECT o_orderdate::DATE AS day, avg(o_totalprice) AS price FROM orders GROUP BY 1),
+    r AS (SELECT day, price / lag(price) OVER (ORDER BY day) - 1 AS r FROM p QUALIFY r IS NOT NULL),
+    c AS (SELECT day, r, sum(r) OVER (ORDER BY day) AS c FROM r), k AS (SELECT *, greatest(0, max(c) OVER (ORDER BY day)) AS peak FROM c)
+    SELECT count(*) AS n, round(avg(r), 4) AS mean, round(stddev_pop(r), 4) AS deviation, round(avg(r) / stddev_pop(r), 4) AS sharpe, round(avg((r > 0)::INT), 4) AS win_rate, round(max(peak - c), 4) AS drawdown FROM k""")
+def market_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return service.market_metrics(service.returns(table(spark, d, "orders")))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY event_type")
+def delphi_convergence(spark: SparkSession, d: str) -> DataFrame:
+    return service.convergence(table(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 'success' WHEN quality = 1 OR toxic = 0 THEN 'partial' ELSE 'failure' END AS outcome, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    return service.outcomes(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("SELECT u.conv_id, u.turn, u.text AS instruction, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
+def sft_export(spark: SparkSession, d: str) -> DataFrame:
+    return service.exchanges(table(spark, d, "conversations"))
+
+
+@query("SELECT source, min(doc_id) FILTER (quality = 1) AS chosen, min(doc_id) FILTER (quality = 0) AS rejected FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING chosen IS NOT NULL AND rejected IS NOT NULL")
+def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return service.preference_pairs(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.roll_up(table(spark, d, "events"))

@@ -1,0 +1,65 @@
+from pyspark.sql import functions as F
+
+from heddle.functions.vectors import cosine, nearest
+from heddle.operators import memory, retrieval, service
+from heddle.streaming import metrics
+
+
+def test_cosine_of_unlike_vectors(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([1.0], [1.0, 2.0]), ([], []), ([0.0], [1.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 9) for r in rows.select(cosine("a", "b")).collect()] == [1, 0, -1, 0, 0, 0]
+
+
+def test_nearest_of_an_empty_table(spark):
+    v = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest(v, v, 3).count() == 0
+
+
+def test_sliding_windows_keep_the_ragged_tail(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(7)], "k long, i long")
+    got = sorted((r["window"], r["first"], r["last"]) for r in memory.sliding_windows(rows, "k", "i").collect())
+    assert got == [(0, 0, 4), (1, 3, 6), (2, 6, 6)]
+
+
+def test_short_segments_join_the_one_before(spark):
+    marked = spark.createDataFrame([(1, i, i in (1, 3, 4)) for i in range(6)], "k long, i long, boundary boolean")
+    got = sorted((r["segment"], r["first"], r["last"], r["n"]) for r in memory.segments(marked, "k", "i").collect())
+    assert got == [(0, 0, 0, 1), (1, 1, 3, 3), (2, 4, 5, 2)]
+
+
+def test_budget_stops_at_the_first_overflow(spark):
+    rows = spark.createDataFrame([(1, 0.9, "x" * 40), (2, 0.8, "x" * 400), (3, 0.7, "x" * 4)], "id long, score double, text string")
+    assert [r["id"] for r in retrieval.within_budget(rows, 50).collect()] == [1]
+
+
+def test_best_of_keeps_the_earlier_channel_on_ties(spark):
+    a = spark.createDataFrame([(1, 0.5, "a")], "id long, score double, source string")
+    b = spark.createDataFrame([(1, 0.5, "b"), (2, 0.1, "b")], "id long, score double, source string")
+    assert sorted(map(tuple, retrieval.best_of([a, b]).collect())) == [(1, 0.5, "a"), (2, 0.1, "b")]
+
+
+def test_nearest_rank_percentiles(spark):
+    rows = spark.createDataFrame([("e", float(i)) for i in range(1, 101)] + [("e", None)], "event_type string, value double")
+    assert tuple(service.percentiles(rows).first()) == ("e", 50.0, 95.0, 99.0)
+
+
+def streamed(spark, path, schema, make):
+    out = make(spark.readStream.schema(schema).parquet(path))
+    q = out.writeStream.format("memory").queryName("out").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table("out")
+
+
+def test_buffer_flushes_by_tokens(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 300), ("a", 300), ("a", 10), ("b", 600)], "key string, tokens long").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, str(tmp_path / "in"), rows.schema, metrics.buffered)
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 600), ("b", 1, 600)]
+
+
+def test_stream_roll_up_agrees_with_batch(spark, tmp_path):
+    rows = spark.range(0, 300).select((F.timestamp_seconds(F.col("id") * 60)).alias("ts"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(str(tmp_path / "ev"))
+    got = {r["start"]: r["n"] for r in streamed(spark, str(tmp_path / "ev"), rows.schema, metrics.roll_up).collect()}
+    batch = {r["start"]: r["n"] for r in metrics.roll_up(rows).collect()}
+    assert got and all(batch[k] == n for k, n in got.items())
