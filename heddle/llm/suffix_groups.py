@@ -5,10 +5,10 @@ is divided so that no task sees more than a bounded block, whatever the number o
 
 1. every window of `least` bytes picks an anchor, the leftmost least hash of its GRAM-byte grams, so equal windows pick
    equal anchors at equal places. Neighbouring windows with one anchor are a run; its bytes are the run's context;
-2. runs are counted by anchor and context digest. A context that occurs twice repeats all its windows; an anchor with a
+2. runs are counted by anchor and context digest, which make 128 bits together. A context that occurs twice repeats all its windows; an anchor with a
    single context needs no more. One document stands for each context of the other anchors;
-3. the distinct contexts of an anchor meet in one block, or in several where an anchor has more than SALTED of them. A
-   suffix array of the block puts windows with equal bytes next to each other. Windows that are single in their block of
+3. the distinct contexts of an anchor meet in one block, or in several where an anchor has more than SALTED of them. There
+   they are trimmed to the bytes around the gram that any other one shares, where none is in another block. A suffix array of the block puts windows with equal bytes next to each other. Windows that are single in their block of
    a divided anchor are counted over its blocks by digest, with one row a block for those that are not;
 4. covered bytes are the union of the repeated windows.
 
@@ -24,6 +24,7 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ LEAST, GRAM = 200, 64
 #: Contexts of one anchor that a block takes, and bytes from which a block is closed.
 SALTED, BLOCK = 1_000, 1 << 18
 #: Bytes whose anchors are sought at a time; positions must fit the low 24 bits.
-STRETCH = 1 << 22
+STRETCH = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
 
@@ -115,12 +116,12 @@ _BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64)
 
 
 def runs(pieces: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: piece, first and last start in it, and the anchor's gram hash."""
+    """Runs of windows with one anchor: piece, first and last start in it, the gram's hash and its place after the first start."""
     body = b"".join(pieces)
     ends = np.cumsum([len(p) for p in pieces])
     offsets = ends - [len(p) for p in pieces]
     if len(body) < least:  # also no pieces at all
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     h, m, power = _BYTES[np.frombuffer(body, np.uint8)], 1, _ODD
     while m < GRAM:
         h = h[:-m] * np.uint64(power) + h[m:]
@@ -140,29 +141,29 @@ def runs(pieces: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(new)
     stop = np.concatenate([(anchor[1:] != anchor[:-1]) | ~valid[1:], [True]]) & valid
     piece = np.searchsorted(offsets, starts, side="right") - 1
-    return piece, starts - offsets[piece], np.flatnonzero(stop) - offsets[piece], h[anchor[starts]]
+    return piece, starts - offsets[piece], np.flatnonzero(stop) - offsets[piece], h[anchor[starts]], anchor[starts] - starts
 
 
 def _anchors(least: int):
-    names = ["id", "th", "h", "dig", "at", "upto", "span", "n"]
+    names = ["id", "th", "h", "dig", "at", "upto", "span", "gram", "n"]
 
     def made(b: pa.RecordBatch, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        piece, a, z, h = runs([p for _, _, p in held], least)
-        rows, out = [], ([], [], [], [], [], [])
+        piece, a, z, h, gram = runs([p for _, _, p in held], least)
+        rows, out = [], ([], [], [], [], [], [], [])
         mark = None
-        for p, s, e, g in zip(piece.tolist(), a.tolist(), z.tolist(), h.view(np.int64).tolist(), strict=True):
+        for p, s, e, g, at in zip(piece.tolist(), a.tolist(), z.tolist(), h.view(np.int64).tolist(), gram.tolist(), strict=True):
             row, base, body = held[p]
-            dig = xxhash.xxh3_128_digest(body[s : e + least])
+            dig = xxhash.xxh3_64_intdigest(body[s : e + least])
             if mark == (p, g, dig) and out[3][-1] == base + s - 1:  # a period: the same run again
                 out[3][-1] = base + e
-                out[5][-1] += 1
+                out[6][-1] += 1
                 continue
             mark = (p, g, dig)
             rows.append(row)
-            for c, v in zip(out, (g, dig, base + s, base + e, e - s + 1, 1), strict=True):
+            for c, v in zip(out, (g, dig - (dig >> 63 << 64), base + s, base + e, e - s + 1, at, 1), strict=True):
                 c.append(v)
         take = pa.array(rows, pa.int64())
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +194,15 @@ def _bodies(least: int):
                 at, span = wanted.field("at").to_pylist(), wanted.field("span").to_pylist()
                 cut = [body[a : a + s + least - 1].to_pybytes() for a, s in zip(at, span, strict=True)]
                 same = pa.array([row] * len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *[wanted.field(c) for c in ("at", "n", "h", "salt", "divided")], pa.array(cut, pa.binary())], ["id", "th", "at", "n", "h", "salt", "divided", "body"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *[wanted.field(c) for c in ("at", "gram", "n", "h", "salt", "divided")], pa.array(cut, pa.binary())], ["id", "th", "at", "gram", "n", "h", "salt", "divided", "body"])
 
     return run
 
 
 def repeats(bodies: list[bytes], counts: list[int], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of the bodies in suffix order: body, start in it, and how often the window occurs, bodies counted as given."""
+    if not bodies:
+        return (np.empty(0, np.int64),) * 3
     lengths = np.array([len(x) for x in bodies])
     begins = np.cumsum(lengths + 1) - lengths - 1
     flat = np.zeros(int((lengths + 1).sum()), np.uint16)
@@ -222,35 +225,70 @@ def repeats(bodies: list[bytes], counts: list[int], least: int = LEAST) -> tuple
     return owner, order - begins[owner], total[run]
 
 
+def _shared(parts: list[bytes]) -> list[int]:
+    """For each part, the longest beginning that any other one has too."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        m = min(len(parts[i]), len(parts[j]))
+        differ = int.from_bytes(parts[i][:m]) ^ int.from_bytes(parts[j][:m])
+        k = m - (differ.bit_length() + 7) // 8
+        out[i], out[j] = max(out[i], k), max(out[j], k)
+    return out
+
+
+def trimmed(bodies: list[bytes], grams: list[int], least: int = LEAST) -> list[tuple[int, int]]:
+    """The bytes [from, to) of each body of an anchor, whose gram is at `grams`, that can lie in a window of another one."""
+    right = _shared([x[p:] for x, p in zip(bodies, grams, strict=True)])
+    left = _shared([x[:p][::-1] for x, p in zip(bodies, grams, strict=True)])
+    return [(p - k, p + r) if k + r >= least else (0, 0) for p, k, r in zip(grams, left, right, strict=True)]
+
+
 def _blocks(least: int):
     names = ["id", "th", "a", "b", "win"]
 
     def closed(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        bodies, counts = batch.column("body").to_pylist(), batch.column("n").to_pylist()
-        at, divided = np.array(batch.column("at").to_pylist()), np.array(batch.column("divided").to_pylist())
-        owner, start, times = repeats(bodies, counts, least)
-        once = np.array(counts)[owner] == 1
+        column = {c: batch.column(c).to_pylist() for c in ("h", "salt", "divided", "at", "gram", "n", "body")}
+        whole, counts, divided = column["body"], column["n"], np.array(column["divided"])
+        cut = [(0, len(x)) for x in whole]
+        keys = list(zip(column["h"], column["salt"], strict=True))
+        for k, group in itertools.groupby(range(len(keys)), key=keys.__getitem__):
+            rows = list(group)
+            if not column["divided"][rows[0]]:
+                for i, c in zip(rows, trimmed([whole[i] for i in rows], [column["gram"][i] for i in rows], least), strict=True):
+                    cut[i] = c
+        # Equal trimmed contexts of an anchor go into the suffix array once, with all their occurrences.
+        owners: dict[tuple, list[int]] = {}
+        for i, (a, b) in enumerate(cut):
+            if b > a:
+                owners.setdefault((keys[i], whole[i][a:b]), []).append(i)
+        held = list(owners.values())
+        distinct, start, times = repeats([body for _, body in owners], [sum(counts[i] for i in x) for x in held], least)
         rows, a, z, win = [], [], [], []
-        found = np.flatnonzero(once & (times > 1))
-        found = found[np.lexsort((start[found], owner[found]))]
+        found = np.flatnonzero(times > 1)
+        found = found[np.lexsort((start[found], distinct[found]))]
         if len(found):
-            o, s = owner[found], start[found]
-            cut = np.flatnonzero((o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(found)], strict=True):
-                rows.append(int(o[lo]))
-                a.append(int(at[o[lo]] + s[lo]))
-                z.append(int(at[o[lo]] + s[hi - 1]))
-                win.append(None)
+            o, s = distinct[found], start[found]
+            edge = np.flatnonzero((o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(found)], strict=True):
+                for i in held[o[lo]]:
+                    if counts[i] == 1:  # others are known to be repeated as a whole
+                        base = column["at"][i] + cut[i][0]
+                        rows.append(i)
+                        a.append(base + int(s[lo]))
+                        z.append(base + int(s[hi - 1]))
+                        win.append(None)
         told = None
-        for k in np.flatnonzero(divided[owner]).tolist():
-            o, s = int(owner[k]), int(start[k])
-            dig = xxhash.xxh3_128_digest(bodies[o][s : s + least])
+        lead = np.array([x[0] for x in held], np.int64)
+        for k in np.flatnonzero(divided[lead[distinct]]).tolist() if divided.any() else []:
+            i, s = int(lead[distinct[k]]), int(start[k])
+            dig = xxhash.xxh3_128_digest(whole[i][s : s + least])
             single = times[k] == 1
             if not single and dig == told:
                 continue
             told = dig
-            rows.append(o)
-            a.append(int(at[o] + s) if single else None)
+            rows.append(i)
+            a.append(column["at"][i] + s if single else None)
             z.append(None)
             win.append(dig)
         take = pa.array(rows, pa.int64())
@@ -293,12 +331,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         raise ValueError(f"least must be {GRAM} bytes or more")
     keyed = _keyed(docs, id_col, text_col)
     kind = keyed.schema["id"].dataType.simpleString()
-    anchors = stored(keyed.mapInArrow(_anchors(least), f"id {kind}, th long, h long, dig binary, at long, upto long, span int, n long"), "suffix-anchors")
-    per = stored(anchors.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "at", "span")).alias("rep")), "suffix-contexts")
+    anchors = stored(keyed.mapInArrow(_anchors(least), f"id {kind}, th long, h long, dig long, at long, upto long, span int, gram int, n long"), "suffix-anchors")
+    per = stored(anchors.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "at", "span", "gram")).alias("rep")), "suffix-contexts")
     several = per.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     salts = F.ceil(F.col("contexts") / salted)
     need = per.join(several, "h").select("rep.*", "n", "h", F.pmod(F.xxhash64("dig"), salts).cast("int").alias("salt"), (salts > 1).alias("divided"))
-    bodies = _with_lists(keyed, need, ["at", "span", "n", "h", "salt", "divided"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, n long, h long, salt int, divided boolean, body binary")
+    bodies = _with_lists(keyed, need, ["at", "span", "gram", "n", "h", "salt", "divided"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, gram int, n long, h long, salt int, divided boolean, body binary")
     found = stored(bodies.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(least), f"id {kind}, th long, a long, b long, win binary"), "suffix-found")
     # A window's rows are one a block, so a list is no longer than the blocks of an anchor.
     merged = found.filter("win is not null").groupBy("win").agg(F.count("*").alias("k"), F.collect_list(F.when(F.col("a").isNotNull(), F.struct("id", "th", "a"))).alias("one")).filter("k > 1")
