@@ -1,8 +1,10 @@
 """Links between near-equal texts: word shingles, MinHash bands, exact verification, connected components.
 
-Texts with the same shingle set are one node, so copies never meet in pairs. A band bucket links its nodes to its smallest
-node first (a star); only where a bucket still holds several components are nodes outside its largest component compared
-with the others. No bucket is expanded into all its pairs, and no link between different components is left out.
+Texts with the same shingle set are one node, so copies never meet in pairs. A band bucket links its nodes to one of them
+first (a star), the one that meets most nodes over all its buckets: the text that others are copies of meets more than a copy
+does. Only where a bucket still holds several components are nodes outside its largest component compared with the others.
+Before full sets are compared, parity bitmaps of the sets rule out pairs that cannot be linked. No bucket is expanded into
+all its pairs, and no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from heddle.llm.common import stored
 
@@ -25,6 +26,8 @@ SHINGLE, SIMILAR = 5, 75
 BROADCAST_NODES = 1_000_000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
+#: Longs of a set's parity bitmap.
+PARITY = 16
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,7 @@ def _band_keys(low: np.ndarray, plan: Bands) -> np.ndarray:
 
 def _packed(low: np.ndarray, plan: Bands) -> np.ndarray:
     """The low bits of the minima as longs: all first bits, then all second bits, and so on."""
-    per = plan.longs // plan.bits
+    per = plan.longs // max(1, plan.bits)
     out = np.zeros((plan.longs, low.shape[1]), np.uint64)
     for bit in range(plan.bits):
         for i in range(low.shape[0]):
@@ -105,26 +108,39 @@ def _packed(low: np.ndarray, plan: Bands) -> np.ndarray:
     return out
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap per set: a bit is set where an odd number of hashes fall on it. Two bitmaps differ in no more bits than the sets in hashes."""
+    bits = 64 * PARITY
+    at = np.concatenate([(s & np.uint64(bits - 1)).astype(np.int64) + i * bits for i, s in enumerate(sets)])
+    odd = (np.bincount(at, minlength=bits * len(sets)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.int64)
+
+
+def _columns(plan: Bands) -> list[str]:
+    """The long columns of a signature: low bits of minima, parity bitmap."""
+    return [f"s{k}" for k in range(plan.longs)] + [f"p{k}" for k in range(PARITY)]
+
+
 def _signer(plan: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                nodes, keys, packed = [None] * len(sets), [None] * len(sets), [[None] * len(sets) for _ in range(plan.longs)]
+                nodes, keys, packed = [None] * len(sets), [None] * len(sets), [[None] * len(sets) for _ in _columns(plan)]
                 if full:
                     low = minima([sets[i] for i in full], plan.bands * plan.rows)
                     rows = _band_keys(low, plan).T.view(np.int64)
-                    bits = _packed(low, plan).view(np.int64) if plan.bits else None
+                    longs = np.concatenate([_packed(low, plan).view(np.int64), _parities([sets[i] for i in full]).T])
                     for j, i in enumerate(full):
                         nodes[i], keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), rows[j].tobytes()
-                        for k in range(plan.longs):
-                            packed[k][i] = int(bits[k, j])
+                        for k, column in enumerate(packed):
+                            column[i] = int(longs[k, j])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([k and np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64())), *[pa.array(p, pa.int64()) for p in packed]],
-                    ["id", "n", "node", "keys", *[f"s{k}" for k in range(plan.longs)]],
+                    ["id", "n", "node", "keys", *_columns(plan)],
                 )
 
     return run
@@ -148,6 +164,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (a < b) is either a centre or has one edge, to its centre."""
+    ends = edges.select(F.col("b").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count_if((F.col("up") > 0) & (F.col("up") + F.col("down") > 1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """nid, comp: the smallest node that each node of links (a, b) can reach; by large-star and small-star steps."""
 
@@ -159,22 +181,22 @@ def components(links: DataFrame) -> DataFrame:
         to = out.select(F.col("v").alias("b"), F.col("m").alias("a"))
         return (to if large else to.union(least.select(F.col("u").alias("b"), F.col("m").alias("a")))).filter("a < b").select("a", "b").distinct()
 
-    edges, mark = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges"), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark, edges = now, stored(turned(turned(edges, True), False), "edges")
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    while not _all_stars(edges):
+        edges = stored(turned(turned(edges, True), False), "edges")
     return edges.select(F.col("b").alias("nid"), F.col("a").alias("comp")).union(edges.select(F.col("a").alias("nid"), F.col("a").alias("comp"))).distinct()
 
 
 def _alike(x: str, y: str, plan: Bands, slack: float) -> Column:
-    """Whether two nodes can be similar: by their sizes, and by the agreeing low bits of their minima.
+    """Whether two nodes can be similar: by their sizes, their parity bitmaps, and the agreeing low bits of their minima.
 
+    Sets of n and m hashes that differ in d are as similar as (n + m - d) / (n + m + d); their bitmaps differ in at most d bits.
     Unrelated minima agree in `bits` bits by chance once in 2**bits times; the estimate is corrected for that, and passes
     unless it lies below the threshold by more than slack.
     """
     sizes = (100 * F.col(f"{x}.n") >= SIMILAR * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= SIMILAR * F.col(f"{x}.n"))
+    differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITY)])
+    sizes = sizes & ((100 + SIMILAR) * differing <= (100 - SIMILAR) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
     if not plan.bits:
         return sizes
     per, chance, minima_ = plan.longs // plan.bits, 0.5**plan.bits, plan.bands * plan.rows
@@ -189,15 +211,18 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22) -> DataFrame:
     items is read once for signatures, and again for the texts of candidate nodes.
     """
     kind = items.schema["id"].dataType.simpleString()
-    longs = [f"s{k}" for k in range(plan.longs)]
+    longs = _columns(plan)
     shape = f"id {kind}, n long, node binary, keys array<long>" + "".join(f", {s} long" for s in longs)
     signed = stored(items.select("id", "text").mapInArrow(_signer(plan), shape), "near-signed")
     per = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", *longs)])
     nodes = stored(per.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     thin = nodes.select("nid", "n", *longs)
-    bucket = W.Window.partitionBy("bucket")
-    placed = nodes.select("nid", F.explode("keys").alias("bucket")).withColumn("rep", F.min("nid").over(bucket)).withColumn("most", F.max("nid").over(bucket))
-    members = stored(placed.filter("rep < most").select("bucket", "nid", "rep"), "near-members")
+    placed = nodes.select("nid", F.explode("keys").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stored(placed.join(shared, "bucket"), "near-met")
+    meets = met.join(met.groupBy("nid").agg(F.sum("size").alias("meets")), "nid")
+    centre = meets.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("nid")).alias("least"))).alias("top")).select("bucket", (-F.col("top.least")).alias("rep"))
+    members = stored(met.join(centre, "bucket").select("bucket", "nid", "rep"), "near-members")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, name)
@@ -221,7 +246,7 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22) -> DataFrame:
     major = mixed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
     minor = mixed.join(major, "bucket").filter("comp <> major")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
-    # Pairs with a bucket's smallest node were compared in its star.
+    # Pairs with a bucket's centre were compared in its star.
     new = (F.col("x.nid") != F.col("x.rep")) & (F.col("y.nid") != F.col("y.rep"))
     cross = minor.alias("x").join(mixed.alias("y"), apart & new & _alike("x", "y", plan, slack)).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
     more = verified(cross, "near-cross")
