@@ -7,12 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, paragraph_bands, queries, robust_outliers, suffix_groups, toxic_trees, warc_derive
+from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, near, paragraph_bands, queries, robust_outliers, suffix_groups, toxic_trees, warc_derive
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, comp string, h string, bucket string"
@@ -204,3 +205,14 @@ def test_pipeline_keeps_clean_documents_once(spark):
     for r in rows:
         filled[r["sequence_id"]] += r["length"]
     assert max(filled.values()) <= 1024
+
+
+def test_parity_bitmaps_never_differ_in_more_bits_than_sets_do():
+    dice = np.random.default_rng(3)
+    for size, changed in ((1, 1), (9, 2), (150, 30), (3000, 2500)):
+        x = np.unique(dice.integers(1 << 63, size=size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[changed:], dice.integers(1 << 63, size=changed, dtype=np.uint64)]))
+        a, b = near._parities([x, y])
+        differ = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+        assert 0 < differ <= len(np.setxor1d(x, y))
+        assert (near._parities([x[::-1]])[0] == a).all()
