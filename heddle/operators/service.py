@@ -76,10 +76,11 @@ def exchanges(messages: DataFrame) -> DataFrame:
 
 
 def preference_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """source, chosen, rejected: each source's first good and first bad document."""
+    """source, chosen, rejected: each bad document with the first good one of its source; a null source is a source."""
     both = docs.select("doc_id", "source").join(labels, "doc_id")
-    pick = lambda q: F.min(F.when(F.col("quality") == q, F.col("doc_id")))
-    return both.groupBy("source").agg(pick(1).alias("chosen"), pick(0).alias("rejected")).filter("chosen is not null and rejected is not null")
+    first = both.filter("quality = 1").groupBy(F.col("source").alias("_source")).agg(F.min("doc_id").alias("chosen"))
+    bad = both.filter("quality = 0").select("source", F.col("doc_id").alias("rejected"))
+    return bad.join(first, F.col("source").eqNullSafe(F.col("_source"))).select("source", "chosen", "rejected")
 
 
 def workspace(docs: DataFrame) -> DataFrame:
