@@ -4,7 +4,7 @@ Documents are cut into paragraphs (lines with words). Bands are tuned to the wis
 paragraphs are joined and verified by exact Jaccard similarity of their five-word shingles, and removals are clustered by
 connected components: the first paragraph of a component, by document and place, stays.
 
-Paragraphs of fewer than LEAST_WORDS words are never compared: short lines repeat without being copied. Null and empty
+Every paragraph is compared; one of fewer than five words is one shingle. Null and empty
 texts have no paragraphs. Rows with the same identifier and text count once. An empty table gives an empty result. Other
 columns are ignored.
 """
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from heddle.llm.common import WORD, stored, text_or_empty
 from heddle.llm.near import SIMILAR, Bands, classes
 
-LEAST_WORDS = 20
 RECALL = 0.999
 
 
@@ -28,24 +27,24 @@ def tuned(similarity: float = SIMILAR / 100, recall: float = RECALL, rows: int =
     return Bands(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """id (doc, paragraph), text and start (code points before it) of the paragraphs with enough words."""
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (doc, paragraph), text and start (code points before it) of the paragraphs with words."""
     lines = docs.select(F.col(id_col).alias("doc"), F.split(text_or_empty(text_col), "\n").alias("lines"))
     starts = F.aggregate("lines", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["all"], a["at"]).alias("all")))["all"]
     split = lines.select("doc", F.posexplode(F.arrays_zip(F.col("lines").alias("text"), starts.alias("start"))).alias("paragraph", "p"))
-    return split.select(F.struct("doc", "paragraph").alias("id"), F.col("p.text").alias("text"), F.col("p.start").alias("start")).filter(F.regexp_count("text", F.lit(WORD)) >= least_words)
+    return split.select(F.struct("doc", "paragraph").alias("id"), F.col("p.text").alias("text"), F.col("p.start").alias("start")).filter(F.col("text").rlike(WORD))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """A row per paragraph that has a near copy: id_col, paragraph, n_shingles, keep_doc_id, keep_paragraph, members, kept."""
-    items = paragraphs(docs, id_col, text_col, least_words).select("id", "text")
+    items = paragraphs(docs, id_col, text_col).select("id", "text")
     found = stored(classes(items, tuned(recall=recall)).select("id", "n", "comp").distinct(), "paragraph-classes")
     several = found.groupBy("comp").agg(F.count("*").alias("members")).filter("members > 1")
     return found.join(several, "comp").select(F.col("id.doc").alias(id_col), F.col("id.paragraph").alias("paragraph"), F.col("n").alias("n_shingles"), F.col("comp.doc").alias("keep_doc_id"), F.col("comp.paragraph").alias("keep_paragraph"), "members", F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents without their removed paragraphs, in their own columns; identifiers must be unique."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **how) -> DataFrame:
+    """The documents without their removed paragraphs of least_words words or more, in their own columns; identifiers must be unique."""
     gone = repeated(docs, id_col, text_col, **how).filter("not kept").groupBy(F.col(id_col).alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i) | (F.regexp_count(x, F.lit(WORD)) < least_words)), "\n")
     return docs.join(gone, docs[id_col] == F.col("_doc"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
