@@ -1,25 +1,41 @@
-"""Near-duplicate paragraphs by MinHash banding.
+"""Near-duplicate paragraphs by MinHash banding, and passages that repeat inside longer paragraphs.
 
 Documents are cut into paragraphs (lines with words). Bands are tuned to the wished recall at the threshold, colliding
 paragraphs are joined and verified by exact Jaccard similarity of their five-word shingles, and removals are clustered by
-connected components: the first paragraph of a component, by document and place, stays.
+connected components: the first paragraph of a component, by document and place, stays. Every paragraph is compared; one of
+fewer than five words is one shingle.
 
-Every paragraph is compared; one of fewer than five words is one shingle. Null and empty
-texts have no paragraphs. Rows with the same identifier and text count once. An empty table gives an empty result. Other
-columns are ignored.
+A passage that two long paragraphs share leaves them unlike each other as wholes. The paragraphs that stay are therefore cut
+further, at places that only the words around them decide: before a word whose key is the least among REACH words on
+either side, where words after a sentence end come first. A shared run of words is cut alike wherever it stands, but
+for its ends, and passages with the same words (A-Z lower-cased) are one group, whose first stays. The words of a run
+outside its outermost common cuts are not reported; an edited passage is found by its unedited pieces.
+
+Null and empty texts have no paragraphs. Rows with the same identifier and text count once. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WORD, stored, text_or_empty
-from heddle.llm.near import SIMILAR, Bands, classes
+from heddle.llm.common import WORD, joined_small, stored, text_or_empty
+from heddle.llm.near import SHINGLE, SIMILAR, Bands, classes
 
 RECALL = 0.999
+#: Words on either side of a cut that its key is the least of.
+REACH = 5
+_WORD = re.compile(WORD)
+_ENDS, _CLOSERS = frozenset(".!?…。！？"), "\"'”’»)]"
+#: Keys of words after a sentence end lie below all others.
+_LATER = 1 << 64
 
 
 def tuned(similarity: float = SIMILAR / 100, recall: float = RECALL, rows: int = 4) -> Bands:
@@ -35,16 +51,119 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return split.select(F.struct("doc", "paragraph").alias("id"), F.col("p.text").alias("text"), F.col("p.start").alias("start")).filter(F.col("text").rlike(WORD))
 
 
+def cuts(words: list[str], lowered: list[bytes]) -> list[int]:
+    """Where passages of a line start, 0 first."""
+    if len(words) < 2 * REACH + 2:
+        return [0]
+    keys = [xxhash.xxh3_64_intdigest(x + b" " + y) + (0 if before.rstrip(_CLOSERS)[-1:] in _ENDS else _LATER) for before, x, y in zip(words[:-1], lowered[1:], [*lowered[2:], b""], strict=True)]
+    keys = [2 * _LATER, *keys]  # before word i: keys[i]
+    out, i, last = [0], REACH + 1, len(words) - REACH
+    while i < last:
+        around = keys[i - REACH : i + REACH + 1]
+        at = around.index(min(around)) - REACH
+        if at == 0:
+            out.append(i)
+            i += REACH + 1
+        elif at > 0:
+            i += at
+        else:
+            i += 1
+    return out
+
+
+def passages_of(text: str) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """paragraph, passage, start, length (code points), shingles and identity of the passages of a text."""
+    start = 0
+    for paragraph, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in _WORD.finditer(line)]
+        if spans:
+            words = [line[a:b] for a, b in spans]
+            lowered = [w.encode("utf-8", "replace").lower() for w in words]
+            at = cuts(words, lowered)
+            for passage, (i, j) in enumerate(zip(at, [*at[1:], len(words)], strict=True)):
+                w = lowered[i:j]
+                n = len({tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))})
+                yield paragraph, passage, start + spans[i][0], spans[j - 1][1] - spans[i][0], n, xxhash.xxh3_128_digest(b" ".join(w))
+        start += len(line) + 1
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (doc, paragraph, passage), start, length, n and words (their identity) of the passages of every paragraph."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                b = whole.slice(first, 500)
+                rows, columns = [], [[] for _ in range(6)]
+                for r, text in enumerate(b.column(1).to_pylist()):
+                    for found in passages_of(text):
+                        rows.append(r)
+                        for c, v in zip(columns, found, strict=True):
+                            c.append(v)
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc", "paragraph", "passage", "start", "length", "n", "words"])
+
+    shape = f"doc {kind}, paragraph int, passage int, start int, length int, n long, words binary"
+    cut = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).mapInArrow(run, shape)
+    return cut.select(F.struct("doc", "paragraph", "passage").alias("id"), "start", "length", "n", "words")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """_words, first and members of the passages that several rows hold."""
+    return rows.groupBy(F.col("words").alias("_words")).agg(F.min("id").alias("first"), F.count("*").alias("members")).filter("members > 1")
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """A row per paragraph that has a near copy: id_col, paragraph, n_shingles, keep_doc_id, keep_paragraph, members, kept."""
-    items = paragraphs(docs, id_col, text_col).select("id", "text")
-    found = stored(classes(items, tuned(recall=recall)).select("id", "n", "comp").distinct(), "paragraph-classes")
+    """A row per paragraph that has a near copy, and per passage of the paragraphs that stay that has an exact one.
+
+    id_col, paragraph, passage, start, length, n_shingles, keep_doc_id, keep_paragraph, keep_passage, members, kept; start
+    and length are code points of the text. passage, start, length and keep_passage are null for a whole paragraph.
+    """
+    items = paragraphs(docs, id_col, text_col)
+    found = stored(classes(items.select("id", "text"), tuned(recall=recall)).select("id", "n", "comp").distinct(), "paragraph-classes")
     several = found.groupBy("comp").agg(F.count("*").alias("members")).filter("members > 1")
-    return found.join(several, "comp").select(F.col("id.doc").alias(id_col), F.col("id.paragraph").alias("paragraph"), F.col("n").alias("n_shingles"), F.col("comp.doc").alias("keep_doc_id"), F.col("comp.paragraph").alias("keep_paragraph"), "members", F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
+    lines = stored(joined_small(found, several.withColumnRenamed("comp", "_comp"), F.col("comp") == F.col("_comp")).drop("_comp").withColumn("kept", F.col("id").eqNullSafe(F.col("comp"))), "paragraph-repeats")
+
+    # Most passages occur once and go before removed paragraphs are looked up.
+    cut = stored(passages(docs, id_col, text_col), "passages")
+    twice = stored(joined_small(cut, _groups(cut).select("_words"), F.col("words") == F.col("_words")).drop("_words").distinct(), "passages-repeated")
+    gone = lines.filter("not kept").select(F.col("id.doc").alias("_doc"), F.col("id.paragraph").alias("_paragraph")).distinct()
+    left = stored(twice.join(gone, F.col("id.doc").eqNullSafe(F.col("_doc")) & (F.col("id.paragraph") == F.col("_paragraph")), "left_anti"), "passages-left")
+    parts = joined_small(left, _groups(left), F.col("words") == F.col("_words"))
+
+    place = lambda x: [F.col(f"{x}.doc"), F.col(f"{x}.paragraph")]
+    names = [id_col, "paragraph", "passage", "start", "length", "n_shingles", "keep_doc_id", "keep_paragraph", "keep_passage", "members", "kept"]
+    none = F.lit(None).cast("int")
+    whole = lines.select(*place("id"), none, none, none, "n", *place("comp"), none, "members", "kept").toDF(*names)
+    return whole.union(parts.select(*place("id"), "id.passage", "start", "length", "n", *place("first"), "first.passage", "members", F.col("id").eqNullSafe(F.col("first"))).toDF(*names))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **how) -> DataFrame:
-    """The documents without their removed paragraphs of least_words words or more, in their own columns; identifiers must be unique."""
-    gone = repeated(docs, id_col, text_col, **how).filter("not kept").groupBy(F.col(id_col).alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i) | (F.regexp_count(x, F.lit(WORD)) < least_words)), "\n")
-    return docs.join(gone, docs[id_col] == F.col("_doc"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+    """The documents without their removed paragraphs and passages of least_words words or more, in their own columns.
+
+    A removed paragraph goes with its line end; identifiers must be unique.
+    """
+    gone = repeated(docs, id_col, text_col, **how).filter("not kept").groupBy(F.col(id_col).alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("paragraph", "start", "length"))).alias("_gone"))
+
+    @F.udf("string")
+    def left(text, spans):
+        if text is None or spans is None:  # also called for rows that keep their text
+            return text
+        of: dict[int, list] = {}
+        for paragraph, start, length in spans:
+            of.setdefault(paragraph, []).append((start, length))
+        out, first = [], 0
+        for paragraph, line in enumerate(text.split("\n")):
+            kept, at = [], 0
+            for start, length in of.get(paragraph, []):
+                a, b = (0, len(line)) if start is None else (start - first, start - first + length)
+                if len(_WORD.findall(line[a:b])) >= least_words:
+                    kept.append(line[at:a])
+                    at = b
+            if at < len(line) or not kept or of[paragraph][0][0] is not None:
+                out.append("".join([*kept, line[at:]]))
+            first += len(line) + 1
+        return "\n".join(out)
+
+    return docs.join(gone, docs[id_col] == F.col("_doc"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left(text_col, "_gone"))).select(docs.columns)

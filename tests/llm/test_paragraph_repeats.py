@@ -1,12 +1,28 @@
-"""Repeated short lines are reported."""
+"""Repeated short lines, and passages inside longer lines, are reported and removed."""
+
+import random
+from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 
-from heddle.llm import queries
+from heddle.llm import paragraph_bands, queries
 
 DATA = "/root/testdata/sf0.001"
 
 
+def prose(dice, n):
+    return " ".join("".join(dice.choices("abcdefghijklmnop", k=dice.randint(3, 8))) + dice.choice(["", "", "", "", "", "", "", "."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def planted():
+    dice = random.Random(11)
+    passage = prose(dice, 60)
+    texts = [prose(dice, 300) + " " + passage + " " + prose(dice, 250), "All rights reserved .\n" + prose(dice, 40), prose(dice, 200) + " " + passage + " " + prose(dice, 400) + "\nall rights  reserved .", prose(dice, 80)]
+    return passage, texts
+
+
 def test_whole_lines_equal_sql_without_a_least_length(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
@@ -15,5 +31,50 @@ def test_whole_lines_equal_sql_without_a_least_length(spark):
     sql = queries.ORACLES["op9_paragraph_bands"]
     assert cut in sql or whole in sql
     want = con.execute(sql.replace(cut, whole)).fetchall()
-    got = queries.op9_paragraph_bands(spark, DATA).select("doc_id", "paragraph", "n_shingles", "keep_doc_id", "keep_paragraph", "members", "kept").collect()
+    got = queries.op9_paragraph_bands(spark, DATA).filter("passage is null").select("doc_id", "paragraph", "n_shingles", "keep_doc_id", "keep_paragraph", "members", "kept").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_passages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = queries.op9_paragraph_bands(spark, DATA).collect()
+    removed = {(r["doc_id"], r["paragraph"]) for r in found if r["passage"] is None and not r["kept"]}
+    groups = defaultdict(list)
+    for r in docs.select("doc_id", "text").distinct().collect():
+        for paragraph, passage, start, length, _, words in paragraph_bands.passages_of(r["text"] or ""):
+            assert (r["text"][start : start + length]).strip(" \t\r\n\v\f")
+            if (r["doc_id"], paragraph) not in removed:
+                groups[words].append((r["doc_id"], paragraph, passage, start, length))
+    want = sorted((*i, *min(g)[:3], len(g), i == min(g)) for g in groups.values() if len(g) > 1 for i in g)
+    columns = ["doc_id", "paragraph", "passage", "start", "length", "keep_doc_id", "keep_paragraph", "keep_passage", "members", "kept"]
+    assert sorted(tuple(r[c] for c in columns) for r in found if r["passage"] is not None) == want
+
+
+def test_short_lines_and_a_passage_in_two_long_lines(spark, planted):
+    passage, texts = planted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = paragraph_bands.repeated(docs).collect()
+    short = {(r["doc_id"], r["paragraph"], r["kept"]) for r in found if r["passage"] is None}
+    assert short == {(1, 0, True), (2, 1, False)}
+    inside = [r for r in found if r["passage"] is not None]
+    assert {r["doc_id"] for r in inside} == {0, 2}
+    for r in inside:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] in passage
+    assert Counter(r["kept"] for r in inside) == {True: len(inside) // 2, False: len(inside) // 2}
+    caught = sum(len(texts[2][r["start"] : r["start"] + r["length"]].split()) for r in inside if not r["kept"])
+    assert caught >= 30
+    left = {r["doc_id"]: r["text"] for r in paragraph_bands.dedup(docs).collect()}
+    assert [left[i] for i in (0, 1, 3)] == [texts[i] for i in (0, 1, 3)]
+    assert "reserved" not in left[2] and "\n" not in left[2] and len(left[2].split()) == 660 - caught
+    longer = {r["doc_id"]: r["text"] for r in paragraph_bands.dedup(docs, least_words=100).collect()}
+    assert [longer[i] for i in range(4)] == texts
+
+
+def test_a_shared_run_is_cut_alike_in_any_context():
+    dice = random.Random(3)
+    missed = 0
+    for _ in range(500):
+        run = prose(dice, 50)
+        a, b = ({w for *_, w in paragraph_bands.passages_of(prose(dice, 80) + " " + run + " " + prose(dice, 80))} for _ in range(2))
+        missed += not a & b
+    assert missed <= 25
