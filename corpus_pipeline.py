@@ -1,8 +1,8 @@
 """A training-data pipeline over `documents`: five stages, each written as Parquet and read again for the next one.
 
 Toxic documents go, then exact copies, then near copies; what is left is mixed to target weights and packed into sequences.
-Every stage works on all that its predecessor kept. Identifiers of `documents` are unique; the mix may take a document twice,
-and its rows then are packed as often.
+Every stage works on all that its predecessor kept. Stages decide on rows by a stored key of their own, so identifiers may be
+null or repeat. The mix may take a document twice, and its rows then are packed as often.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import text_or_empty
+from heddle.llm.common import ROW, keyed, row_id, text_or_empty
 from heddle.llm.near import Bands, classes
 
 #: At the threshold a pair escapes all bands once in 50,000 times, at 0.8 once in ten million; two bits of each minimum stay.
@@ -30,5 +30,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, in the documents' own columns; identifiers must be unique."""
-    return docs.join(near_duplicates(docs, id_col, text_col).filter("kept").select(id_col), id_col, "left_semi").select(docs.columns)
+    """One row of each component, in the documents' own columns: that of the least identifier, nulls last."""
+    rows = keyed(docs, "near-rows")
+    keep = near_duplicates(rows.select(row_id(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").filter("kept").select(F.col("id.row").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(docs.columns)

@@ -31,6 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Name of the key that `keyed` gives each row.
+ROW = "_heddle_row"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, stored with a key of their own in ROW: identifiers may be null or repeat."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def row_id(id_col: str) -> Column:
+    """An identifier of a keyed row that orders by id_col, nulls last, and then by row."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc"), F.col(ROW).alias("row"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

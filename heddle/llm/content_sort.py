@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from heddle.llm.common import BLANKS, stored, text_or_empty
+from heddle.llm.common import BLANKS, ROW, keyed, row_id, stored, text_or_empty
 
 #: Bytes of a text that take part in a splitter.
 PREFIX = 32
@@ -110,6 +110,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which content_sort keeps a row, in their own columns; identifiers must be unique."""
-    keep = content_sort(docs, id_col, text_col).filter("kept").select(id_col)
-    return docs.join(keep, id_col, "left_semi").select(docs.columns)
+    """One row of each text, in the documents' own columns: that of the least identifier, nulls last."""
+    rows = keyed(docs, "content-rows")
+    keep = content_sort(rows.select(row_id(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").filter("kept").select(F.col("id.row").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from heddle.llm.common import WORD, bucketed_total, joined_small, stored, text_or_empty
+from heddle.llm.common import ROW, WORD, bucketed_total, keyed, joined_small, stored, text_or_empty
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -50,15 +50,19 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap:
     return per.select("source", "source_size", F.when(F.col("fair").isNull(), F.col("top").cast("double")).otherwise(F.least(F.col("top").cast("double"), F.col("fair.level") * F.col("weight"))).alias("target"))
 
 
-def queue(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, **rule) -> DataFrame:
-    """Every document with its place in its source's queue: doc, source, size, source_size, target, upto (words to its end)."""
+def queue(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, row_col: str | None = None, **rule) -> DataFrame:
+    """Every document with its place in its source's queue: doc, source, size, source_size, target, upto (words to its end).
+
+    With row_col, also row: the rows' keys, which order rows of one identifier and size.
+    """
+    row = [F.col(row_col).alias("row")] if row_col else []
     dealt = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))))
-    sized = stored(docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), dealt.alias("deal")), "mix-sizes")
+    sized = stored(docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), dealt.alias("deal"), *row), "mix-sizes")
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     share = F.conv(F.substring("deal", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    placed = bucketed_total(sized.withColumn("bucket", F.floor(share * buckets)), ["source"], "bucket", ["deal", F.col("doc").asc_nulls_last(), "size"], "size", "upto")
+    placed = bucketed_total(sized.withColumn("bucket", F.floor(share * buckets)), ["source"], "bucket", ["deal", F.col("doc").asc_nulls_last(), "size", *["row" for _ in row]], "size", "upto")
     goal = targets(sized, **rule).withColumnRenamed("source", "_source")
-    return joined_small(placed, goal, F.col("source").eqNullSafe(F.col("_source"))).select("doc", "source", "size", "source_size", "target", "upto")
+    return joined_small(placed, goal, F.col("source").eqNullSafe(F.col("_source"))).select("doc", "source", "size", "source_size", "target", "upto", *["row" for _ in row])
 
 
 def mix(queued: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def mix(queued: DataFrame) -> DataFrame:
     entry = entry.withColumn("words", F.least("size", F.floor("target") - (end - F.col("size")))).filter("words > 0")
     entry = entry.withColumn("finish", F.least(F.lit(1.0), end / F.col("target"))).withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges))).withColumn("all", F.lit(1))
     total = bucketed_total(entry, ["all"], "range", ["finish", "source", "upto", "epoch"], "words", "running")
-    return total.join(F.broadcast(budget)).filter("running - words < budget").select("doc", "source", "upto", "epoch", "size", "words", "finish", "running")
+    return total.join(F.broadcast(budget)).filter("running - words < budget").select("doc", "source", "upto", "epoch", "size", "words", "finish", "running", *[c for c in queued.columns if c == "row"])
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -87,10 +91,11 @@ def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents of the mix, in their own columns: a row for each time one is taken, cut after the words taken where truncated.
 
-    Identifiers must be unique.
+    Each row is an entry of its own, also where its identifier is null or repeats.
     """
-    entries = mix(stored(queue(docs, id_col, text_col=text_col, **how), "mix-queue"))
-    entries = entries.select(F.col("doc").alias("_doc"), F.col("size").alias("_size"), F.col("words").alias("_words"))
+    rows = keyed(docs, "mix-rows")
+    entries = mix(stored(queue(rows, id_col, text_col=text_col, row_col=ROW, **how), "mix-queue"))
+    entries = entries.select(F.col("row").alias(ROW), F.col("size").alias("_size"), F.col("words").alias("_words"))
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
     cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text_col))
-    return docs.join(entries, docs[id_col] == entries["_doc"]).withColumn(text_col, cut).select(docs.columns)
+    return rows.join(entries, ROW).withColumn(text_col, cut).select(docs.columns)

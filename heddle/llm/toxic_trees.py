@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import held_out, stored, text_or_empty
+from heddle.llm.common import ROW, held_out, keyed, stored, text_or_empty
 
 #: Labelled rows that the model is learned from, and terms that the learned lexicon keeps.
 ROWS, TERMS = 30_000, 3_000
@@ -186,6 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, in their own columns; identifiers must be unique."""
-    bad = learn(docs, labels, id_col, text_col).score(docs, id_col, text_col).filter("predicted = 1").select(id_col)
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    """The documents that are not predicted toxic, in their own columns; each row is judged by itself."""
+    rows = keyed(docs, "toxic-keyed")
+    bad = learn(docs, labels, id_col, text_col).score(rows, ROW, text_col).filter("predicted = 1").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
