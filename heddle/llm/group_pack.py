@@ -11,6 +11,9 @@ the number of documents:
 A class is a range of sequences with the same lengths at the same offsets, so a document finds its place from its length
 and its rank within that length. Ranks are counted in buckets; no length gathers in one task.
 
+Ids are those of the file's tokenizer. For speed they are made from its vocabulary by an own split and tiktoken; a text that
+holds one of the file's added tokens, such as <|endoftext|>, is encoded by the tokenizer itself.
+
 Null text is empty: it is the end token alone. Repeated rows are packed as often as they occur. An empty table gives an
 empty result. Other columns are ignored.
 """
@@ -58,12 +61,23 @@ def _encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=2)
+def _added(path: str):
+    """The file's own tokenizer, and a pattern of the added tokens that it takes out of a text before the split."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    names = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return tokenizer, re.compile("|".join(map(re.escape, names))) if names else None
+
+
 class _Ids(dict):
-    """Packed little-endian ids by split word."""
+    """Packed little-endian ids by split word; texts with an added token go to the file's tokenizer whole."""
 
-    def __init__(self, encoder):
+    def __init__(self, path: str):
         super().__init__()
-        self.encoder = encoder
+        self.encoder = _encoder(path)
+        self.tokenizer, self.added = _added(path)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -72,6 +86,8 @@ class _Ids(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
         return np.asarray(self.encoder.encode_ordinary(text), "<u4").tobytes()
@@ -79,7 +95,7 @@ class _Ids(dict):
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(_encoder(path))
+        ids = _Ids(path)
         end = END.to_bytes(4, "little")
         for b in batches:
             rows, columns = [], ([], [], [], [])
