@@ -5,11 +5,14 @@ is divided so that no task sees more than a bounded block, whatever the number o
 
 1. every window of `least` bytes picks an anchor, the leftmost least hash of its GRAM-byte grams, so equal windows pick
    equal anchors at equal places. Neighbouring windows with one anchor are a run; its bytes are the run's context;
-2. runs are counted by anchor and context digest, which make 128 bits together. A context that occurs twice repeats all its windows; an anchor with a
-   single context needs no more. One document stands for each context of the other anchors;
-3. the distinct contexts of an anchor meet in one block, or in several where an anchor has more than SALTED of them. There
-   they are trimmed to the bytes around the gram that any other one shares, where none is in another block. A suffix array of the block puts windows with equal bytes next to each other. Windows that are single in their block of
-   a divided anchor are counted over its blocks by digest, with one row a block for those that are not;
+2. runs are counted by anchor and context digest, which make 128 bits together. A context that occurs twice repeats all its
+   windows; an anchor with a single context needs no more. One document stands for each context of the other anchors;
+3. contexts are trimmed to the bytes around the gram that any other one of their anchor shares: contexts that are sorted by
+   the bytes on one side share most with a neighbour. A small anchor is sorted in its block; an anchor with more than SALTED
+   contexts is range-sorted over all tasks, by either side, and partition borders are mended. What is left goes to the
+   anchor's block, or, in sorted order, to blocks of SALTED contexts. A suffix array of the block puts windows with equal
+   bytes next to each other. A window that is single in its block of a divided anchor meets those of the other blocks by its
+   digest; after the trim few are;
 4. covered bytes are the union of the repeated windows.
 
 The suffix array comes in two phases. Groups of suffixes with the same Lyndon prefix are made in descending order: each
@@ -29,11 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import stored, text_or_empty
+from heddle.llm.common import discard, stored, text_or_empty
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from (a power of two under it).
 LEAST, GRAM = 200, 64
@@ -185,16 +190,17 @@ def _anchors(least: int):
 
 
 def _bodies(least: int):
-    """Cut the contexts that a document stands for out of its bytes."""
+    """Cut the contexts that a document stands for out of its bytes: what is left of the gram, outward, and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                body, wanted = b.column(2)[row].as_buffer(), b.column(3)[row].values
-                at, span = wanted.field("at").to_pylist(), wanted.field("span").to_pylist()
-                cut = [body[a : a + s + least - 1].to_pybytes() for a, s in zip(at, span, strict=True)]
-                same = pa.array([row] * len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *[wanted.field(c) for c in ("at", "gram", "n", "h", "salt", "divided")], pa.array(cut, pa.binary())], ["id", "th", "at", "gram", "n", "h", "salt", "divided", "body"])
+                body, wanted = b.column(2)[row].as_py(), b.column(3)[row].values
+                at, span, gram = (wanted.field(c).to_pylist() for c in ("at", "span", "gram"))
+                left = [body[a : a + g][::-1] for a, g in zip(at, gram, strict=True)]
+                right = [body[a + g : a + s + least - 1] for a, s, g in zip(at, span, gram, strict=True)]
+                same = pa.array([row] * len(left), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(1).take(same), *[wanted.field(c) for c in ("at", "n", "h")], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["id", "th", "at", "n", "h", "left", "right"])
 
     return run
 
@@ -225,43 +231,89 @@ def repeats(bodies: list[bytes], counts: list[int], least: int = LEAST) -> tuple
     return owner, order - begins[owner], total[run]
 
 
+def _common(x: bytes, y: bytes) -> int:
+    """Length of the longest common beginning."""
+    m = min(len(x), len(y))
+    return m - ((int.from_bytes(x[:m]) ^ int.from_bytes(y[:m])).bit_length() + 7) // 8
+
+
 def _shared(parts: list[bytes]) -> list[int]:
     """For each part, the longest beginning that any other one has too."""
     order = sorted(range(len(parts)), key=parts.__getitem__)
     out = [0] * len(parts)
     for i, j in zip(order, order[1:], strict=False):
-        m = min(len(parts[i]), len(parts[j]))
-        differ = int.from_bytes(parts[i][:m]) ^ int.from_bytes(parts[j][:m])
-        k = m - (differ.bit_length() + 7) // 8
+        k = _common(parts[i], parts[j])
         out[i], out[j] = max(out[i], k), max(out[j], k)
     return out
 
 
-def trimmed(bodies: list[bytes], grams: list[int], least: int = LEAST) -> list[tuple[int, int]]:
-    """The bytes [from, to) of each body of an anchor, whose gram is at `grams`, that can lie in a window of another one."""
-    right = _shared([x[p:] for x, p in zip(bodies, grams, strict=True)])
-    left = _shared([x[:p][::-1] for x, p in zip(bodies, grams, strict=True)])
-    return [(p - k, p + r) if k + r >= least else (0, 0) for p, k, r in zip(grams, left, right, strict=True)]
+def _sharing(salted: int):
+    """The same for sorted partitions of rows (key, h, side), within each h; a partition's first and last side go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, turn = TaskContext.get().partitionId(), 0
+        kinds = {"key": pa.int64(), "h": pa.int64(), "shared": pa.int32(), "salt": pa.int64(), "part": pa.int32(), "turn": pa.int64(), "edge": pa.binary()}
+        last = None
+
+        def row(key: int, h: int, side: bytes, shared: int, turn: int, edge: bool) -> tuple:
+            return key, h, shared, part << 32 | turn // salted, part, turn, side if edge else None
+
+        for b in batches:
+            made = []
+            for key, h, side in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                k = _common(last[2], side) if last and last[1] == h else 0
+                if last:
+                    made.append(row(*last[:3], max(last[3], k), last[4], last[4] == 0))
+                last = (key, h, side, k, turn)
+                turn += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row(*last, True), kinds.values(), strict=True)], list(kinds))
+
+    return run
+
+
+def _trims(large: DataFrame, side: str, other: str, salted: int) -> DataFrame:
+    """key, <side>_shared and salt of contexts: the bytes of one side that any other context of their anchor shares."""
+    spark = large.sparkSession
+    ordered = large.repartitionByRange("h", side, other, "key").sortWithinPartitions("h", side, other, "key")
+    found = stored(ordered.select("key", "h", side).mapInArrow(_sharing(salted), "key long, h long, shared int, salt long, part int, turn long, edge binary"), "suffix-trims")
+    edges = found.filter("edge is not null").select("part", "turn", "key", "h", "edge").orderBy("part", "turn").collect()  # two rows a partition
+    over = []
+    for x, y in zip(edges, edges[1:], strict=False):
+        if x["part"] != y["part"] and x["h"] == y["h"]:
+            k = _common(bytes(x["edge"]), bytes(y["edge"]))
+            over += [(x["key"], k), (y["key"], k)]
+    over = spark.createDataFrame(over, "key long, over int").groupBy("key").agg(F.max("over").alias("over"))
+    return found.join(F.broadcast(over), "key", "left").select("key", F.greatest("shared", F.coalesce("over", F.lit(0))).alias(f"{side}_shared"), "salt")
+
+
+def trimmed(lefts: list[bytes], rights: list[bytes], least: int = LEAST) -> list[tuple[int, int]]:
+    """How many bytes left and right of each context of an anchor can lie in a window of another one."""
+    return [(k, r) if k + r >= least else (0, 0) for k, r in zip(_shared(lefts), _shared(rights), strict=True)]
 
 
 def _blocks(least: int):
     names = ["id", "th", "a", "b", "win"]
 
     def closed(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        column = {c: batch.column(c).to_pylist() for c in ("h", "salt", "divided", "at", "gram", "n", "body")}
-        whole, counts, divided = column["body"], column["n"], np.array(column["divided"])
-        cut = [(0, len(x)) for x in whole]
+        column = {c: batch.column(c).to_pylist() for c in ("h", "salt", "divided", "at", "n", "left", "right")}
+        counts, divided = column["n"], np.array(column["divided"])
+        whole = list(zip(column["left"], column["right"], strict=True))
+        cut = [(len(x), len(y)) for x, y in whole]
         keys = list(zip(column["h"], column["salt"], strict=True))
         for k, group in itertools.groupby(range(len(keys)), key=keys.__getitem__):
             rows = list(group)
-            if not column["divided"][rows[0]]:
-                for i, c in zip(rows, trimmed([whole[i] for i in rows], [column["gram"][i] for i in rows], least), strict=True):
+            if not divided[rows[0]]:
+                for i, c in zip(rows, trimmed([whole[i][0] for i in rows], [whole[i][1] for i in rows], least), strict=True):
                     cut[i] = c
+        starts = [at + len(x) - k for at, (x, _), (k, _) in zip(column["at"], whole, cut, strict=True)]
+        bodies = [x[:k][::-1] + y[:r] for (x, y), (k, r) in zip(whole, cut, strict=True)]
         # Equal trimmed contexts of an anchor go into the suffix array once, with all their occurrences.
         owners: dict[tuple, list[int]] = {}
-        for i, (a, b) in enumerate(cut):
-            if b > a:
-                owners.setdefault((keys[i], whole[i][a:b]), []).append(i)
+        for i, body in enumerate(bodies):
+            if body:
+                owners.setdefault((keys[i], body), []).append(i)
         held = list(owners.values())
         distinct, start, times = repeats([body for _, body in owners], [sum(counts[i] for i in x) for x in held], least)
         rows, a, z, win = [], [], [], []
@@ -273,22 +325,21 @@ def _blocks(least: int):
             for lo, hi in zip([0, *edge], [*edge, len(found)], strict=True):
                 for i in held[o[lo]]:
                     if counts[i] == 1:  # others are known to be repeated as a whole
-                        base = column["at"][i] + cut[i][0]
                         rows.append(i)
-                        a.append(base + int(s[lo]))
-                        z.append(base + int(s[hi - 1]))
+                        a.append(starts[i] + int(s[lo]))
+                        z.append(starts[i] + int(s[hi - 1]))
                         win.append(None)
         told = None
         lead = np.array([x[0] for x in held], np.int64)
         for k in np.flatnonzero(divided[lead[distinct]]).tolist() if divided.any() else []:
             i, s = int(lead[distinct[k]]), int(start[k])
-            dig = xxhash.xxh3_128_digest(whole[i][s : s + least])
+            dig = xxhash.xxh3_128_digest(bodies[i][s : s + least])
             single = times[k] == 1
             if not single and dig == told:
                 continue
             told = dig
             rows.append(i)
-            a.append(column["at"][i] + s if single else None)
+            a.append(starts[i] + s if single else None)
             z.append(None)
             win.append(dig)
         take = pa.array(rows, pa.int64())
@@ -299,14 +350,14 @@ def _blocks(least: int):
         held, size, last = [], 0, None
         for b in batches:
             keys = list(zip(b.column("h").to_pylist(), b.column("salt").to_pylist(), strict=True))
-            widths = b.column("body").to_pylist()
+            widths = pc.add(pc.binary_length(b.column("left")), pc.binary_length(b.column("right"))).to_pylist()
             begin = 0
             for k, key in enumerate(keys):
                 if key != last and size >= BLOCK:
                     yield from closed(pa.Table.from_batches([*held, b.slice(begin, k - begin)]))
                     held, size, begin = [], 0, k
                 last = key
-                size += len(widths[k])
+                size += widths[k]
             held.append(b.slice(begin))
         if size:
             yield from closed(pa.Table.from_batches(held))
@@ -333,15 +384,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     kind = keyed.schema["id"].dataType.simpleString()
     anchors = stored(keyed.mapInArrow(_anchors(least), f"id {kind}, th long, h long, dig long, at long, upto long, span int, gram int, n long"), "suffix-anchors")
     per = stored(anchors.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "at", "span", "gram")).alias("rep")), "suffix-contexts")
+    twice = stored(per.filter("n > 1").select("h", "dig"), "suffix-copies")
     several = per.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    salts = F.ceil(F.col("contexts") / salted)
-    need = per.join(several, "h").select("rep.*", "n", "h", F.pmod(F.xxhash64("dig"), salts).cast("int").alias("salt"), (salts > 1).alias("divided"))
-    bodies = _with_lists(keyed, need, ["at", "span", "gram", "n", "h", "salt", "divided"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, gram int, n long, h long, salt int, divided boolean, body binary")
-    found = stored(bodies.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(least), f"id {kind}, th long, a long, b long, win binary"), "suffix-found")
+    need = stored(per.join(several, "h").select("rep.*", "n", "h", "contexts"), "suffix-wanted")
+    discard(per)
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        return _with_lists(keyed, wanted, ["at", "span", "gram", "n", "h"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, n long, h long, left binary, right binary")
+
+    columns = ["id", "th", "at", "n", "h", "salt", "divided", "left", "right"]
+    ready = bodies(need.filter(F.col("contexts") <= salted)).withColumn("salt", F.lit(0).cast("long")).withColumn("divided", F.lit(False)).select(columns)
+    large = need.filter(F.col("contexts") > salted)
+    if not large.isEmpty():
+        large = stored(bodies(large).withColumn("key", F.monotonically_increasing_id()), "suffix-large")
+        cut = large.join(_trims(large, "left", "right", salted), "key").join(_trims(large, "right", "left", salted).drop("salt"), "key").filter(F.col("left_shared") + F.col("right_shared") >= least)
+        cut = cut.withColumn("at", F.col("at") + F.octet_length("left") - F.col("left_shared")).withColumn("divided", F.lit(True))
+        ready = ready.union(cut.withColumn("left", F.expr("substring(left, 1, left_shared)")).withColumn("right", F.expr("substring(right, 1, right_shared)")).select(columns))
+    found = stored(ready.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(least), f"id {kind}, th long, a long, b long, win binary"), "suffix-found")
     # A window's rows are one a block, so a list is no longer than the blocks of an anchor.
     merged = found.filter("win is not null").groupBy("win").agg(F.count("*").alias("k"), F.collect_list(F.when(F.col("a").isNotNull(), F.struct("id", "th", "a"))).alias("one")).filter("k > 1")
     merged = merged.select(F.explode("one").alias("x")).select("x.id", "x.th", "x.a", F.col("x.a").alias("b"))
-    copies = anchors.join(per.filter("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("id", "th", F.col("at").alias("a"), F.col("upto").alias("b"))
+    copies = anchors.join(twice, ["h", "dig"], "left_semi").select("id", "th", F.col("at").alias("a"), F.col("upto").alias("b"))
     return found.filter("win is null").select("id", "th", "a", "b").union(merged).union(copies)
 
 
