@@ -3,12 +3,14 @@
 Texts with the same shingle set are one node, so copies never meet in pairs. A band bucket links its nodes to one of them
 first (a star), the one that meets most nodes over all its buckets: the text that others are copies of meets more than a copy
 does. Only where a bucket still holds several components are nodes outside its largest component compared with the others.
-Before full sets are compared, parity bitmaps of the sets rule out pairs that cannot be linked. No bucket is expanded into
-all its pairs, and no link between different components is left out.
+There a node meets the nodes of its own and the two neighbouring size classes only, and the classes of a bucket are separate
+join keys. Before full sets are compared, parity bitmaps of the sets rule out pairs that cannot be linked. No link between
+different components is left out. Sets of one or two shingles are linked by equality alone, so they need no bands.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -19,24 +21,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import stored
+from heddle.llm.common import discard, stored
 
 SHINGLE, SIMILAR = 5, 75
-#: Node lists up to which texts are looked up by broadcast; beyond it they are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Nodes up to which texts are looked up by broadcast (100 bytes each, 20 MB); beyond it they are joined by a shuffle.
+BROADCAST_NODES = 200_000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
-#: Longs of a set's parity bitmap.
-PARITY = 16
+#: Sizes of linked sets differ by a factor of 4/3 at most, so their classes of this ratio are the same or neighbours.
+CLASS = 1.34
 
 
 @dataclass(frozen=True)
 class Bands:
-    """bands of rows minima each; bits low bits of every minimum are kept for estimates (0: none)."""
+    """bands of rows minima each; bits low bits of every minimum are kept for estimates (0: none), and parity longs of a set's bitmap."""
 
     bands: int
     rows: int
     bits: int = 0
+    parity: int = 16
 
     def missed(self, similarity: float) -> float:
         """Chance that no band of a pair of this similarity agrees."""
@@ -61,9 +64,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str, words: _Hashes) -> np.ndarray:
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII blanks only
+
+
+def shingle_set(found: list[bytes], words: _Hashes) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; the whole sequence if it is shorter than one; empty without words."""
-    found = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -108,9 +114,9 @@ def _packed(low: np.ndarray, plan: Bands) -> np.ndarray:
     return out
 
 
-def _parities(sets: list[np.ndarray]) -> np.ndarray:
+def _parities(sets: list[np.ndarray], longs: int = 16) -> np.ndarray:
     """A bitmap per set: a bit is set where an odd number of hashes fall on it. Two bitmaps differ in no more bits than the sets in hashes."""
-    bits = 64 * PARITY
+    bits = 64 * longs
     at = np.concatenate([(s & np.uint64(bits - 1)).astype(np.int64) + i * bits for i, s in enumerate(sets)])
     odd = (np.bincount(at, minlength=bits * len(sets)) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.int64)
@@ -118,7 +124,7 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
 
 def _columns(plan: Bands) -> list[str]:
     """The long columns of a signature: low bits of minima, parity bitmap."""
-    return [f"s{k}" for k in range(plan.longs)] + [f"p{k}" for k in range(PARITY)]
+    return [f"s{k}" for k in range(plan.longs)] + [f"p{k}" for k in range(plan.parity)]
 
 
 def _signer(plan: Bands):
@@ -127,20 +133,21 @@ def _signer(plan: Bands):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+                tokens = [words_of(t) for t in b.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in tokens]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 nodes, keys, packed = [None] * len(sets), [None] * len(sets), [[None] * len(sets) for _ in _columns(plan)]
                 if full:
                     low = minima([sets[i] for i in full], plan.bands * plan.rows)
                     rows = _band_keys(low, plan).T.view(np.int64)
-                    longs = np.concatenate([_packed(low, plan).view(np.int64), _parities([sets[i] for i in full]).T])
+                    longs = np.concatenate([_packed(low, plan).view(np.int64), _parities([sets[i] for i in full], plan.parity).T])
                     for j, i in enumerate(full):
                         nodes[i], keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), rows[j].tobytes()
                         for k, column in enumerate(packed):
                             column[i] = int(longs[k, j])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([k and np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64())), *[pa.array(p, pa.int64()) for p in packed]],
-                    ["id", "n", "node", "keys", *_columns(plan)],
+                    [b.column(0), pa.array(map(len, tokens), pa.int32()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([k and np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64())), *[pa.array(p, pa.int64()) for p in packed]],
+                    ["id", "words", "n", "node", "keys", *_columns(plan)],
                 )
 
     return run
@@ -149,7 +156,7 @@ def _signer(plan: Bands):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Hashes()
     for b in batches:
-        sets = [shingle_set(t, words) for t in b.column(2).to_pylist()]
+        sets = [shingle_set(words_of(t), words) for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "wanted", "node", "body"])
 
 
@@ -183,7 +190,8 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     while not _all_stars(edges):
-        edges = stored(turned(turned(edges, True), False), "edges")
+        before, edges = edges, stored(turned(turned(edges, True), False), "edges")
+        discard(before)
     return edges.select(F.col("b").alias("nid"), F.col("a").alias("comp")).union(edges.select(F.col("a").alias("nid"), F.col("a").alias("comp"))).distinct()
 
 
@@ -195,7 +203,7 @@ def _alike(x: str, y: str, plan: Bands, slack: float) -> Column:
     unless it lies below the threshold by more than slack.
     """
     sizes = (100 * F.col(f"{x}.n") >= SIMILAR * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= SIMILAR * F.col(f"{x}.n"))
-    differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITY)])
+    differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(plan.parity)])
     sizes = sizes & ((100 + SIMILAR) * differing <= (100 - SIMILAR) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
     if not plan.bits:
         return sizes
@@ -205,24 +213,29 @@ def _alike(x: str, y: str, plan: Bands, slack: float) -> Column:
     return sizes & ((1 - unequal / minima_ - chance) / (1 - chance) >= SIMILAR / 100 - slack)
 
 
-def classes(items: DataFrame, plan: Bands, slack: float = 0.22) -> DataFrame:
-    """id, n, node, comp of items (id, text): set size, set identity, and the component's smallest id; null without words.
+def classes(items: DataFrame, plan: Bands, slack: float = 0.22, least: int = 0) -> DataFrame:
+    """id, words, n, node, comp of items (id, text): words, set size, set identity, and the component's smallest id; null without words.
 
-    items is read once for signatures, and again for the texts of candidate nodes.
+    With least, only links count whose larger set has so many shingles. items is read once for signatures, and again for the
+    texts of candidate nodes.
     """
     kind = items.schema["id"].dataType.simpleString()
     longs = _columns(plan)
-    shape = f"id {kind}, n long, node binary, keys array<long>" + "".join(f", {s} long" for s in longs)
+    shape = f"id {kind}, words int, n long, node binary, keys array<long>" + "".join(f", {s} long" for s in longs)
     signed = stored(items.select("id", "text").mapInArrow(_signer(plan), shape), "near-signed")
     per = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", *longs)])
     nodes = stored(per.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
+    members_ = stored(signed.select("id", "words", "n", "node"), "near-items")
+    discard(signed)
     thin = nodes.select("nid", "n", *longs)
-    placed = nodes.select("nid", F.explode("keys").alias("bucket"))
+    # The smaller set of a link has SIMILAR percent of the larger one's shingles at least.
+    placed = nodes.filter(F.col("n") >= max(3, -(-SIMILAR * least // 100))).select("nid", F.explode("keys").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     met = stored(placed.join(shared, "bucket"), "near-met")
     meets = met.join(met.groupBy("nid").agg(F.sum("size").alias("meets")), "nid")
     centre = meets.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("nid")).alias("least"))).alias("top")).select("bucket", (-F.col("top.least")).alias("rep"))
     members = stored(met.join(centre, "bucket").select("bucket", "nid", "rep"), "near-members")
+    discard(met)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, name)
@@ -233,25 +246,31 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22) -> DataFrame:
         body = texts.mapInArrow(_sets, "nid long, wanted binary, node binary, body binary").filter("node = wanted").select("nid", "body").dropDuplicates(["nid"])
         body = stored(body, f"{name}-sets")
         full = pairs.join(body.select(F.col("nid").alias("b"), F.col("body").alias("y")), "b").join(body.select(F.col("nid").alias("a"), F.col("body").alias("x")), "a")
-        return stored(full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"{name}-links")
+        out = stored(full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"{name}-links")
+        discard(pairs, wanted, body)
+        return out
 
+    alike = _alike("x", "y", plan, slack) & (F.greatest("x.n", "y.n") >= least)
     star = members.filter("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct()
     star = star.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
-    links = verified(star.filter(_alike("x", "y", plan, slack)).select("a", "b"), "near-star")
+    links = verified(star.filter(alike).select("a", "b"), "near-star")
 
     comp = stored(components(links), "near-star-components")
     of = members.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     several = of.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    mixed = stored(of.join(several, "bucket").join(thin, "nid"), "near-mixed")
+    mixed = stored(of.join(several, "bucket").join(thin, "nid").withColumn("class", F.floor(F.log("n") / math.log(CLASS)).cast("int")), "near-mixed")
+    discard(members, comp)
     major = mixed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    minor = mixed.join(major, "bucket").filter("comp <> major")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
+    minor = mixed.join(major, "bucket").filter("comp <> major").withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
     # Pairs with a bucket's centre were compared in its star.
     new = (F.col("x.nid") != F.col("x.rep")) & (F.col("y.nid") != F.col("y.rep"))
-    cross = minor.alias("x").join(mixed.alias("y"), apart & new & _alike("x", "y", plan, slack)).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    cross = minor.alias("x").join(mixed.alias("y"), apart & new & alike).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
     more = verified(cross, "near-cross")
+    discard(mixed)
 
     comp = components(links.union(more))
     named = stored(nodes.select("nid", "node", "id").join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "near-named")
-    least = named.groupBy("comp").agg(F.min("id").alias("first"))
-    return signed.select("id", "n", "node").join(named.join(least, "comp").select(F.col("node").alias("_node"), F.col("first").alias("comp")), F.col("node") == F.col("_node"), "left").select("id", "n", "node", "comp")
+    discard(nodes)
+    least_of = named.groupBy("comp").agg(F.min("id").alias("first"))
+    return members_.join(named.join(least_of, "comp").select(F.col("node").alias("_node"), F.col("first").alias("comp")), F.col("node") == F.col("_node"), "left").select("id", "words", "n", "node", "comp")

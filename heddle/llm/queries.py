@@ -150,21 +150,58 @@ ORACLES = {
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id,
                s.doc_id = least(s.doc_id, coalesce(m.y, s.doc_id)) AS kept
         FROM shingled s LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = s.doc_id""",
-    "op9_paragraph_bands": r"""
-        WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS paragraph FROM documents),
+    "op9_paragraph_bands": rf"""
+        WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, (generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1)::INTEGER AS paragraph FROM documents),
         words AS (
-            SELECT doc_id * 100000 + paragraph AS id, [x FOR x IN regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            SELECT doc_id, paragraph, [x FOR x IN regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
             FROM lines),
-        shingled AS (SELECT id, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM words WHERE len(w) >= 20),
+        shingled AS (
+            SELECT doc_id * 100000 + paragraph AS id, len(w)::INTEGER AS length,
+                   CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+            FROM words WHERE len(w) > 0),
         one AS (SELECT id, unnest(s) AS g FROM shingled),
         pairs AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
         links AS (
             SELECT x, y FROM pairs JOIN shingled a ON a.id = x JOIN shingled b ON b.id = y
-            WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+            WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n) AND greatest(len(a.s), len(b.s)) >= {paragraph_bands.LEAST}),
         either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
         reach(x, y) AS (SELECT x, y FROM either UNION SELECT r.x, e.y FROM reach r JOIN either e ON r.y = e.x),
-        least_ AS (SELECT x AS id, least(x, min(y)) AS keep FROM reach GROUP BY x)
-        SELECT id // 100000 AS doc_id, (id % 100000)::INTEGER AS paragraph, len(s)::BIGINT AS n_shingles, keep // 100000 AS keep_doc_id, (keep % 100000)::INTEGER AS keep_paragraph,
-               count(*) OVER (PARTITION BY keep) AS members, id = keep AS kept
-        FROM least_ JOIN shingled USING (id)""",
+        least_ AS (SELECT x AS id, least(x, min(y)) AS keep FROM reach GROUP BY x),
+        para AS (
+            SELECT id // 100000 AS doc_id, (id % 100000)::INTEGER AS paragraph, length, len(s)::BIGINT AS n_shingles, keep // 100000 AS keep_doc_id, (keep % 100000)::INTEGER AS keep_paragraph,
+                   count(*) OVER (PARTITION BY keep) AS members, id = keep AS kept
+            FROM least_ JOIN shingled USING (id)),
+        tokens AS (SELECT doc_id, paragraph, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words WHERE len(w) > 0),
+        placed AS (
+            SELECT doc_id, paragraph, i - 1 AS inside, word, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS n,
+                   row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, i) - 1 AS pos
+            FROM tokens),
+        keyed AS (
+            SELECT doc_id, pos, n,
+                   ((h::UHUGEINT * {paragraph_bands.KEY[0]} + (lead(h, 1) OVER w)::UHUGEINT * {paragraph_bands.KEY[1]} + (lead(h, 2) OVER w)::UHUGEINT * {paragraph_bands.KEY[2]}) % 18446744073709551616)::UBIGINT AS key
+            FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        leasts AS (
+            SELECT doc_id, pos, n, min(key - key % 16777216 + pos::UBIGINT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {paragraph_bands.REACH - 1} FOLLOWING) AS low
+            FROM keyed WHERE pos <= n - {paragraph_bands.PASSAGE}),
+        chosen AS (SELECT DISTINCT doc_id, (low % 16777216)::BIGINT AS pos FROM leasts WHERE pos <= greatest(0, n - {paragraph_bands.PASSAGE + paragraph_bands.REACH - 1})),
+        whole AS (SELECT doc_id, list(word ORDER BY pos) AS w, list(paragraph ORDER BY pos) AS p, list(inside ORDER BY pos) AS k FROM placed GROUP BY doc_id),
+        spelled AS (
+            SELECT doc_id, pos, array_to_string(w[pos + 1:pos + {paragraph_bands.PASSAGE}], ' ') AS t, p[pos + 1] AS p0, p[pos + {paragraph_bands.PASSAGE}] AS p1, k[pos + 1]::INTEGER AS inside
+            FROM chosen JOIN whole USING (doc_id)),
+        fresh AS (
+            SELECT * FROM spelled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+            QUALIFY coalesce(t <> lag(t) OVER w OR pos - lag(pos) OVER w >= {paragraph_bands.PASSAGE}, true)),
+        untouched AS (SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM para r WHERE NOT r.kept AND r.doc_id = f.doc_id AND r.paragraph BETWEEN f.p0 AND f.p1)),
+        grouped AS (
+            SELECT *, count(*) OVER (PARTITION BY t) AS members, first_value(doc_id) OVER g AS keep_doc_id, first_value(p0) OVER g AS keep_paragraph, first_value(inside) OVER g AS keep_start, row_number() OVER g = 1 AS kept
+            FROM untouched WINDOW g AS (PARTITION BY t ORDER BY doc_id, pos)),
+        opened AS (
+            SELECT *, coalesce((pos > lag(pos) OVER w + {paragraph_bands.PASSAGE})::INTEGER, 1) AS o FROM grouped WHERE members > 1 WINDOW w AS (PARTITION BY doc_id, kept ORDER BY pos)),
+        runs AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, kept ORDER BY pos) AS run FROM opened),
+        parts AS (
+            SELECT doc_id, kept, arg_min(p0, pos) AS paragraph, arg_min(inside, pos) AS start, (max(pos) - min(pos) + {paragraph_bands.PASSAGE})::INTEGER AS length,
+                   arg_min(keep_doc_id, pos) AS keep_doc_id, arg_min(keep_paragraph, pos) AS keep_paragraph, arg_min(keep_start, pos) AS keep_start, max(members) AS members
+            FROM runs GROUP BY doc_id, kept, run)
+        SELECT doc_id, 'paragraph' AS kind, paragraph, 0 AS start, length, n_shingles, keep_doc_id, keep_paragraph, 0 AS keep_start, members, kept FROM para
+        UNION ALL SELECT doc_id, 'passage', paragraph, start, length, (length - 4)::BIGINT, keep_doc_id, keep_paragraph, keep_start, members, kept FROM parts""",
 }

@@ -56,6 +56,7 @@ def test_odd_rows(spark, odd):
         rows = out.collect()
         assert len({(r["doc_id"], r["piece"]) for r in rows}) >= 8 if name == "pack" else len(rows) == n, name
     paragraph_bands.repeated(odd).collect()
+    assert paragraph_bands.dedup(odd).count() == n
 
 
 def test_empty_tables(spark, empty):
