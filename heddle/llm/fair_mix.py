@@ -1,13 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order that only the identifier and the seed decide; the queue is
-served twice at most. An entry's virtual finish time is the words of its queue up to its end, divided by the source's
-target, so all queues meet their targets at time 1. Entries are sorted by finish time in ranges, the running total of words
-is cut at the budget, and the entry that a queue has in service at the cut is truncated there.
+served twice at most. A document's virtual finish time is the words of its queue up to its end, divided by the source's
+target. Documents are sorted by finish time in ranges over all sources, and the running total of their words is truncated
+at the budget, which is the sum of the targets. A document that its queue still has in service at time 1, when a queue
+without pauses has met its target, is served in packets of PACKET words that have finish times of their own: so a source ends
+within a packet of its target, however long its documents are. No source is cut by itself.
 
 A source of any share is totalled in buckets of its shuffled order, never in one window. Null text has no words, a null
-source is a source like any other (last in order), repeated identifiers are separate entries, and documents without words
-are never taken. An empty table gives an empty result.
+source is a source like any other (last in order), repeated identifiers are separate entries, ties go by source and place
+in the queue, texts of any length are counted whole, and documents without words are never taken. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from heddle.llm.common import ROW, WORD, bucketed_total, keyed, joined_small, st
 WEIGHTS = (3, 1, 2)
 #: Times that a document may be used.
 EPOCHS = 2
+#: Words of a packet.
+PACKET = 256
 #: Documents that one window totals, about.
 BUCKET_ROWS = 20_000
 
@@ -66,18 +71,22 @@ def queue(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 
 def mix(queued: DataFrame) -> DataFrame:
-    """The mix in its order: an entry for each document and epoch that is taken: doc, source, upto, epoch, size, words, finish, running.
+    """The mix in its order, a row for each document and epoch that is taken, or for each packet of it: doc, source, upto, epoch, size, words, finish, running.
 
-    words is under size where the entry is truncated; running is the total of words up to the entry.
+    words is cut in the packet at the budget's end; running is the total of words up to the packet's end.
     """
     ranges = max(16, -(-queued.count() // BUCKET_ROWS))
-    budget = queued.select("source", "target").distinct().agg(F.sum("target").alias("budget"))  # a row per source
-    end = F.col("epoch") * F.col("source_size") + F.col("upto")
-    entry = queued.filter("size > 0").withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
-    entry = entry.withColumn("words", F.least("size", F.floor("target") - (end - F.col("size")))).filter("words > 0")
-    entry = entry.withColumn("finish", F.least(F.lit(1.0), end / F.col("target"))).withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges))).withColumn("all", F.lit(1))
-    total = bucketed_total(entry, ["all"], "range", ["finish", "source", "upto", "epoch"], "words", "running")
-    return total.join(F.broadcast(budget)).filter("running - words < budget").select("doc", "source", "upto", "epoch", "size", "words", "finish", "running", *[c for c in queued.columns if c == "row"])
+    # A row per source; the sum is a half or whole number of words up to rounding.
+    budget = queued.select("source", "target").distinct().agg(F.floor(F.sum("target") + 0.001).alias("budget"))
+    entry = queued.filter("size > 0").withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("upto") - F.col("size"))
+    over = F.col("begin") + F.col("size") <= F.col("target")
+    entry = entry.withColumn("over", over).withColumn("packet", F.explode(F.when(over, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long")))))
+    # What starts after time 1 cannot be reached: the packets in service then hold all that is left of the budget.
+    entry = entry.filter(F.col("begin") + F.col("packet") < F.col("target")).withColumn("words", F.when(F.col("over"), F.col("size")).otherwise(F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("packet"))))
+    entry = entry.withColumn("finish", (F.col("begin") + F.col("packet") + F.col("words")) / F.col("target")).withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges))).withColumn("all", F.lit(1))
+    total = bucketed_total(entry, ["all"], "range", ["finish", F.col("source").asc_nulls_last(), "upto", "epoch", "packet"], "words", "running")
+    total = total.join(F.broadcast(budget)).filter("running - words < budget").withColumn("words", F.least("words", F.col("budget") - F.col("running") + F.col("words")))
+    return total.select("doc", "source", "upto", "epoch", "size", "words", "finish", "running", *[c for c in queued.columns if c == "row"])
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -95,7 +104,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     """
     rows = keyed(docs, "mix-rows")
     entries = mix(stored(queue(rows, id_col, text_col=text_col, row_col=ROW, **how), "mix-queue"))
-    entries = entries.select(F.col("row").alias(ROW), F.col("size").alias("_size"), F.col("words").alias("_words"))
+    entries = entries.groupBy(F.col("row").alias(ROW), "epoch").agg(F.first("size").alias("_size"), F.sum("words").alias("_words")).drop("epoch")
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
     cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text_col))
     return rows.join(entries, ROW).withColumn(text_col, cut).select(docs.columns)

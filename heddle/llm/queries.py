@@ -127,11 +127,22 @@ ORACLES = {
         goal AS (
             SELECT source, source_size,
                    least((source_size * 2)::DOUBLE, coalesce((SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, turn LIMIT 1) * weight, (source_size * 2)::DOUBLE)) AS target
-            FROM levels)
-        SELECT p.doc_id, p.size, g.source_size, g.target,
-               (least(p.size, greatest(0, floor(g.target) - (p.upto - p.size)))
-                + least(p.size, greatest(0, floor(g.target) - (g.source_size + p.upto - p.size))))::BIGINT AS taken
-        FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source""",
+            FROM levels),
+        entries AS (
+            SELECT p.source, p.size, p.upto, g.target, e.epoch, e.epoch * g.source_size + p.upto - p.size AS begin_
+            FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source, range(2) AS e(epoch)
+            WHERE p.size > 0 AND e.epoch * g.source_size + p.upto - p.size < g.target),
+        packets AS (SELECT *, begin_ + size <= target AS over_, unnest(CASE WHEN begin_ + size <= target THEN [0] ELSE range(0, size, 256) END) AS packet FROM entries),
+        sliced AS (SELECT *, CASE WHEN over_ THEN size ELSE least(256, size - packet) END AS n FROM packets WHERE begin_ + packet < target),
+        served AS (
+            SELECT *, sum(n) OVER (ORDER BY (begin_ + packet + n)::DOUBLE / target, source NULLS LAST, upto, epoch, packet ROWS UNBOUNDED PRECEDING) AS running
+            FROM sliced),
+        got AS (
+            SELECT source, upto, sum(least(n, budget - (running - n))) AS words
+            FROM served, (SELECT floor(sum(target) + 0.001) AS budget FROM goal) WHERE running - n < budget GROUP BY source, upto)
+        SELECT p.doc_id, p.size, g.source_size, g.target, coalesce(t.words, 0)::BIGINT AS taken
+        FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
+        LEFT JOIN got t ON p.source IS NOT DISTINCT FROM t.source AND p.upto = t.upto AND p.size > 0""",
     "op10_bbit_minhash": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
