@@ -35,7 +35,9 @@ from heddle.llm.common import bucketed_total, stored, text_or_empty
 
 CAPACITY, END = 1024, 2
 #: Groups of equal cardinality, and the share of the capacity up to which a length is small.
-GROUPS, SMALL = 96, 1 / 8
+GROUPS, SMALL = 96, 1 / 4
+#: Limits tried for what a used configuration may leave of the capacity; below 0 none is used.
+WASTE = (CAPACITY, 128, 64, 32, 16, 8, 4, 2, 1, 0, -1)
 #: Words whose ids a task keeps.
 CACHE = 500_000
 BUCKET_ROWS = 20_000
@@ -181,52 +183,74 @@ class _Classes:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, list[int]]]:
-    """Classes of sequences (how many, lengths in order) that hold every length of the histogram as often as it counts."""
-    classes = _Classes(capacity)
-    classes.add(histogram.get(capacity, 0), [capacity])
+    """Classes of sequences (how many, lengths in order) that hold every length of the histogram as often as it counts.
+
+    Configurations are used where they waste no more than a limit of WASTE; of these limits the one that needs the fewest
+    sequences counts, the widest first. Without any configuration the plan is that of best-fit decreasing, which so bounds it.
+    """
     large = [(s, histogram[s]) for s in sorted(histogram, reverse=True) if small * capacity < s < capacity]
-    if large:
-        total = sum(c for _, c in large)
-        # Group borders at equal cardinality; a length's documents may fall in two groups.
-        edges = sorted({total * g // groups for g in range(groups + 1)})
-        upto = np.cumsum([c for _, c in large])
-        lengths = np.array([s for s, _ in large])
-        sizes = np.array([lengths[np.searchsorted(upto, e, side="right")] for e in edges[:-1]])
-        counts = np.diff(edges)
-        kinds = np.unique(sizes)[::-1]
-        demand = np.array([counts[sizes == s].sum() for s in kinds])
-        left, next_at = demand.copy(), np.concatenate([[0], np.cumsum(demand)[:-1]])
-        for pattern, amount in sorted(configurations(kinds, demand.astype(float), capacity), key=lambda x: -x[1]):
-            times = min([int(amount + 1e-6), *[int(left[g] // a) for g, a in enumerate(pattern) if a]])
-            if times <= 0 or not pattern.any():
-                continue
-            columns = []
-            for g in np.flatnonzero(pattern):
-                for _ in range(pattern[g]):
-                    columns.append(int(next_at[g]))
-                    next_at[g] += times
-                    left[g] -= times
-            # Each column is a run of actual documents; cut where any column's length changes.
-            cuts = {0, times}
-            for c in columns:
-                cuts |= {int(u) - c for u in upto[np.searchsorted(upto, c, side="right") :] if u - c < times}
-            cuts = sorted(cuts)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                classes.add(b - a, [int(lengths[np.searchsorted(upto, c + a, side="right")]) for c in columns])
-        ends = np.cumsum(demand)
-        rest: dict[int, int] = {}
-        for g in range(len(kinds)):
-            at = int(next_at[g])
-            while at < ends[g]:
-                i = int(np.searchsorted(upto, at, side="right"))
-                to = min(int(upto[i]), int(ends[g]))
-                rest[int(lengths[i])] = rest.get(int(lengths[i]), 0) + to - at
-                at = to
+    best: list[tuple[int, list[int]]] | None = None
+    made = _grouped(large, capacity, groups) if large else None
+    for waste in WASTE if large else (None,):
+        classes = _Classes(capacity)
+        classes.add(histogram.get(capacity, 0), [capacity])
+        rest = _substituted(classes, made, waste) if large else {}
+        for s in (s for s in histogram if s <= small * capacity):
+            rest[s] = histogram[s]
         for s in sorted(rest, reverse=True):
             classes.best_fit(s, rest[s])
-    for s in sorted((s for s in histogram if s <= small * capacity), reverse=True):
-        classes.best_fit(s, histogram[s])
-    return [x for gap in sorted(classes.gaps) for x in classes.gaps[gap]]
+        found = [x for gap in sorted(classes.gaps) for x in classes.gaps[gap]]
+        if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
+            best = found
+    return best
+
+
+def _grouped(large: list[tuple[int, int]], capacity: int, groups: int) -> tuple:
+    """Lengths in descending order and their counts' running totals, demand of each rounded size, and the optimal configurations."""
+    total = sum(c for _, c in large)
+    # Group borders at equal cardinality; a length's documents may fall in two groups.
+    edges = sorted({total * g // groups for g in range(groups + 1)})
+    upto = np.cumsum([c for _, c in large])
+    lengths = np.array([s for s, _ in large])
+    sizes = np.array([lengths[np.searchsorted(upto, e, side="right")] for e in edges[:-1]])
+    counts = np.diff(edges)
+    kinds = np.unique(sizes)[::-1]
+    demand = np.array([counts[sizes == s].sum() for s in kinds])
+    found = sorted(configurations(kinds, demand.astype(float), capacity), key=lambda x: -x[1])
+    return lengths, upto, demand, [(pattern, int(amount + 1e-6), capacity - int(pattern @ kinds)) for pattern, amount in found]
+
+
+def _substituted(classes: _Classes, made: tuple, waste: int) -> dict[int, int]:
+    """Add the configurations with no more waste, actual documents in place of the rounded sizes; the lengths left over."""
+    lengths, upto, demand, found = made
+    left, next_at = demand.copy(), np.concatenate([[0], np.cumsum(demand)[:-1]])
+    for pattern, times, gap in found:
+        times = min([times, *[int(left[g] // a) for g, a in enumerate(pattern) if a]])
+        if times <= 0 or not pattern.any() or gap > waste:
+            continue
+        columns = []
+        for g in np.flatnonzero(pattern):
+            for _ in range(pattern[g]):
+                columns.append(int(next_at[g]))
+                next_at[g] += times
+                left[g] -= times
+        # Each column is a run of actual documents; cut where any column's length changes.
+        cuts = {0, times}
+        for c in columns:
+            cuts |= {int(u) - c for u in upto[np.searchsorted(upto, c, side="right") :] if u - c < times}
+        cuts = sorted(cuts)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            classes.add(b - a, [int(lengths[np.searchsorted(upto, c + a, side="right")]) for c in columns])
+    ends = np.cumsum(demand)
+    rest: dict[int, int] = {}
+    for g in range(len(demand)):
+        at = int(next_at[g])
+        while at < ends[g]:
+            i = int(np.searchsorted(upto, at, side="right"))
+            to = min(int(upto[i]), int(ends[g]))
+            rest[int(lengths[i])] = rest.get(int(lengths[i]), 0) + to - at
+            at = to
+    return rest
 
 
 def places(classes: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:

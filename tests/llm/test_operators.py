@@ -1,6 +1,7 @@
 """Edge cases and brute-force versions of the training-data operators."""
 
 import binascii
+import bisect
 import hashlib
 import random
 import re
@@ -152,6 +153,33 @@ def test_packing_is_whole_and_gapless(spark):
     assert len(sequences) <= 1.03 * sum(map(len, ids.values())) / 1024 + 1
 
 
+def best_fit_decreasing(histogram, capacity=1024):
+    """Sequences that plain best fit opens, item by item."""
+    rooms = []
+    for s in sorted(histogram, reverse=True):
+        for _ in range(histogram[s]):
+            at = bisect.bisect_left(rooms, s)
+            room = rooms.pop(at) if at < len(rooms) else capacity
+            bisect.insort(rooms, room - s)
+    return len(rooms)
+
+
+def test_plans_hold_every_length_in_no_more_sequences_than_best_fit():
+    dice = random.Random(2)
+    cases = [Counter(dice.randint(1, 1024) for _ in range(3000)), Counter(dice.randint(300, 519) for _ in range(3000)), Counter({342: 999, 341: 7, 683: 5}), Counter(min(1024, int(dice.expovariate(1 / 200)) + 1) for _ in range(3000)), Counter({1024: 3}), Counter({1: 5})]
+    for histogram in cases:
+        made = group_pack.plan(dict(histogram))
+        held = Counter()
+        for n, lengths in made:
+            assert n > 0 and sum(lengths) <= 1024
+            for s in lengths:
+                held[s] += n
+        assert held == histogram
+        assert sum(n for n, _ in made) <= best_fit_decreasing(histogram)
+    # Lengths that best fit pairs badly: the configurations win.
+    assert sum(n for n, _ in group_pack.plan(dict(cases[1]))) < 0.98 * best_fit_decreasing(cases[1])
+
+
 def test_base_rules_equal_brute_force(spark):
     for r in queries.op8_robust_outliers(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         text = r["text"] or ""
