@@ -2,8 +2,8 @@
 
 Texts with the same shingle set are one node, so copies never meet in pairs. A band bucket links its nodes to one of them
 first (a star), the one that meets most nodes over all its buckets: the text that others are copies of meets more than a copy
-does. Only where a bucket still holds several components are nodes outside its largest component compared with the others.
-There a node meets the nodes of its own and the two neighbouring size classes only, and the classes of a bucket are separate
+does. Where a bucket still holds several components, nodes outside its largest one are compared with FEW members of that one,
+and only those that remain apart with all others. There a node meets the nodes of its own and the two neighbouring size classes only, and the classes of a bucket are separate
 join keys. Before full sets are compared, parity bitmaps of the sets rule out pairs that cannot be linked. No link between
 different components is left out. Sets of one or two shingles are linked by equality alone, so they need no bands.
 """
@@ -28,6 +28,8 @@ SHINGLE, SIMILAR = 5, 75
 BROADCAST_NODES = 200_000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
+#: Members of a bucket's largest component that the nodes outside it meet before they meet all.
+FEW = 8
 #: Sizes of linked sets differ by a factor of 4/3 at most, so their classes of this ratio are the same or neighbours.
 CLASS = 1.34
 
@@ -127,14 +129,19 @@ def _columns(plan: Bands) -> list[str]:
     return [f"s{k}" for k in range(plan.longs)] + [f"p{k}" for k in range(plan.parity)]
 
 
-def _signer(plan: Bands):
+def _signer(plan: Bands, floor: int = 0):
+    """Signatures of (id, text); sets of fewer than floor shingles are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 tokens = [words_of(t) for t in b.column(1).to_pylist()]
-                sets = [shingle_set(t, words) for t in tokens]
+                sets = [shingle_set(t, words) if len(t) >= floor else () for t in tokens]
+                large = pa.array([len(x) >= floor for x in sets], pa.bool_())
+                if floor:
+                    b, tokens, sets = b.filter(large), [t for t, x in zip(tokens, sets, strict=True) if len(x) >= floor], [x for x in sets if len(x) >= floor]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 nodes, keys, packed = [None] * len(sets), [None] * len(sets), [[None] * len(sets) for _ in _columns(plan)]
                 if full:
@@ -216,20 +223,21 @@ def _alike(x: str, y: str, plan: Bands, slack: float) -> Column:
 def classes(items: DataFrame, plan: Bands, slack: float = 0.22, least: int = 0) -> DataFrame:
     """id, words, n, node, comp of items (id, text): words, set size, set identity, and the component's smallest id; null without words.
 
-    With least, only links count whose larger set has so many shingles. items is read once for signatures, and again for the
-    texts of candidate nodes.
+    With least, only links count whose larger set has so many shingles; sets that are too small for such a link are left out
+    of the result. items is read once for signatures, and again for the texts of candidate nodes.
     """
     kind = items.schema["id"].dataType.simpleString()
     longs = _columns(plan)
+    # The smaller set of a link has SIMILAR percent of the larger one's shingles at least.
+    floor = -(-SIMILAR * least // 100)
     shape = f"id {kind}, words int, n long, node binary, keys array<long>" + "".join(f", {s} long" for s in longs)
-    signed = stored(items.select("id", "text").mapInArrow(_signer(plan), shape), "near-signed")
+    signed = stored(items.select("id", "text").mapInArrow(_signer(plan, floor), shape), "near-signed")
     per = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", *longs)])
     nodes = stored(per.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     members_ = stored(signed.select("id", "words", "n", "node"), "near-items")
     discard(signed)
     thin = nodes.select("nid", "n", *longs)
-    # The smaller set of a link has SIMILAR percent of the larger one's shingles at least.
-    placed = nodes.filter(F.col("n") >= max(3, -(-SIMILAR * least // 100))).select("nid", F.explode("keys").alias("bucket"))
+    placed = nodes.filter("n >= 3").select("nid", F.explode("keys").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     met = stored(placed.join(shared, "bucket"), "near-met")
     meets = met.join(met.groupBy("nid").agg(F.sum("size").alias("meets")), "nid")
@@ -255,19 +263,31 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22, least: int = 0)
     star = star.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
     links = verified(star.filter(alike).select("a", "b"), "near-star")
 
-    comp = stored(components(links), "near-star-components")
-    of = members.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    several = of.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    mixed = stored(of.join(several, "bucket").join(thin, "nid").withColumn("class", F.floor(F.log("n") / math.log(CLASS)).cast("int")), "near-mixed")
-    discard(members, comp)
-    major = mixed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    minor = mixed.join(major, "bucket").filter("comp <> major").withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
+    def apart(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of buckets that hold several components, and each such bucket's largest one."""
+        comp = components(edges)
+        of = members.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        several = of.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
+        mixed = stored(of.join(several, "bucket"), "near-mixed")
+        return mixed, mixed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
+
+    mixed, major = apart(links)
+    inside = mixed.join(major, "bucket").filter("comp = major").groupBy("bucket").agg(*[F.min_by("nid", F.xxhash64("nid", F.lit(k))).alias(f"c{k}") for k in range(FEW)])
+    few = inside.select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(FEW)]))).alias("a"))
+    few = mixed.join(major, "bucket").filter("comp <> major").select("bucket", F.col("nid").alias("b")).join(few, "bucket").select("a", "b").distinct()
+    few = few.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
+    links = links.union(verified(few.filter(alike).select("a", "b"), "near-few"))
+    discard(mixed)
+
+    mixed, major = apart(links)
+    sized = mixed.join(thin, "nid").withColumn("class", F.floor(F.log("n") / math.log(CLASS)).cast("int"))
+    minor = sized.join(major, "bucket").filter("comp <> major").withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
     # Pairs with a bucket's centre were compared in its star.
     new = (F.col("x.nid") != F.col("x.rep")) & (F.col("y.nid") != F.col("y.rep"))
-    cross = minor.alias("x").join(mixed.alias("y"), apart & new & alike).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    cross = minor.alias("x").join(sized.alias("y"), other & new & alike).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
     more = verified(cross, "near-cross")
-    discard(mixed)
+    discard(mixed, members)
 
     comp = components(links.union(more))
     named = stored(nodes.select("nid", "node", "id").join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "near-named")
