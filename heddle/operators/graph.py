@@ -13,19 +13,41 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit("in").alias("direction")))
 
 
-def neighbours(edges: DataFrame, vertices: DataFrame, start: str) -> DataFrame:
-    """other, label, name, type, direction of a vertex's edges."""
-    near = both_ways(edges).filter(F.col("id") == start).drop("id")
+def named(near: DataFrame, vertices: DataFrame) -> DataFrame:
+    """other, label, name, type, direction of a vertex's edges (other, type, direction)."""
     return near.join(vertices, near["other"] == vertices["id"]).select("other", "label", "name", "type", "direction")
 
 
+def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, id, hops, types: every path of up to so many undirected edges, none of which it uses twice, from starts (id)."""
+    eid = edges.withColumn("_e", F.concat_ws(">", "src", "dst", "type"))
+    step = eid.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), "type", "_e").union(eid.select("dst", "src", "type", "_e"))
+    none = F.array().cast("array<string>")
+    at = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"), none.alias("_types"), none.alias("_used"))
+    found = []
+    for k in range(1, hops + 1):
+        at = at.join(step, F.col("id") == F.col("_at")).filter(~F.array_contains("_used", F.col("_e")))
+        at = at.select("start", F.col("_to").alias("id"), F.lit(k).alias("hops"), F.array_append("_types", F.col("type")).alias("_types"), F.array_append("_used", F.col("_e")).alias("_used"))
+        found.append(at)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select("start", "id", "hops", F.array_join("_types", " > ").alias("types"))
+
+
+def by_id_or_name(vertices: DataFrame, members: DataFrame) -> DataFrame:
+    """id, community of the vertices that members (member, community) name by id or by name: two equi-joins, not one with OR."""
+    by = lambda c: vertices.join(members, F.col(c) == F.col("member")).select("id", "community")
+    return by("id").union(by("name")).distinct()
+
+
 def within(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """id, hops: vertices within so many undirected hops, with the least number of hops."""
-    step = both_ways(edges).select("id", "other").distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
+    """id, hops: vertices within so many undirected hops, with the least number of hops. Each hop starts from the newly found vertices only."""
+    step = both_ways(edges).select("id", F.col("other").alias("_to"))
+    seen = front = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
     for k in range(1, hops + 1):
-        front = seen.filter(F.col("hops") == k - 1).join(step, "id").select(F.col("other").alias("id"), F.lit(k).alias("hops"))
-        seen = seen.union(front).groupBy("id").agg(F.min("hops").alias("hops"))
+        front = step.join(front.select("id"), "id", "left_semi").select(F.col("_to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(k))
+        seen = seen.union(front)
     return seen
 
 
@@ -38,10 +60,6 @@ def label_counts(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def type_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("type").agg(F.count("*").alias("n"))
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """id, outgoing, incoming."""
     way = lambda d: F.sum((F.col("direction") == d).cast("long"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from heddle.functions.text import terms
 from heddle.functions.vectors import cosine, nearest
 
 
@@ -46,11 +45,13 @@ def segments(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFra
     return joined.groupBy(key, "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
-def term_index(docs: DataFrame, top: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, term, n, rank: the most frequent terms of each document, ties in term order."""
-    counts = docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.Window.partitionBy(id_col).orderBy(F.desc("n"), "term"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
+def term_index(docs: DataFrame, top: int = 10, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:
+    """id_col, term, n, rank: the most frequent words (a-z, 0-9) of each document of `least` characters or more, ties in order of their first place."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^a-z0-9 \t\r\n\f]", ""), r"[ \t\r\n\f]+")
+    placed = docs.select(id_col, F.posexplode(words).alias("place", "term")).filter(F.length("term") >= least)
+    counts = placed.groupBy(id_col, "term").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    rank = F.row_number().over(W.Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= top).drop("first")
 
 
 def novelty(new: DataFrame, known: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from heddle.functions.text import estimated_tokens, terms
+from heddle.functions.vectors import cosine
+from heddle.operators.pairs import centroids
 
 #: Okapi BM25 constants.
 K1, B = 1.2, 0.75
@@ -63,3 +65,42 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """One document of those whose normalised first `width` characters agree: the smallest identifier."""
     norm = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[ \t\r\n]+", " ")), 1, width)
     return docs.groupBy(norm.alias("_key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("members")).select(id_col, "members", F.length("_key").alias("width"))
+
+
+def head(ranked: DataFrame, top: int, key: str = "id") -> DataFrame:
+    """The best `top` rows by score, with their rank."""
+    best = ranked.orderBy(F.desc("score"), key).limit(top)
+    return best.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("score"), key)))  # at most `top` rows
+
+
+def community_hits(units: DataFrame, ask: DataFrame, key: str = "label", id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.3, most: int = 5, top: int = 8, weight: float = 0.3) -> DataFrame:
+    """id, key, score: the communities whose centroid is more similar than `least` to the question (one row, _q), and the best of each one's members."""
+    near = centroids(units, key, vector_col).join(F.broadcast(ask)).select(key, F.round(cosine("centroid", "_q"), 6).alias("sim"))
+    chosen = near.filter(F.col("sim") > least).orderBy(F.desc("sim"), key).limit(most)
+    each = F.ceil(F.lit(float(top)) / F.count("*").over(W.Window.partitionBy(F.lit(1))))  # at most `most` rows
+    sized = chosen.withColumn("each", each)
+    inside = units.join(F.broadcast(sized.select(F.col(key).alias("_key"), "each")), F.col(key) == F.col("_key")).join(F.broadcast(ask)).select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("_id"), key, F.round(cosine(vector_col, "_q"), 6).alias("sim"), "each")
+    order = W.Window.partitionBy(key).orderBy(F.desc("sim"), "_id")
+    members = inside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("each"))
+    out = sized.select(F.concat(F.lit("community-"), F.col(key).cast("string")).alias("id"), key, "sim").union(members.select("id", key, "sim"))
+    return out.select("id", key, F.round(F.col("sim") * weight, 6).alias("score"))
+
+
+def gathered(entities: DataFrame, near: DataFrame, docs: DataFrame, terms_: list[str], words: str, most: int = 8) -> DataFrame:
+    """source, content, score, rank: entities (id, label, name) whose name holds a term, those near them (id, other, type), and texts with the words.
+
+    Items with the same first 200 characters, lower-cased and trimmed, count once.
+    """
+    hit = reduce(lambda a, b: a | b, [F.lower("name").contains(t) for t in terms_])
+    found = entities.filter(hit)
+    said = lambda label, name, more: F.concat(F.lit("["), label, F.lit("] "), name, more, F.lit(": No description"))
+    one = found.select(F.lit("graph").alias("source"), said(F.col("label"), F.col("name"), F.lit("")).alias("content"), F.lit(0.8).alias("score"), F.lit(0).alias("ord"), F.col("id").alias("k"))
+    other = entities.select(F.col("id").alias("other"), F.col("label").alias("_label"), F.col("name").alias("_name"))
+    around = found.join(near, "id").join(other, "other")
+    two = around.select(F.lit("graph"), said(F.col("_label"), F.col("_name"), F.concat(F.lit(" ("), F.col("type"), F.lit(" "), F.col("name"), F.lit(")"))), F.lit(0.6), F.lit(1), F.concat("other", "id"))
+    texts = docs.filter(F.lower(F.coalesce("text", F.lit(""))).contains(words)).orderBy("doc_id").limit(most)
+    place = F.row_number().over(W.Window.orderBy("doc_id")) - 1  # at most `most` rows
+    three = texts.select(F.lit("text"), F.substring("text", 1, 300), 0.5 - place * 0.02, F.lit(2), F.col("doc_id").cast("string"))
+    items = first_by(one.union(two).union(three), F.substring(F.trim(F.lower("content")), 1, 200), ["ord", "k"])
+    best = items.orderBy(F.desc("score"), "ord", "k").limit(most)
+    return best.select("source", "content", F.round("score", 6).alias("score"), F.row_number().over(W.Window.orderBy(F.desc("score"), "ord", "k")).alias("rank"))

@@ -16,9 +16,10 @@ def last_messages(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by(F.struct("role", "text"), "turn").alias("m")).select("conv_id", "turns", "m.role", "m.text")
 
 
-def fork(messages: DataFrame, turn: int) -> DataFrame:
-    """Messages of every conversation up to a turn, as a new conversation of the same number below zero."""
-    return messages.filter(F.col("turn") <= turn).select((-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", "text")
+def fork(messages: DataFrame, points: DataFrame) -> DataFrame:
+    """Messages up to the fork point of their conversation (conv_id, until), as a new conversation of the same number below zero."""
+    at = points.select(F.col("conv_id").alias("_conv"), "until")
+    return messages.join(at, F.col("conv_id") == F.col("_conv")).filter(F.col("turn") <= F.col("until")).select((-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", "text")
 
 
 def page(rows: DataFrame, order: list, skip: int, limit: int, most: int = 200) -> DataFrame:
@@ -32,12 +33,28 @@ def histogram(events: DataFrame, edges: list[float]) -> DataFrame:
     return counts.select("event_type", F.explode(F.array(*rows)).alias("b")).select("event_type", "b.le", "b.n")
 
 
+def at_ranks(rows: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
+    """key, n and, by name, the values at ranks (functions of n, from 1) of a key's values in order.
+
+    Values are dealt to a hundred ranges between approximate quantiles and counted there; only the range that holds a rank is
+    sorted, by its different values. So a key's rows are never in one task.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    edges = rows.groupBy(F.col("_k").alias("_key")).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*[F.lit(i / 100) for i in range(1, 100)]), 1000).alias("edges"))
+    counted = rows.groupBy("_k", "_v").agg(F.count("*").alias("c"))
+    placed = counted.join(edges, F.col("_k").eqNullSafe(F.col("_key"))).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("_v")))).select("_k", "_v", "c", "n", "range")
+    line = W.Window.partitionBy("_k").orderBy("range")
+    sums = placed.groupBy("_k", "n", "range").agg(F.sum("c").alias("s")).withColumn("upto", F.sum("s").over(line))  # at most a hundred rows a key
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("rank")) for name, at in ranks.items()])).alias("w")
+    hit = sums.select(F.col("_k").alias("_hk"), F.col("range").alias("_hr"), (F.col("upto") - F.col("s")).alias("before"), "upto", wanted).filter((F.col("w.rank") > F.col("before")) & (F.col("w.rank") <= F.col("upto")))
+    inner = W.Window.partitionBy("_k", "range", "w.name").orderBy("_v")
+    near = placed.join(hit, F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("range") == F.col("_hr"))).withColumn("at", F.col("before") + F.sum("c").over(inner)).filter(F.col("at") >= F.col("w.rank"))
+    return near.groupBy(F.col("_k").alias(key)).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("w.name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
 def percentiles(events: DataFrame, shares: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """event_type and p<share>: nearest-rank percentiles, from counts of equal values."""
-    counts = events.filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    line = W.Window.partitionBy("event_type").orderBy("value")
-    upto = counts.withColumn("upto", F.sum("n").over(line)).withColumn("all", F.sum("n").over(W.Window.partitionBy("event_type")))
-    return upto.groupBy("event_type").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p / 100), F.col("value"))).alias(f"p{p}") for p in shares])
+    """event_type and p<share>: nearest-rank percentiles."""
+    return at_ranks(events, "event_type", "value", {f"p{p}": lambda n, p=p: F.ceil(n * p / 100) for p in shares}).drop("n")
 
 
 def returns(orders: DataFrame) -> DataFrame:
@@ -56,9 +73,11 @@ def market_metrics(series: DataFrame) -> DataFrame:
 
 
 def convergence(answers: DataFrame, key: str, value: str) -> DataFrame:
-    """key, n, mean, deviation, iqr of a panel's answers, quartiles by interpolation."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return answers.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("deviation"), F.round(q(0.75) - q(0.25), 6).alias("iqr"))
+    """key, n, mean, deviation, iqr of a panel's answers; quartiles are the values at a quarter and three quarters of the order, and under four answers the deviation stands for their distance."""
+    facts = answers.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("deviation"))
+    quarters = at_ranks(answers, key, value, {"q1": lambda n: F.floor(n * 0.25) + 1, "q3": lambda n: F.floor(n * 0.75) + 1}).select(F.col(key).alias("_qk"), "q1", "q3")
+    both = facts.join(quarters, F.col(key).eqNullSafe(F.col("_qk")), "left")
+    return both.select(key, "n", "mean", "deviation", F.when(F.col("n") < 4, F.col("deviation")).otherwise(F.round(F.col("q3") - F.col("q1"), 6)).alias("iqr"))
 
 
 def outcomes(docs: DataFrame, labels: DataFrame) -> DataFrame:

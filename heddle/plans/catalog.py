@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from heddle.functions.vectors import cosine, nearest
 from heddle.operators import graph, memory, retrieval, service
-from heddle.sources.tables import EDGES, VERTICES, edges, table, vertices
+from heddle.plans import chunks, exports, panels, similarity, units  # noqa: F401  their queries register themselves
+from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from heddle.sources.tables import EDGES, VERTICES, edge_counts, edges, edges_of, table, vertices
 from heddle.streaming import metrics
 
 #: Words that the keyword queries look for, and the vertex that the graph queries start from.
@@ -16,20 +18,6 @@ START = "Nation:7"
 BUDGET, TOP = 4_000, 50
 BUCKETS = [1.0, 5.0, 10.0, 50.0, 100.0]
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _COSINE = "coalesce(round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6), 0)"
 _TERMS = "[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+') IF length(x) >= 3]"
 _HITS = " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in WORDS)
@@ -106,8 +94,14 @@ def evidence_distinct(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.evidence(table(spark, d, "documents"))
 
 
-@query("""SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY page_id) = 1""")
+@query("SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
 def url_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of each address."""
+    return retrieval.first_by(table(spark, d, "pages").select("page_id", "url"), F.col("url"), ["page_id"])
+
+
+@query("SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY page_id) = 1")
+def host_distinct(spark: SparkSession, d: str) -> DataFrame:
     """The first page of each host."""
     return retrieval.first_by(table(spark, d, "pages").select("page_id", "url"), F.regexp_extract("url", r"^https?://([^/]+)", 1), ["page_id"])
 
@@ -143,16 +137,17 @@ def topic_segments(spark: SparkSession, d: str) -> DataFrame:
     return memory.segments(memory.boundaries(table(spark, d, "embeddings"), "label", "vec_id"), "label", "vec_id")
 
 
-@query(f"""
-    WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL)
-    SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::INTEGER AS rank FROM c QUALIFY rank <= 5""")
+@query(r"""
+    WITH l AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 \t\r\n\f]', '', 'g'), '[ \t\r\n\f]+') IF length(x) >= 4] AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM l), c AS (SELECT doc_id, term, count(*) AS n, min(i) AS first FROM t GROUP BY doc_id, term)
+    SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::INTEGER AS rank FROM c QUALIFY rank <= 10""")
 def structured_index_tf(spark: SparkSession, d: str) -> DataFrame:
     return memory.term_index(table(spark, d, "documents"))
 
 
 @query(f"WITH {_GRAPH} SELECT other, label, name, type, direction FROM b JOIN v ON v.id = b.other WHERE b.id = '{START}'")
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(edges(spark, d), vertices(spark, d), START)
+    return graph.named(edges_of(spark, d, START), vertices(spark, d))
 
 
 @query(f"WITH {_GRAPH}, h1 AS (SELECT '{START}' AS id, 0 AS hops UNION SELECT other, 1 FROM b WHERE id = '{START}'), h2 AS (SELECT * FROM h1 UNION SELECT b.other, 2 FROM b JOIN h1 USING (id) WHERE hops = 1) SELECT id, min(hops)::INTEGER AS hops FROM h2 GROUP BY id")
@@ -173,7 +168,7 @@ def graph_stats_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH} SELECT type, count(*) AS n FROM e GROUP BY type")
 def graph_stats_edge_types(spark: SparkSession, d: str) -> DataFrame:
-    return graph.type_counts(edges(spark, d))
+    return edge_counts(spark, d)
 
 
 @query(f"WITH {_GRAPH} SELECT id, sum((direction = 'out')::INT)::BIGINT AS outgoing, sum((direction = 'in')::INT)::BIGINT AS incoming FROM b GROUP BY id")
@@ -189,6 +184,103 @@ def community_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.communities(edges(spark, d), vertices(spark, d), "LIVES_IN")
 
 
+@query(f"WITH {_GRAPH} SELECT count(*) AS total FROM v")
+def graph_total(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_counts(vertices(spark, d)).agg(F.sum("n").alias("total"))
+
+
+_SMALL = f"s AS (SELECT src || '>' || dst || '>' || type AS eid, src, dst, type FROM e WHERE type IN ('IN_REGION', 'BASED_IN')), w AS (SELECT eid, src AS id, dst AS other, type FROM s UNION ALL SELECT eid, dst, src, type FROM s)"
+
+
+@query(f"""
+    WITH RECURSIVE {_GRAPH}, {_SMALL}, r(start, id, hops, types, used) AS (
+        SELECT id, id, 0, []::VARCHAR[], []::VARCHAR[] FROM v WHERE label = 'Region' AND contains(lower(name), 'a')
+        UNION ALL SELECT r.start, w.other, hops + 1, list_append(types, type), list_append(used, eid) FROM r JOIN w ON w.id = r.id WHERE hops < 2 AND NOT list_contains(used, eid))
+    SELECT start, id, hops::INTEGER AS hops, array_to_string(types, ' > ') AS types FROM r WHERE hops > 0""")
+def graph_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of up to two edges, none used twice, from the regions whose name holds a letter, with the types along them."""
+    near = edges(spark, d).filter(F.col("type").isin("IN_REGION", "BASED_IN"))
+    starts = vertices(spark, d).filter((F.col("label") == "Region") & F.lower("name").contains("a")).select("id")
+    return graph.paths(near, starts, 2)
+
+
+@query(f"""
+    WITH {_GRAPH}, k AS (SELECT id FROM v WHERE label IN ('Nation', 'Region', 'Supplier') AND (contains(lower(name), '1') OR contains(lower(id), 'region')))
+    SELECT src, dst, type FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""")
+def graph_filtered_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between the vertices that a view's filter of labels and words leaves."""
+    kept = vertices(spark, d).filter(F.col("label").isin("Nation", "Region", "Supplier") & (F.lower("name").contains("1") | F.lower("id").contains("region")))
+    return graph.induced(edges(spark, d), kept.select("id"))
+
+
+@query(f"""
+    WITH {_GRAPH}, m AS (SELECT n_name AS member, n_regionkey AS community FROM nation UNION ALL SELECT 'Supplier:' || s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)
+    SELECT DISTINCT id, community::INTEGER AS community FROM v JOIN m ON id = member OR name = member""")
+def community_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices with the community of a member list that names some by id and some by name."""
+    named = table(spark, d, "nation").select(F.col("n_name").alias("member"), F.col("n_regionkey").alias("community"))
+    keyed = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("member"), F.col("s_nationkey").alias("community"))
+    return graph.by_id_or_name(vertices(spark, d), named.union(keyed))
+
+
+@query(f"""
+    WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+    c AS (SELECT doc_id AS id, {_COSINE.format(a="embedding", b="q")} AS sim, CASE WHEN doc_id % 2 = 0 THEN 0.8 END AS weight FROM q, embeddings JOIN documents ON vec_id = doc_id WHERE contains(lower(coalesce(text, '')), 'an') AND source IS NOT NULL)
+    SELECT id, round((sim * 0.6 + coalesce(weight, 0.4)) * 0.3, 6) AS score FROM c ORDER BY sim * 0.6 + coalesce(weight, 0.4) DESC, id LIMIT 8""")
+def graph_entity_search(spark: SparkSession, d: str) -> DataFrame:
+    """The graph channel of retrieval: chunks with the words and an edge (to their source), by similarity and the edge's weight."""
+    v = table(spark, d, "embeddings")
+    ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    chunks_ = table(spark, d, "documents").filter(F.lower(F.coalesce("text", F.lit(""))).contains("an") & F.col("source").isNotNull()).select(F.col("doc_id").alias("id"))
+    near = v.withColumnRenamed("vec_id", "id").join(F.broadcast(ask)).join(chunks_, "id").select("id", F.round(cosine("embedding", "_q"), 6).alias("sim"), F.when(F.col("id") % 2 == 0, 0.8).alias("weight"))
+    score = F.col("sim") * 0.6 + F.coalesce("weight", F.lit(0.4))
+    return near.orderBy(score.desc(), "id").limit(8).select("id", F.round(score * 0.3, 6).alias("score"))
+
+
+@query(f"""
+    WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+    s AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM s GROUP BY ALL),
+    c AS (SELECT label, {_COSINE.format(a="list(x ORDER BY i)", b="any_value(q)")} AS sim FROM m, q GROUP BY label), t AS (SELECT label, sim FROM c WHERE sim > 0.02 ORDER BY sim DESC, label LIMIT 5),
+    n AS (SELECT vec_id AS id, label, {_COSINE.format(a="embedding", b="q")} AS near FROM embeddings JOIN t USING (label), q),
+    k AS (SELECT id, label, near AS sim FROM n QUALIFY row_number() OVER (PARTITION BY label ORDER BY near DESC, id) <= ceil(8.0 / (SELECT count(*) FROM t)))
+    SELECT 'community-' || label AS id, label, round(sim * 0.3, 6) AS score FROM t UNION ALL SELECT id::VARCHAR, label, round(sim * 0.3, 6) FROM k""")
+def community_search(spark: SparkSession, d: str) -> DataFrame:
+    """Communities (labels) whose centroid is near a question, the best five, and each one's best members."""
+    v = table(spark, d, "embeddings")
+    ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    return retrieval.community_hits(v, ask, least=0.02)
+
+
+@query(f"""
+    WITH {_BM25}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+    every AS (SELECT doc_id AS id, {_COSINE.format(a="embedding", b="q")} AS score, 'vector' AS source, 0 AS ord FROM q, embeddings JOIN documents ON vec_id = doc_id
+              UNION ALL SELECT doc_id, round(score / 10, 6), 'keyword', 1 FROM bm25),
+    best AS (SELECT id, score, source FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1)
+    SELECT id, score, source, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM best QUALIFY rank <= 30""")
+def set_union_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The best thirty of the channels' union."""
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    near = v.join(F.broadcast(ask)).select(F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), 6).alias("score"), F.lit("vector").alias("source"))
+    near = near.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    words = retrieval.bm25(docs, WORDS).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
+    return retrieval.head(retrieval.best_of([near, words]), 30)
+
+
+@query(rf"""
+    WITH {_GRAPH}, x AS (SELECT id, label, name FROM v WHERE label IN ('Region', 'Nation')),
+    i AS (SELECT 'graph' AS source, '[' || label || '] ' || name || ': No description' AS content, 0.8 AS score, 0 AS ord, id::VARCHAR AS k FROM x WHERE contains(lower(name), '1') OR contains(lower(name), 'asia')
+          UNION ALL SELECT 'graph', '[' || x2.label || '] ' || x2.name || ' (IN_REGION ' || x.name || '): No description', 0.6, 1, x2.id || x.id FROM x JOIN b ON b.id = x.id AND b.type = 'IN_REGION' JOIN x x2 ON x2.id = b.other WHERE contains(lower(x.name), '1') OR contains(lower(x.name), 'asia')
+          UNION ALL SELECT 'text', substr(text, 1, 300), 0.5 - 0.02 * (row_number() OVER (ORDER BY doc_id) - 1), 2, doc_id::VARCHAR FROM (SELECT doc_id, text FROM documents WHERE contains(lower(coalesce(text, '')), 'la') ORDER BY doc_id LIMIT 8)),
+    u AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY substr(trim(lower(content)), 1, 200) ORDER BY ord, k) = 1)
+    SELECT source, content, round(score::DOUBLE, 6) AS score, row_number() OVER (ORDER BY u.score DESC, ord, k)::INTEGER AS rank FROM u QUALIFY rank <= 8""")
+def evidence_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence for a question: entities its terms name, what they are related to, and texts with the words, without repeats."""
+    known = vertices(spark, d).filter(F.col("label").isin("Region", "Nation"))
+    related = graph.both_ways(edges(spark, d).filter(F.col("type") == "IN_REGION"))
+    return retrieval.gathered(known, related, table(spark, d, "documents"), ["1", "asia"], "la")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def timeline_day(spark: SparkSession, d: str) -> DataFrame:
     return service.timeline(table(spark, d, "events"))
@@ -199,9 +291,11 @@ def conversation_last_message(spark: SparkSession, d: str) -> DataFrame:
     return service.last_messages(table(spark, d, "conversations"))
 
 
-@query("SELECT -conv_id - 1 AS conv_id, turn, role, text FROM conversations WHERE turn <= 1")
+@query("SELECT -c.conv_id - 1 AS conv_id, turn, role, text FROM conversations c JOIN (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS until FROM conversations GROUP BY conv_id) f ON f.conv_id = c.conv_id WHERE turn <= until")
 def conversation_fork(spark: SparkSession, d: str) -> DataFrame:
-    return service.fork(table(spark, d, "conversations"), 1)
+    """Every conversation forked at its first answer."""
+    messages = table(spark, d, "conversations")
+    return service.fork(messages, messages.filter("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("until")))
 
 
 @query("SELECT source, count(*) AS documents, count(DISTINCT lang) AS languages, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY source")
@@ -233,7 +327,9 @@ def market_metrics(spark: SparkSession, d: str) -> DataFrame:
     return service.market_metrics(service.returns(table(spark, d, "orders")))
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY event_type")
+@query("""
+    WITH s AS (SELECT event_type, list_sort(list(value) FILTER (value IS NOT NULL)) AS v, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY event_type)
+    SELECT event_type, n, mean, deviation, CASE WHEN n < 4 THEN deviation ELSE round(v[floor(n * 0.75)::INT + 1] - v[floor(n * 0.25)::INT + 1], 6) END AS iqr FROM s""")
 def delphi_convergence(spark: SparkSession, d: str) -> DataFrame:
     return service.convergence(table(spark, d, "events"), "event_type", "value")
 
@@ -248,7 +344,9 @@ def sft_export(spark: SparkSession, d: str) -> DataFrame:
     return service.exchanges(table(spark, d, "conversations"))
 
 
-@query("SELECT source, min(doc_id) FILTER (quality = 1) AS chosen, min(doc_id) FILTER (quality = 0) AS rejected FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING chosen IS NOT NULL AND rejected IS NOT NULL")
+@query("""
+    WITH b AS (SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id)), p AS (SELECT source, min(doc_id) AS chosen FROM b WHERE quality = 1 GROUP BY source)
+    SELECT b.source, chosen, doc_id AS rejected FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source WHERE quality = 0""")
 def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
     return service.preference_pairs(table(spark, d, "documents"), table(spark, d, "labels"))
 

@@ -38,3 +38,50 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = table(spark, sf_dir, t).select(_key(source, source_key).alias("src"), _key(target, target_key).alias("dst"), F.lit(kind).alias("type")).filter("src is not null and dst is not null")
         made.append(one.distinct() if t == "lineitem" else one)
     return reduce(DataFrame.union, made)
+
+
+def edges_of(spark: SparkSession, sf_dir: str, vertex: str) -> DataFrame:
+    """other, type, direction of a vertex's edges: only tables that its label can appear in are read, by the key itself, so the filter reaches the scan."""
+    label, _, key = vertex.partition(":")
+    made = []
+    for kind, t, source, source_key, target, target_key in EDGES:
+        for own, own_key, other, other_key, way in ((source, source_key, target, target_key, "out"), (target, target_key, source, source_key, "in")):
+            if own == label:
+                near = table(spark, sf_dir, t).filter((F.col(own_key) == int(key)) & F.col(other_key).isNotNull()).select(F.col(other_key))
+                near = near.distinct() if t == "lineitem" else near
+                made.append(near.select(_key(other, other_key).alias("other"), F.lit(kind).alias("type"), F.lit(way).alias("direction")))
+    return reduce(DataFrame.union, made)
+
+
+def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type, n: how many different edges of each type there are, counted by their keys."""
+    made = []
+    for kind, t, _, source_key, _, target_key in EDGES:
+        keys = table(spark, sf_dir, t).select(source_key, target_key).dropna()
+        made.append((keys.distinct() if t == "lineitem" else keys).agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "n"))
+    return reduce(DataFrame.union, made)
+
+
+#: Kinds of memory units, by identifier.
+KINDS = ("fact", "event", "summary", "relation")
+#: Runs of capitalised words; word ends are those of ASCII words.
+PHRASE = r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:[ \t\r\n\f]+[A-Z][a-z]+)*(?![A-Za-z0-9_])"
+
+
+def phrases(text, most: int = 5):
+    """The first `most` capitalised phrases of a text, each once; none for null."""
+    return F.array_distinct(F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHRASE), F.lit(0)), 1, most))
+
+
+def memory_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, content, kind, confidence (null for each seventh), ts, entities, source of the documents as memory units."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        n.alias("id"),
+        F.col("text").alias("content"),
+        F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod(n, F.lit(4)) + 1).cast("int")).alias("kind"),
+        F.when(F.pmod(n, F.lit(7)) != 0, F.pmod(n * 37, F.lit(100)) / 100).alias("confidence"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(int(doc_id div 1440), 0, int(doc_id % 1440), 0)").alias("ts"),
+        phrases(F.col("text")).alias("entities"),
+        "source",
+    )
