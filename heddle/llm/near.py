@@ -10,6 +10,7 @@ different components is left out. Sets of one or two shingles are linked by equa
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,6 +83,20 @@ def shingle_set(found: list[bytes], words: _Hashes) -> np.ndarray:
     return np.unique(_mixed(out + np.uint64(width)))
 
 
+def shingle_sets(texts: list[list[bytes]], words: _Hashes) -> list[np.ndarray]:
+    """shingle_set of each text; those that are long enough are shingled together."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+    if len(flat) < SHINGLE:
+        return [shingle_set(t, words) for t in texts]
+    out = flat[: len(flat) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - SHINGLE + 1 + k]
+    out = _mixed(out + np.uint64(SHINGLE))
+    begins = (np.cumsum(sizes) - sizes).tolist()
+    return [np.unique(out[a : a + n - SHINGLE + 1]) if n >= SHINGLE else shingle_set(t, words) for t, a, n in zip(texts, begins, sizes.tolist(), strict=True)]
+
+
 def minima(sets: list[np.ndarray], count: int, seed: int = 1) -> np.ndarray:
     """MinHash minima (a row per hash, a column per set); sets must not be empty."""
     dice = np.random.default_rng(seed)
@@ -138,22 +153,32 @@ def _signer(plan: Bands, floor: int = 0):
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 tokens = [words_of(t) for t in b.column(1).to_pylist()]
-                sets = [shingle_set(t, words) if len(t) >= floor else () for t in tokens]
-                large = pa.array([len(x) >= floor for x in sets], pa.bool_())
                 if floor:
-                    b, tokens, sets = b.filter(large), [t for t, x in zip(tokens, sets, strict=True) if len(x) >= floor], [x for x in sets if len(x) >= floor]
+                    b, tokens = b.filter(pa.array([len(t) >= floor for t in tokens], pa.bool_())), [t for t in tokens if len(t) >= floor]
+                sets = shingle_sets(tokens, words)
+                if floor:
+                    large = [len(x) >= floor for x in sets]
+                    b, tokens, sets = b.filter(pa.array(large, pa.bool_())), list(itertools.compress(tokens, large)), list(itertools.compress(sets, large))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                nodes, keys, packed = [None] * len(sets), [None] * len(sets), [[None] * len(sets) for _ in _columns(plan)]
+                keys, longs = np.empty(0, np.int64), np.empty((len(_columns(plan)), 0), np.int64)
                 if full:
                     low = minima([sets[i] for i in full], plan.bands * plan.rows)
-                    rows = _band_keys(low, plan).T.view(np.int64)
+                    keys = np.ascontiguousarray(_band_keys(low, plan).T).view(np.int64).ravel()
                     longs = np.concatenate([_packed(low, plan).view(np.int64), _parities([sets[i] for i in full], plan.parity).T])
-                    for j, i in enumerate(full):
-                        nodes[i], keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), rows[j].tobytes()
-                        for k, column in enumerate(packed):
-                            column[i] = int(longs[k, j])
+                missing = np.ones(len(sets), bool)
+                missing[full] = False
+                spread = np.zeros((len(longs), len(sets)), np.int64)
+                spread[:, full] = longs
+                ends = np.concatenate([[0], np.cumsum(np.where(missing, 0, plan.bands))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(map(len, tokens), pa.int32()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([k and np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64())), *[pa.array(p, pa.int64()) for p in packed]],
+                    [
+                        b.column(0),
+                        pa.array([len(t) for t in tokens], pa.int32()),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(missing)),
+                        *[pa.array(c, mask=missing) for c in spread],
+                    ],
                     ["id", "words", "n", "node", "keys", *_columns(plan)],
                 )
 
@@ -163,7 +188,7 @@ def _signer(plan: Bands, floor: int = 0):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Hashes()
     for b in batches:
-        sets = [shingle_set(words_of(t), words) for t in b.column(2).to_pylist()]
+        sets = shingle_sets([words_of(t) for t in b.column(2).to_pylist()], words)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "wanted", "node", "body"])
 
 
