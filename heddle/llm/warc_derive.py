@@ -1,33 +1,43 @@
 """WARC derivatives: a linked metadata and a plain-text conversion record for each response record.
 
-Records are rows: record_id, warc_type, target_uri, date, content_type, block (bytes). `read` takes them from WARC files and
-`write` puts them there, through Spark's own text source, so files may lie in any store and uncompressed ones are split.
+Records are rows: record_id, warc_type, target_uri, date, content_type, block (bytes), and payload_digest where a source states
+one. `read` takes them from WARC files (1.0 and 1.1) and `write` puts them there, through Spark's own text source, so files may
+lie in any store. Records end where their Content-Length says; a payload may hold a version line. Uncompressed files are split,
+and only a payload with a version line that lies across a split is misread there; compressed files are not split.
 `derive` needs no shuffle: each response gives its two records in one pass.
 
 Both derivatives name the response in refers_to, with its URI and date, and the metadata record also names the conversion
-made beside it. Source HTTP headers and digests are carried along. Identifiers are made from the response's identifier, so
-a repeated run gives equal records, and repeated responses give repeated derivatives.
-
-A null block or text counts as empty; a block without a blank line after its headers is all headers. A null URI, date or
-identifier stays null. Records of other types give no derivative. An empty table gives an empty result. Other columns are
-ignored. Entities other than those of ENTITIES stay as they stand.
+made beside it. Source HTTP headers are carried along, and the source's payload digest as it stands there, or made from the
+payload where there is none; `write` keeps both. Identifiers are made from the response's identifier, so a repeated run gives
+equal records, and repeated responses give repeated derivatives.
+
+A null block or text counts as empty; a block without a blank line after its headers is all headers, however long. A null URI,
+date or identifier stays null. Records of other types give no derivative. An empty table gives an empty result; texts of any
+length are converted whole; there are no ties to break. Other columns are ignored. Payloads are read in the charset of their
+headers if it is Latin or UTF-16, else as UTF-8.
 """
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from heddle.llm.common import text_or_empty
 
 VERSION = "WARC/1.1\r\n"
+#: What every record begins with, up to the minor version.
+MARK = b"WARC/1."
 COLUMNS = ("record_id", "warc_type", "target_uri", "date", "content_type", "block")
 # Elements whose content is no text, and elements that end a line.
 SILENT = ("script", "style", "noscript", "template")
 LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-# Entities that are decoded, the ampersand last.
+# Frequent entities, the ampersand last; texts with others are decoded by Python's table.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
@@ -42,14 +52,22 @@ def digest(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
-def plain_text(html: Column) -> Column:
+@F.udf(StringType(), useArrow=True)
+def _unescaped(text):
+    return text and html.unescape(text)
+
+
+def plain_text(page: Column) -> Column:
     """The visible text of a page: a line for each block element, blanks collapsed."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    text = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
     for name in SILENT:
         text = F.regexp_replace(text, rf"(?is)<{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{LINES})(?:[ \t\r\n/][^>]*)?>", "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+    *frequent, (amp, sign) = ENTITIES.items()
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), frequent, text)
+    other = text.rlike(r"&(?!amp;)(?:#|[A-Za-z])")
+    text = F.coalesce(_unescaped(F.when(other, text)), F.replace(text, F.lit(amp), F.lit(sign)))
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -62,10 +80,10 @@ def field(headers: Column, name: str) -> Column:
 
 def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records of raw pages, with id_col."""
-    html = F.encode(text_or_empty(html_col), "UTF-8")
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    body = F.encode(text_or_empty(html_col), "UTF-8")
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     name = F.concat_ws(" ", F.lit("response"), F.col(id_col).cast("string"), F.col(url_col))
-    return pages.select(id_col, uuid_of(name).alias("record_id"), F.lit("response").alias("warc_type"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), F.concat(F.encode(head, "UTF-8"), html).alias("block"))
+    return pages.select(id_col, uuid_of(name).alias("record_id"), F.lit("response").alias("warc_type"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), F.concat(F.encode(head, "UTF-8"), body).alias("block"))
 
 
 def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,15 +92,20 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Beside COLUMNS: refers_to, refers_to_uri, refers_to_date, concurrent_to, source_headers, source_digest (of the
     response's payload), block_digest, content_length.
     """
-    rows = records.filter("warc_type = 'response'").select(*keep, *[F.col(c).alias(f"_{c}") for c in COLUMNS])
+    stated = F.col("payload_digest") if "payload_digest" in records.columns else F.lit(None).cast("string")
+    rows = records.filter("warc_type = 'response'").select(*keep, *[F.col(c).alias(f"_{c}") for c in COLUMNS], stated.alias("_stated"))
     block = F.coalesce(F.col("_block"), F.lit(b""))
-    rows = rows.withColumn("_head", F.substring_index(F.decode(F.substring(block, 1, 65536), "ISO-8859-1"), "\r\n\r\n", 1))
-    rows = rows.withColumn("_payload", F.expr("substring(coalesce(_block, X''), length(_head) + 5)"))
-    rows = rows.withColumn("_digest", digest(F.col("_payload"))).withColumn("_text", plain_text(F.make_valid_utf8(F.col("_payload").cast("string"))))
+    # A string of the bytes as they are: cut at the blank line without reading characters.
+    rows = rows.withColumn("_raw", F.substring_index(block.cast("string"), "\r\n\r\n", 1).cast("binary"))
+    rows = rows.withColumn("_payload", F.expr("substring(coalesce(_block, X''), octet_length(_raw) + 5)")).withColumn("_head", F.decode("_raw", "ISO-8859-1"))
+    charset = F.lower(F.regexp_extract(F.coalesce(field(F.col("_head"), "Content-Type"), F.lit("")), r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    page = F.when(charset.isin("iso-8859-1", "latin1", "windows-1252", "us-ascii"), F.decode("_payload", "ISO-8859-1")).when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.decode("_payload", "UTF-16"))
+    rows = rows.withColumn("_page", F.coalesce(page, F.make_valid_utf8(F.col("_payload").cast("string"))))
+    rows = rows.withColumn("_digest", F.coalesce("_stated", digest(F.col("_payload")))).withColumn("_text", plain_text(F.col("_page")))
     meta, text = uuid_of(F.concat(F.lit("metadata "), "_record_id")), uuid_of(F.concat(F.lit("conversion "), "_record_id"))
-    title = F.trim(F.regexp_extract(F.make_valid_utf8(F.col("_payload").cast("string")), r"(?is)<title(?:[ \t\r\n][^>]*)?>([^<]*)", 1))
-    lang = F.regexp_extract(F.make_valid_utf8(F.col("_payload").cast("string")), r"""(?i)<html[^>]*[ \t\r\n]lang=["']?([a-zA-Z-]+)""", 1)
-    links = F.regexp_count(F.make_valid_utf8(F.col("_payload").cast("string")), F.lit(r"(?i)<a[ \t\r\n][^>]*href="))
+    title = F.trim(F.regexp_extract("_page", r"(?is)<title(?:[ \t\r\n][^>]*)?>([^<]*)", 1))
+    lang = F.regexp_extract("_page", r"""(?i)<html[^>]*[ \t\r\n]lang=["']?([a-zA-Z-]+)""", 1)
+    links = F.regexp_count("_page", F.lit(r"(?i)<a[ \t\r\n][^>]*href="))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\r\n"))
     facts = F.concat(line("http-status", F.regexp_extract("_head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)), line("http-content-type", field(F.col("_head"), "Content-Type")), line("source-payload-digest", F.col("_digest")), line("title", title), line("language", lang), line("outlinks", links), line("conversion-record-id", text))
     made = F.array(
@@ -119,22 +142,59 @@ FIELDS = {
     "WARC-Refers-To-Date": "refers_to_date",
     "WARC-Concurrent-To": "concurrent_to",
     "WARC-Block-Digest": "block_digest",
+    "WARC-Payload-Digest": "payload_digest",
+    "WARC-Source-Payload-Digest": "source_digest",
+    "WARC-Source-Headers": "source_headers",
     "Content-Type": "content_type",
 }
+#: Fields of several lines, which stand in base 64.
+FOLDED = ("source_headers",)
 
 
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files of the records, one a partition; blocks must be UTF-8."""
-    lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c), F.lit("\r\n"))).otherwise("") for name, c in FIELDS.items() if c in records.columns]
+    """WARC files of the records, one a partition."""
+    shown = lambda c: F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit("")) if c in FOLDED else F.col(c)
+    lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), shown(c), F.lit("\r\n"))).otherwise("") for name, c in FIELDS.items() if c in records.columns]
     block = F.coalesce(F.col("block"), F.lit(b""))
     size = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
     records.select(F.concat(F.lit(VERSION), *lines, size, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Head and block of each record, from the parts between marks: a record that is not over takes the next part too."""
+    held, missing = b"", 0
+
+    def parts() -> Iterator[bytes]:
+        for b in batches:
+            yield from b.column(0).to_pylist()
+
+    def made(record: bytes) -> pa.RecordBatch:
+        head, _, rest = record.partition(b"\r\n\r\n")
+        return pa.RecordBatch.from_arrays([pa.array([head.partition(b"\r\n")[2]], pa.binary()), pa.array([rest[: size_of(head)]], pa.binary())], ["head", "block"])
+
+    def size_of(head: bytes) -> int:
+        for line in head.split(b"\r\n"):
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                return int(value)
+        return 0
+
+    for part in parts():
+        if held and missing > 0:
+            held += MARK + part
+            missing -= len(MARK) + len(part)
+        elif part.strip():
+            if held:
+                yield made(held)
+            head, _, rest = part.partition(b"\r\n\r\n")
+            held, missing = part, size_of(head) - len(rest)
+    if held:
+        yield made(held)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, with the columns of FIELDS and block. Payloads must not hold the version line."""
-    raw = spark.read.option("lineSep", VERSION).text(path).filter("trim(value) <> ''")
-    rows = raw.withColumn("_head", F.substring_index("value", "\r\n\r\n", 1))
-    size = field(F.col("_head"), "Content-Length").cast("int")
-    rows = rows.withColumn("_size", F.coalesce(size, F.lit(0)))
-    return rows.select(*[field(F.col("_head"), name).alias(c) for name, c in FIELDS.items()], F.expr("substring(cast(value as binary), octet_length(_head) + 5, _size)").alias("block"))
+    """The records of WARC files, with the columns of FIELDS and block; a field without a value is null."""
+    raw = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary"))
+    rows = raw.mapInArrow(_whole, "head binary, block binary").withColumn("head", F.make_valid_utf8(F.col("head").cast("string")))
+    back = lambda c, x: F.decode(F.unbase64(x), "UTF-8") if c in FOLDED else x
+    return rows.select(*[back(c, field(F.col("head"), name)).alias(c) for name, c in FIELDS.items()], "block")

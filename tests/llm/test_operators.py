@@ -217,6 +217,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_derive.derive(read.limit(0)).count() == 0
 
 
+def test_warc_payloads_of_any_kind(spark, tmp_path):
+    head = lambda kind: f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode()
+    long = b"X-Long: " + b"a" * 70_000
+    blocks = [head("text/html") + b"<p>WARC/1.1\r\nWARC-Type: response\r\n\r\nx WARC/1.0</p>", head("text/html; charset=ISO-8859-1") + "<p>\xe9t\xe9 &eacute;&#233;&#xe9; &amp;lt; &hellip;</p>".encode("latin-1"), long, b"HTTP/1.1 200 OK\r\n" + long + b"\r\n\r\n<b>end</b>", None]
+    rows = [(f"<urn:{i}>", "response", f"http://a.example/{i}", "2024-01-01T00:00:00Z", "application/http; msgtype=response", b, "sha1:STATED" if i == 0 else None) for i, b in enumerate(blocks)]
+    made = spark.createDataFrame(rows, "record_id string, warc_type string, target_uri string, date string, content_type string, block binary, payload_digest string").coalesce(1)
+    for compression in ("gzip", "none"):
+        path = str(tmp_path / compression)
+        warc_derive.write(made, path, compression)
+        read = warc_derive.read(spark, path)
+        assert {r["record_id"]: bytes(r["block"]) for r in read.collect()} == {r[0]: r[5] or b"" for r in rows}
+    derived = warc_derive.derive(read)
+    out = {(r["refers_to"], r["warc_type"]): r for r in derived.collect()}
+    text = lambda i: out[f"<urn:{i}>", "conversion"]["block"].decode()
+    assert text(0) == "WARC/1.1\nWARC-Type: response\nx WARC/1.0"
+    assert text(1) == "\xe9t\xe9 \xe9\xe9\xe9 &lt; \u2026"
+    assert (text(2), text(3), text(4)) == ("", "end", "")
+    assert out["<urn:2>", "metadata"]["source_headers"] == long.decode() and out["<urn:3>", "metadata"]["source_headers"].endswith("a")
+    assert out["<urn:0>", "conversion"]["source_digest"] == "sha1:STATED" and out["<urn:1>", "conversion"]["source_digest"].startswith("sha256:")
+    warc_derive.write(derived, str(tmp_path / "derived"))
+    again = {(r["refers_to"], r["warc_type"]): r for r in warc_derive.read(spark, str(tmp_path / "derived")).collect()}
+    for key, r in out.items():
+        assert {c: again[key][c] for c in ("record_id", "source_digest", "source_headers", "block_digest")} == {c: r[c] or None for c in ("record_id", "source_digest", "source_headers", "block_digest")}
+        assert bytes(again[key]["block"]) == bytes(r["block"])
+
+
 def test_mixed_documents_are_cut_after_the_words_taken(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (i + 1)), "a" if i % 3 else "b") for i in range(30)], "doc_id long, text string, source string")
     taken = {r["doc_id"]: r["taken"] for r in fair_mix.taken(docs).collect()}
