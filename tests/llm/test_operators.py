@@ -3,6 +3,7 @@
 import binascii
 import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -193,6 +194,47 @@ def test_base_rules_equal_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_planted_outliers_of_a_language_and_source(spark):
+    dice = random.Random(9)
+    word = lambda n: "".join(dice.choices("abcdefghijkl", k=n))
+    rows = []
+    for source, least in (("short", 3), ("long", 11)):
+        for _ in range(260):
+            rows.append((len(rows), " ".join(word(dice.randint(least, least + 4)) for _ in range(dice.randint(60, 140))), "en", source))
+    inside = len(rows)
+    # Each of these is usual in the other source, or in no source at all: only an estimate of their own source tells.
+    for source, text in (("short", lambda: " ".join(word(13) for _ in range(100))), ("long", lambda: " ".join(word(5) for _ in range(100))), ("long", lambda: " ".join(word(9) + "###" for _ in range(100)))):
+        rows += [(len(rows) + k, text(), "en", source) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in robust_outliers.judge(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == set(range(inside, len(rows)))
+
+
+def test_the_fit_with_the_least_determinant_is_found(spark):
+    """Against every half of a small sample: the fit's determinant is close to the least there is."""
+    dice = np.random.default_rng(4)
+    data = np.concatenate([dice.normal(size=(9, robust_outliers.P)) * 2, dice.normal(size=(3, robust_outliers.P)) + 25])
+    rows = spark.createDataFrame([(("g",), *map(float, x)) for x in data], "grp struct<k:string>, " + ", ".join(f"x{i} double" for i in range(robust_outliers.P)))
+    got = robust_outliers.mcd(rows).first()
+    halves = [np.linalg.slogdet(np.cov(data[list(c)].T, bias=True))[1] for c in itertools.combinations(range(12), 6)]
+    assert got["det"] <= np.quantile(halves, 0.2)
+    assert np.abs([got[f"m{i}"] for i in range(robust_outliers.P)]).max() < 6
+
+
+def test_clashing_columns_and_rows_of_the_quality_filter(spark, odd):
+    docs = odd.select("*", *[F.lit(7).alias(c) for c in ("n_words", "x0", "d2", "kept", "_words", "grp", "m0")])
+    judged = robust_outliers.judge(docs)
+    assert sorted(judged.columns) == sorted({*docs.columns, *robust_outliers.BASE, "d2", "kept"} - {"text"})
+    assert sorted(r["n_words"] for r in judged.collect()) == sorted(len((r["text"] or "").split()) for r in odd.collect())
+    left = robust_outliers.filtered(docs)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) <= Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    fine = " ".join(f"w{i}" for i in range(50))
+    more = spark.createDataFrame([(None, fine, "en", None), (1, fine, "en", None), (1, fine, "en", None), (2, "short", "en", None)], "doc_id long, text string, lang string, source string")
+    assert Counter(r["doc_id"] for r in robust_outliers.filtered(more).collect()) == {None: 1, 1: 2}
+
+
 def test_held_out_accuracy(spark):
     big = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{big}/documents.parquet")
