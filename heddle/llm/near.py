@@ -2,8 +2,8 @@
 
 Texts with the same shingle set are one node, so copies never meet in pairs. A band bucket links its nodes to one of them
 first (a star), the one that meets most nodes over all its buckets: the text that others are copies of meets more than a copy
-does. Where a bucket still holds several components, nodes outside its largest one are compared with FEW members of that one,
-and only those that remain apart with all others. There a node meets the nodes of its own and the two neighbouring size classes only, and the classes of a bucket are separate
+does. Where a bucket still holds several components, nodes outside its largest one are compared with a few members of that one
+where the plan says so, and those that remain apart with all others. There a node meets the nodes of its own and the two neighbouring size classes only, and the classes of a bucket are separate
 join keys. Before full sets are compared, parity bitmaps of the sets rule out pairs that cannot be linked. No link between
 different components is left out. Sets of one or two shingles are linked by equality alone, so they need no bands.
 """
@@ -29,20 +29,23 @@ SHINGLE, SIMILAR = 5, 75
 BROADCAST_NODES = 200_000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
-#: Members of a bucket's largest component that the nodes outside it meet before they meet all.
-FEW = 8
 #: Sizes of linked sets differ by a factor of 4/3 at most, so their classes of this ratio are the same or neighbours.
 CLASS = 1.34
 
 
 @dataclass(frozen=True)
 class Bands:
-    """bands of rows minima each; bits low bits of every minimum are kept for estimates (0: none), and parity longs of a set's bitmap."""
+    """bands of rows minima each; bits low bits of every minimum are kept for estimates (0: none), and parity longs of a set's bitmap.
+
+    few: members of a bucket's largest component that the nodes outside it meet before they meet all; worth a round for
+    short bands, in which more of them collide.
+    """
 
     bands: int
     rows: int
     bits: int = 0
     parity: int = 16
+    few: int = 0
 
     def missed(self, similarity: float) -> float:
         """Chance that no band of a pair of this similarity agrees."""
@@ -288,23 +291,27 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22, least: int = 0)
     star = star.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
     links = verified(star.filter(alike).select("a", "b"), "near-star")
 
-    def apart(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def apart(comp: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The members of buckets that hold several components, and each such bucket's largest one."""
-        comp = components(edges)
         of = members.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         several = of.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
         mixed = stored(of.join(several, "bucket"), "near-mixed")
         return mixed, mixed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
 
-    mixed, major = apart(links)
-    inside = mixed.join(major, "bucket").filter("comp = major").groupBy("bucket").agg(*[F.min_by("nid", F.xxhash64("nid", F.lit(k))).alias(f"c{k}") for k in range(FEW)])
-    few = inside.select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(FEW)]))).alias("a"))
-    few = mixed.join(major, "bucket").filter("comp <> major").select("bucket", F.col("nid").alias("b")).join(few, "bucket").select("a", "b").distinct()
-    few = few.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
-    links = links.union(verified(few.filter(alike).select("a", "b"), "near-few"))
-    discard(mixed)
-
-    mixed, major = apart(links)
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """The components with further links: each known one is a star already."""
+        return components(comp.select(F.col("comp").alias("a"), F.col("nid").alias("b")).union(links))
+
+    comp = stored(components(links), "near-components")
+    mixed, major = apart(comp)
+    if plan.few:
+        inside = mixed.join(major, "bucket").filter("comp = major").groupBy("bucket").agg(*[F.min_by("nid", F.xxhash64("nid", F.lit(k))).alias(f"c{k}") for k in range(plan.few)])
+        few = inside.select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(plan.few)]))).alias("a"))
+        few = mixed.join(major, "bucket").filter("comp <> major").select("bucket", F.col("nid").alias("b")).join(few, "bucket").select("a", "b").distinct()
+        few = few.join(thin.alias("x"), F.col("a") == F.col("x.nid")).join(thin.alias("y"), F.col("b") == F.col("y.nid"))
+        before, comp = comp, stored(joined(comp, verified(few.filter(alike).select("a", "b"), "near-few")), "near-components")
+        discard(mixed, before)
+        mixed, major = apart(comp)
     sized = mixed.join(thin, "nid").withColumn("class", F.floor(F.log("n") / math.log(CLASS)).cast("int"))
     minor = sized.join(major, "bucket").filter("comp <> major").withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
     other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.major")) | (F.col("x.nid") < F.col("y.nid")))
@@ -314,7 +321,7 @@ def classes(items: DataFrame, plan: Bands, slack: float = 0.22, least: int = 0)
     more = verified(cross, "near-cross")
     discard(mixed, members)
 
-    comp = components(links.union(more))
+    comp = joined(comp, more)
     named = stored(nodes.select("nid", "node", "id").join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "near-named")
     discard(nodes)
     least_of = named.groupBy("comp").agg(F.min("id").alias("first"))

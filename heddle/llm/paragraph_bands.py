@@ -49,7 +49,7 @@ _WORD = re.compile(WORD)
 
 def tuned(similarity: float = SIMILAR / 100, recall: float = RECALL, rows: int = 2) -> Bands:
     """The fewest bands of so many rows that miss no more than 1 - recall of the pairs at the threshold."""
-    return Bands(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows, parity=4)
+    return Bands(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows, parity=4, few=8)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
