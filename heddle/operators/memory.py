@@ -21,27 +21,63 @@ def sliding_windows(rows: DataFrame, key: str, order: str, size: int = 5, overla
     return placed.groupBy(key, "window").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
+#: Consecutive order values that one window takes.
+STRETCH = 100_000
+
+
+def _stretched(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+
+
+def beside(rows: DataFrame, key: str, order: str, value: str, out: str, after: bool = False) -> DataFrame:
+    """rows with out: value of the row before (or after) in the key's order, null at its end.
+
+    Windows are by key and stretch of the order, so a key of any share is spread; a stretch's first row looks at the last one of
+    the stretch before it, which comes from one row a stretch.
+    """
+    placed = _stretched(rows, key, order)
+    inner = W.Window.partitionBy(key, "_stretch").orderBy(order if not after else F.desc(order))
+    pick = F.min_by if after else F.max_by
+    ends = placed.groupBy(key, "_stretch").agg(pick(value, order).alias("_end"))
+    line = W.Window.partitionBy(key).orderBy("_stretch" if not after else F.desc("_stretch"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), F.lag("_end").over(line).alias("_other"))
+    local = placed.withColumn("_near", F.lag(value).over(inner)).withColumn("_place", F.row_number().over(inner))
+    both = local.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")))
+    return both.withColumn(out, F.when(F.col("_place") == 1, F.col("_other")).otherwise(F.col("_near"))).drop("_key", "_at", "_other", "_near", "_place", "_stretch")
+
+
+def running(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """rows with out: the total of value up to the row in the key's order, by stretches as in `beside`."""
+    placed = _stretched(rows, key, order)
+    line = W.Window.partitionBy(key).orderBy("_stretch").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = placed.groupBy(key, "_stretch").agg(F.sum(value).alias("_sum")).select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), F.coalesce(F.sum("_sum").over(line), F.lit(0)).alias("_before"))
+    inner = W.Window.partitionBy(key, "_stretch").orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0)
+    both = placed.withColumn("_local", F.sum(value).over(inner)).join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")))
+    return both.withColumn(out, F.col("_local") + F.col("_before")).drop("_key", "_at", "_before", "_local", "_stretch")
+
+
 def boundaries(units: DataFrame, key: str, order: str, vector_col: str = "embedding", threshold: float = 0.0) -> DataFrame:
     """key, order, similarity to the unit before, boundary.
 
     Interior local minima that also lie below the threshold are boundaries; a key without such minima falls back to all
-    units below the threshold.
+    units below the threshold. The order is a number.
     """
-    line = W.Window.partitionBy(key).orderBy(order)
-    sim = units.withColumn("_before", F.lag(vector_col).over(line)).withColumn("similarity", F.when(F.col("_before").isNotNull(), F.round(cosine(vector_col, "_before"), 6)))
-    sim = sim.withColumn("_l", F.lag("similarity").over(line)).withColumn("_r", F.lead("similarity").over(line))
+    sim = beside(units.select(key, order, vector_col), key, order, vector_col, "_before")
+    sim = sim.select(key, order, F.when(F.col("_before").isNotNull(), F.round(cosine(vector_col, "_before"), 6)).alias("similarity"))
+    sim = beside(beside(sim, key, order, "similarity", "_l"), key, order, "similarity", "_r", after=True)
     sim = sim.withColumn("_low", F.coalesce(F.col("similarity") < threshold, F.lit(False))).withColumn("_min", F.coalesce((F.col("similarity") < F.col("_l")) & (F.col("similarity") < F.col("_r")), F.lit(False)))
-    any_ = F.max(F.col("_low") & F.col("_min")).over(W.Window.partitionBy(key))
-    return sim.select(key, order, "similarity", F.when(any_, F.col("_low") & F.col("_min")).otherwise(F.col("_low")).alias("boundary"))
+    any_ = sim.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("_low") & F.col("_min")).alias("_any"))
+    both = sim.join(any_, F.col(key).eqNullSafe(F.col("_key")))
+    return both.select(key, order, "similarity", F.when(F.col("_any"), F.col("_low") & F.col("_min")).otherwise(F.col("_low")).alias("boundary"))
 
 
 def segments(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFrame:
     """key, segment, first, last, n: units between boundaries; segments under `least` units join the one before, the first stays."""
-    line = W.Window.partitionBy(key).orderBy(order)
-    raw = marked.withColumn("_s", F.sum(F.col("boundary").cast("int")).over(line)).groupBy(key, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
-    runs = W.Window.partitionBy(key).orderBy("_s")
-    opens = (F.row_number().over(runs) == 1) | (F.col("n") >= least)
-    joined = raw.withColumn("_open", opens).withColumn("segment", F.sum(F.col("_open").cast("int")).over(runs) - 1)
+    marked = running(marked.withColumn("_b", F.col("boundary").cast("int")), key, order, "_b", "_s")
+    raw = marked.groupBy(key, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    first = raw.groupBy(F.col(key).alias("_key")).agg(F.min("_s").alias("_least"))
+    opens = ((F.col("_s") == F.col("_least")) | (F.col("n") >= least)).cast("int")
+    joined = running(raw.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_open", opens).drop("_key", "_least"), key, "_s", "_open", "segment").withColumn("segment", F.col("segment") - 1)
     return joined.groupBy(key, "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 

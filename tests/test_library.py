@@ -1,8 +1,11 @@
+import zipfile
+
 from pyspark.sql import functions as F
 
 from heddle.functions.vectors import cosine, nearest
 from heddle.operators import memory, retrieval, service
-from heddle.streaming import metrics
+from heddle.sources import files
+from heddle.streaming import metrics, tiers
 
 
 def test_cosine_of_unlike_vectors(spark):
@@ -63,3 +66,37 @@ def test_stream_roll_up_agrees_with_batch(spark, tmp_path):
     got = {r["start"]: r["n"] for r in streamed(spark, str(tmp_path / "ev"), rows.schema, metrics.roll_up).collect()}
     batch = {r["start"]: r["n"] for r in metrics.roll_up(rows).collect()}
     assert got and all(batch[k] == n for k, n in got.items())
+
+
+def test_short_term_memory_promotes_its_first_segments(spark, tmp_path):
+    rows = spark.createDataFrame([("a", n) for n in (500, 600, 500, 500, 100, 2100)] + [("b", 10)], "key string, tokens long").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, str(tmp_path / "in"), rows.schema, lambda s: tiers.short_term(s, batch=3))
+    assert sorted((r["segments"], r["tokens"]) for r in got.collect()) == [(3, 1600), (3, 2700)]
+
+
+def test_tiers_flush_and_promote(spark, tmp_path):
+    rows = spark.createDataFrame([("a", i) for i in range(12)], "key string, id long").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, str(tmp_path / "in"), rows.schema, lambda s: tiers.tiers(s, sensory=3, short=7, share=0.3, long=2))
+    assert sorted(map(tuple, got.collect())) == [("a", "long", 3, 2), ("a", "long", 3, 2), ("a", "short", 3, 3), ("a", "short", 3, 6), ("a", "short", 3, 9), ("a", "short", 3, 9)]
+
+
+def test_consolidation_by_number_or_time(spark, tmp_path):
+    at = [0.0, 1.0, 2.0, 3.0, 70.0, 71.0]
+    rows = spark.createDataFrame([("a", t) for t in at], "key string, seconds double").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, str(tmp_path / "in"), rows.schema, lambda s: tiers.triggered(s, most=3))
+    assert sorted((r["events"], r["at"]) for r in got.collect()) == [(2, 70.0), (3, 2.0)]
+
+
+def test_text_and_docx_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# T\n\nbody\n")
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in (("Heading1", "Top"), ("Normal", "some &amp; text"), ("Heading2", "Sub"), ("Normal", "more")))
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    assert [(r["kind"], r["text"]) for r in files.texts(spark, str(tmp_path / "*.md")).collect()] == [("md", "# T\n\nbody\n")]
+    got = {r["place"]: (r["style"], list(r["headings"]), r["text"]) for r in files.docx(spark, str(tmp_path / "b.docx")).collect()}
+    assert got == {0: ("Heading1", ["Top"], "Top"), 1: ("Normal", ["Top"], "some & text"), 2: ("Heading2", ["Top", "Sub"], "Sub"), 3: ("Normal", ["Top", "Sub"], "more")}
+    assert files.docx(spark, str(tmp_path / "c.docx")).count() == 0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import chunks, pairs, recall, service, sinks
+from heddle.operators import chunks, memory, pairs, recall, service, sinks
 from heddle.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -138,3 +138,17 @@ def test_recall_heuristics_on_odd_rows(spark):
     units = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two!"), (4, "Hello there all. This is a longer sentence. Short one here. And the longest sentence of them all.")], "id long, content string")
     got = {r["id"]: (r["sentences"], r["kept"]) for r in recall.compressed(units, 0.5, 1).collect()}
     assert got == {1: (0, 0), 2: (0, 0), 3: (2, 2), 4: (4, 2)}
+
+
+def test_neighbours_and_totals_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(memory, "STRETCH", 3)
+    data = [("a", i, i * i % 7) for i in (0, 1, 2, 5, 6, 13, 14, 20)] + [(None, 4, 1), (None, 9, 2)]
+    rows = spark.createDataFrame(data, "k string, i long, x long")
+    out = memory.running(memory.beside(memory.beside(rows, "k", "i", "x", "p"), "k", "i", "x", "n", after=True), "k", "i", "x", "t")
+    got = {(r["k"], r["i"]): (r["p"], r["n"], r["t"]) for r in out.collect()}
+    want = {}
+    for k in ("a", None):
+        part = [(i, x) for y, i, x in data if y == k]
+        for j, (i, _) in enumerate(part):
+            want[k, i] = (part[j - 1][1] if j else None, part[j + 1][1] if j + 1 < len(part) else None, sum(x for _, x in part[: j + 1]))
+    assert got == want
