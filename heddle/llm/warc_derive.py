@@ -19,14 +19,12 @@ headers if it is Latin or UTF-16, else as UTF-8.
 
 from __future__ import annotations
 
-import html
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from heddle.llm.common import text_or_empty
 
@@ -37,7 +35,7 @@ COLUMNS = ("record_id", "warc_type", "target_uri", "date", "content_type", "bloc
 # Elements whose content is no text, and elements that end a line.
 SILENT = ("script", "style", "noscript", "template")
 LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-# Frequent entities, the ampersand last; texts with others are decoded by Python's table.
+# Entities that are decoded, the ampersand last; others stay as they stand.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
@@ -52,11 +50,6 @@ def digest(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
-@F.udf(StringType(), useArrow=True)
-def _unescaped(text):
-    return text and html.unescape(text)
-
-
 def plain_text(page: Column) -> Column:
     """The visible text of a page: a line for each block element, blanks collapsed."""
     text = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
@@ -64,10 +57,7 @@ def plain_text(page: Column) -> Column:
         text = F.regexp_replace(text, rf"(?is)<{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{LINES})(?:[ \t\r\n/][^>]*)?>", "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    *frequent, (amp, sign) = ENTITIES.items()
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), frequent, text)
-    other = text.rlike(r"&(?!amp;)(?:#|[A-Za-z])")
-    text = F.coalesce(_unescaped(F.when(other, text)), F.replace(text, F.lit(amp), F.lit(sign)))
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
