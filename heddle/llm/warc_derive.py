@@ -13,8 +13,8 @@ equal records, and repeated responses give repeated derivatives.
 
 A null block or text counts as empty; a block without a blank line after its headers is all headers, however long. A null URI,
 date or identifier stays null. Records of other types give no derivative. An empty table gives an empty result; texts of any
-length are converted whole; there are no ties to break. Other columns are ignored. Payloads are read in the charset of their
-headers if it is Latin or UTF-16, else as UTF-8.
+length are converted whole; there are no ties to break. Other columns are ignored. Payloads are read as
+UTF-8, with a replacement character for bytes that are none.
 """
 
 from __future__ import annotations
@@ -88,14 +88,12 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # A string of the bytes as they are: cut at the blank line without reading characters.
     rows = rows.withColumn("_raw", F.substring_index(block.cast("string"), "\r\n\r\n", 1).cast("binary"))
     rows = rows.withColumn("_payload", F.expr("substring(coalesce(_block, X''), octet_length(_raw) + 5)")).withColumn("_head", F.decode("_raw", "ISO-8859-1"))
-    charset = F.lower(F.regexp_extract(F.coalesce(field(F.col("_head"), "Content-Type"), F.lit("")), r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
-    page = F.when(charset.isin("iso-8859-1", "latin1", "windows-1252", "us-ascii"), F.decode("_payload", "ISO-8859-1")).when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.decode("_payload", "UTF-16"))
-    rows = rows.withColumn("_page", F.coalesce(page, F.make_valid_utf8(F.col("_payload").cast("string"))))
-    rows = rows.withColumn("_digest", F.coalesce("_stated", digest(F.col("_payload")))).withColumn("_text", plain_text(F.col("_page")))
+    page = F.make_valid_utf8(F.col("_payload").cast("string"))
+    rows = rows.withColumn("_digest", F.coalesce("_stated", digest(F.col("_payload")))).withColumn("_text", plain_text(page))
     meta, text = uuid_of(F.concat(F.lit("metadata "), "_record_id")), uuid_of(F.concat(F.lit("conversion "), "_record_id"))
-    title = F.trim(F.regexp_extract("_page", r"(?is)<title(?:[ \t\r\n][^>]*)?>([^<]*)", 1))
-    lang = F.regexp_extract("_page", r"""(?i)<html[^>]*[ \t\r\n]lang=["']?([a-zA-Z-]+)""", 1)
-    links = F.regexp_count("_page", F.lit(r"(?i)<a[ \t\r\n][^>]*href="))
+    title = F.trim(F.regexp_extract(page, r"(?is)<title(?:[ \t\r\n][^>]*)?>([^<]*)", 1))
+    lang = F.regexp_extract(page, r"""(?i)<html[^>]*[ \t\r\n]lang=["']?([a-zA-Z-]+)""", 1)
+    links = F.regexp_count(page, F.lit(r"(?i)<a[ \t\r\n][^>]*href="))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\r\n"))
     facts = F.concat(line("http-status", F.regexp_extract("_head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)), line("http-content-type", field(F.col("_head"), "Content-Type")), line("source-payload-digest", F.col("_digest")), line("title", title), line("language", lang), line("outlinks", links), line("conversion-record-id", text))
     made = F.array(

@@ -253,7 +253,7 @@ def test_warc_round_trip(spark, tmp_path):
 def test_warc_payloads_of_any_kind(spark, tmp_path):
     head = lambda kind: f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode()
     long = b"X-Long: " + b"a" * 70_000
-    blocks = [head("text/html") + b"<p>WARC/1.1\r\nWARC-Type: response\r\n\r\nx WARC/1.0</p>", head("text/html; charset=ISO-8859-1") + "<p>\xe9t\xe9 &quot;&#39; &amp;lt; &middot;</p>".encode("latin-1"), long, b"HTTP/1.1 200 OK\r\n" + long + b"\r\n\r\n<b>end</b>", None]
+    blocks = [head("text/html") + b"<p>WARC/1.1\r\nWARC-Type: response\r\n\r\nx WARC/1.0</p>", head("text/html; charset=ISO-8859-1") + "<p>\xe9t\xe9 &quot;&#39; &amp;lt; &middot;</p>".encode(), long, b"HTTP/1.1 200 OK\r\n" + long + b"\r\n\r\n<b>end</b>", None]
     rows = [(f"<urn:{i}>", "response", f"http://a.example/{i}", "2024-01-01T00:00:00Z", "application/http; msgtype=response", b, "sha1:STATED" if i == 0 else None) for i, b in enumerate(blocks)]
     made = spark.createDataFrame(rows, "record_id string, warc_type string, target_uri string, date string, content_type string, block binary, payload_digest string").coalesce(1)
     for compression in ("gzip", "none"):
