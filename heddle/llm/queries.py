@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, group_pack, paragraph_bands, robust_outliers, suffix_groups, toxic_trees, warc_derive
+from heddle.llm import backoff_langid, bbit_minhash, content_sort, fair_mix, filter_audit, group_pack, hard_negatives, kernel_quality, paragraph_bands, robust_outliers, suffix_groups, toxic_trees, warc_derive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,24 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derive, op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op7_suffix_groups, op8_robust_outliers, op9_paragraph_bands, op10_bbit_minhash)}
+def op11_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label, F.col("id") % 50 == 0)
+
+
+_OPERATORS = (
+    op1_warc_derive, op2_content_sort, op3_fair_mix, op4_backoff_langid, op5_toxic_trees, op6_group_pack, op7_suffix_groups, op8_robust_outliers, op9_paragraph_bands, op10_bbit_minhash,
+    op11_kernel_quality, op12_filter_audit, op13_hard_negatives,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
 _STRIPPED = "html"
@@ -215,4 +233,40 @@ ORACLES = {
             FROM runs GROUP BY doc_id, kept, run)
         SELECT doc_id, 'paragraph' AS kind, paragraph, 0 AS start, length, n_shingles, keep_doc_id, keep_paragraph, 0 AS keep_start, members, kept FROM para
         UNION ALL SELECT doc_id, 'passage', paragraph, start, length, (length - 4)::BIGINT, keep_doc_id, keep_paragraph, keep_start, members, kept FROM parts""",
+    "op12_filter_audit": r"""
+        WITH worded AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+        flagged AS (
+            SELECT doc_id, part,
+                   [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body),
+                    regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS fails
+            FROM worded),
+        said AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+        docs AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM flagged LEFT JOIN said USING (doc_id)),
+        letters AS (SELECT range AS i FROM range(1, 6)),
+        orders AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS seq, array_to_string([substr('ABCDE', x::INTEGER, 1) FOR x IN [a.i, b.i, c.i, d.i, e.i]], '') AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        met AS (
+            SELECT part, filter_order, good, toxic, s.range::INTEGER AS step, seq[s.range] AS f, fails[seq[s.range]] AS failed, fails,
+                   coalesce(list_position([fails[x] FOR x IN seq], true), 6) AS first
+            FROM docs, orders, range(1, 6) s),
+        counted AS (
+            SELECT part, filter_order, step, f, count(*) FILTER (step < first) AS kept, count(*) FILTER (step = first) AS removed, count(*) FILTER (failed AND step > first) AS redundant,
+                   count(*) FILTER (failed AND len([1 FOR x IN fails IF x]) = 1) AS unique_fails, count(*) FILTER (step = first AND good = 1) AS good_lost, count(*) FILTER (step = first AND toxic = 1) AS toxic_lost
+            FROM met GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted""",
+    "op13_hard_negatives": r"""
+        WITH shaped AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor, a.label AS anchor_label, b.vec_id AS other, b.label AS label, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_dot_product(a.v, b.v)::BIGINT END AS score
+            FROM shaped a JOIN shaped b ON a.vec_id % 50 = 0 AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor, other AS positive, score AS positive_score FROM scored WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+        ranked AS (
+            SELECT p.anchor, positive, positive_score, other AS negative, score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other) AS rank
+            FROM positives p JOIN scored s ON s.anchor = p.anchor AND s.label <> s.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, negative AS negative_id, positive_score, score AS negative_score FROM ranked WHERE rank <= 3""",
 }

@@ -77,7 +77,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = sorted(x[0] for x in want.description)
