@@ -9,7 +9,8 @@ keeps WORDS words and GRAMS n-grams a language, so what is broadcast does not gr
 predicted from its whole text and from nothing else.
 
 Null text, or text without a letter, is `und` with score 0, and so is every text if nothing was learned. Ties go to the
-first language in order. Null identifiers are never learned from. An empty table gives an empty result.
+first language in order. Null identifiers are never learned from. Rows that repeat, and equal texts, are predicted alike, very
+long texts by all of their words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -51,8 +52,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     known = sampled(known.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang", rows, id_col)
     words = known.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).cache()
     ends = F.concat(F.lit("^"), "word", F.lit("$"))
-    starts = lambda k: F.sequence(F.lit(1), F.length("ends") - k + 1)
-    spread = F.concat(*[F.when(F.length("ends") >= k, F.transform(starts(k), lambda i, k=k: F.substring("ends", i, F.lit(k)))).otherwise(F.array()) for k in range(1, ORDER + 1)])
+
+    def of_length(k: int) -> Column:
+        # The function must have one parameter: a second one would be bound to the place in the array.
+        starts = F.sequence(F.lit(1), F.length("ends") - k + 1)
+        return F.when(F.length("ends") >= k, F.transform(starts, lambda i: F.substring("ends", i, F.lit(k)))).otherwise(F.array())
+
+    spread = F.concat(*[of_length(k) for k in range(1, ORDER + 1)])
     grams = words.withColumn("ends", ends).select("lang", "n", F.explode(spread).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept_words, kept_grams = _top(words.filter("n > 1"), "word", WORDS).collect(), _top(grams, "gram", GRAMS).collect()
     total = {r["lang"]: r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
