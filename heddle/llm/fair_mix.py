@@ -3,9 +3,9 @@
 Every source is a queue of its documents in a shuffled order that only the identifier and the seed decide; the queue is
 served twice at most. A document's virtual finish time is the words of its queue up to its end, divided by the source's
 target. Documents are sorted by finish time in ranges over all sources, and the running total of their words is truncated
-at the budget, which is the sum of the targets. A document that its queue still has in service at time 1, when a queue
-without pauses has met its target, is served in packets of PACKET words that have finish times of their own: so a source ends
-within a packet of its target, however long its documents are. No source is cut by itself.
+at the budget, which is the sum of the targets. A document that ends after time 1, when a queue without pauses has met its
+target, is served in packets of PACKET words that have finish times of their own: so a source ends within a packet of its
+target, however long its documents are. Order and budget alone decide: no source is cut by itself.
 
 A source of any share is totalled in buckets of its shuffled order, never in one window. Null text has no words, a null
 source is a source like any other (last in order), repeated identifiers are separate entries, ties go by source and place
@@ -81,9 +81,11 @@ def mix(queued: DataFrame) -> DataFrame:
     entry = queued.filter("size > 0").withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("upto") - F.col("size"))
     over = F.col("begin") + F.col("size") <= F.col("target")
     entry = entry.withColumn("over", over).withColumn("packet", F.explode(F.when(over, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long")))))
-    # What starts after time 1 cannot be reached: the packets in service then hold all that is left of the budget.
-    entry = entry.filter(F.col("begin") + F.col("packet") < F.col("target")).withColumn("words", F.when(F.col("over"), F.col("size")).otherwise(F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("packet"))))
-    entry = entry.withColumn("finish", (F.col("begin") + F.col("packet") + F.col("words")) / F.col("target")).withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges))).withColumn("all", F.lit(1))
+    entry = entry.withColumn("words", F.when(F.col("over"), F.col("size")).otherwise(F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("packet"))))
+    finish = F.col("finish")
+    entry = entry.withColumn("finish", (F.col("begin") + F.col("packet") + F.col("words")) / F.col("target"))
+    # Ranges of even width up to time 2; those of the few later entries widen, so that a source with a small target adds few ranges.
+    entry = entry.withColumn("range", F.floor(F.when(finish <= 2, finish).otherwise(2 + F.log(finish / 2)) * ranges)).withColumn("all", F.lit(1))
     total = bucketed_total(entry, ["all"], "range", ["finish", F.col("source").asc_nulls_last(), "upto", "epoch", "packet"], "words", "running")
     total = total.join(F.broadcast(budget)).filter("running - words < budget").withColumn("words", F.least("words", F.col("budget") - F.col("running") + F.col("words")))
     return total.select("doc", "source", "upto", "epoch", "size", "words", "finish", "running", *[c for c in queued.columns if c == "row"])

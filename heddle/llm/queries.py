@@ -149,9 +149,9 @@ ORACLES = {
         entries AS (
             SELECT p.source, p.size, p.upto, g.target, e.epoch, e.epoch * g.source_size + p.upto - p.size AS begin_
             FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source, range(2) AS e(epoch)
-            WHERE p.size > 0 AND e.epoch * g.source_size + p.upto - p.size < g.target),
+            WHERE p.size > 0),
         packets AS (SELECT *, begin_ + size <= target AS over_, unnest(CASE WHEN begin_ + size <= target THEN [0] ELSE range(0, size, 256) END) AS packet FROM entries),
-        sliced AS (SELECT *, CASE WHEN over_ THEN size ELSE least(256, size - packet) END AS n FROM packets WHERE begin_ + packet < target),
+        sliced AS (SELECT *, CASE WHEN over_ THEN size ELSE least(256, size - packet) END AS n FROM packets),
         served AS (
             SELECT *, sum(n) OVER (ORDER BY (begin_ + packet + n)::DOUBLE / target, source NULLS LAST, upto, epoch, packet ROWS UNBOUNDED PRECEDING) AS running
             FROM sliced),
