@@ -28,6 +28,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 3
 #: D: a text with one of these fails.
 SYMBOLS = r"[#$%&*|]"
+#: Documents that one task replays, about.
+TASK_ROWS = 200_000
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
 
@@ -43,21 +45,19 @@ def text_flags(text: Column) -> Column:
     return sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(fails[1:], 1)), F.when(fails[0], 1).otherwise(0))
 
 
-def flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """part, mask (a bit for each filter that the document fails), good, toxic: a row for each document."""
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+    """id, part, mask (bits of A to D), digest, size: one pass over the texts, after which only these move."""
     text = text_or_empty(text_col)
-    # One pass over the texts; what follows moves identifiers, digests and a few numbers only.
-    rows = stored(
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_flags(text).alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).alias("size")),
-        "audit-flags",
-    )
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_flags(text).alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).alias("size"))
+
+
+def flags(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """part, mask (a bit for each filter that the document fails), good, toxic: a row for each of the described documents."""
     # Copies are counted with map-side combining; only texts that occur more than once go on to the join.
     first = rows.groupBy("digest", "size").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("digest", "size", "least")
     rows_ = rows.join(first, ["digest", "size"], "left").select("id", "part", (F.col("mask") + F.when(F.col("id") > F.col("least"), 16).otherwise(0)).alias("mask"))
     said = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(to) for c, to in (("quality", "good"), ("toxic", "toxic"))])
-    out = stored(rows_.join(said, "id", "left").select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")), "audit-masks")
-    discard(rows)
-    return out
+    return rows_.join(said, "id", "left").select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
 def orders(spark) -> DataFrame:
@@ -88,4 +88,9 @@ def replay(flagged: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    return replay(flags(docs, labels, id_col, text_col, part_col))
+    rows = stored(described(docs, id_col, text_col, part_col), "audit-flags")
+    # A narrow row becomes 600: rows are dealt out by their number, not by their bytes.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    out = stored(replay(flags(rows, labels, id_col).repartition(tasks)), "audit-counts")
+    discard(rows)
+    return out
