@@ -34,39 +34,42 @@ def cosine(a, b) -> Column:
 
 
 def blocked(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """block, ids, body: rows packed into blocks of about BLOCK vectors by a hash of the identifier."""
+    """block, rows: rows of one vector length packed into blocks of about BLOCK by a hash of the identifier."""
     n = max(1, -(-vectors.count() // BLOCK))
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _real(F.col(vector_col)).alias("v"))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.size("v").alias("width")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
 
 
 def _unit(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     ids = rows.values.field("id").to_numpy(zero_copy_only=False)
-    v = rows.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    flat = rows.values.field("v").flatten().to_numpy(zero_copy_only=False)
+    v = np.nan_to_num(flat.astype(float)).reshape(len(ids), len(flat) // len(ids))
     size = np.linalg.norm(v, axis=1, keepdims=True)
     return ids, np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", least: float = -1.0) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", least: float = -1.0, weight: float = 1.0) -> DataFrame:
     """query_id, id, score, rank: the k most similar corpus rows of each query row, itself left out; ties by identifier.
 
     A stated query set against all rows: blocks of queries meet blocks of the corpus, each meeting keeps k rows a query,
-    and these are ranked at the end. Scores are rounded to six digits before ranking. All vectors have one length.
+    and these are ranked at the end, by similarities of six digits. The score is `weight` times the similarity, rounded once.
+    Vectors of different lengths have similarity 0; a null component counts as 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 (qi, q), (ci, c) = _unit(b.column(0)[i]), _unit(b.column(1)[i])
-                score = np.round(q @ c.T, 6) + 0.0
+                exact = q @ c.T if q.shape[1] == c.shape[1] else np.zeros((len(q), len(c)))
+                score = np.round(exact, 6) + 0.0
                 score[qi[:, None] == ci[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(ci, score.shape), -score), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(qi)), order.shape[1])
                 best = score[rows, order.ravel()]
                 keep = (best >= least) & (best > -2)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[rows][keep], pa.int64()), pa.array(ci[order.ravel()][keep], pa.int64()), pa.array(best[keep])], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[rows][keep], pa.int64()), pa.array(ci[order.ravel()][keep], pa.int64()), pa.array(best[keep]), pa.array((np.round(weight * exact, 6) + 0.0)[rows, order.ravel()][keep])], ["query_id", "id", "_sim", "score"])
 
     met = blocked(queries, id_col, vector_col).select(F.col("rows").alias("q")).crossJoin(blocked(corpus, id_col, vector_col).select(F.col("rows").alias("c")))
-    found = met.mapInArrow(run, "query_id long, id long, score double")
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = met.mapInArrow(run, "query_id long, id long, _sim double, score double")
+    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("_sim"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_sim")

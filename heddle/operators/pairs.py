@@ -1,69 +1,37 @@
-"""Similar pairs inside batches of units, and what rests on them: merges, relations, clusters, update queues, novelty.
+"""What rests on similar pairs of all units: merges, relations, clusters, update queues, novelty.
 
-A batch is a run of `size` identifiers, as units arrive: the pairs of a batch are bounded by its size, batches are spread over
-tasks, and the work grows with the number of units. Identifiers must be unique whole numbers; units without a vector, or with
-one of another length than the rest of the batch's first, are in no pair.
+Identifiers must be unique whole numbers; units without a vector are in no pair, and are novel. Units with equal vectors are one
+class for clusters and novelty, which decide on its first unit: copies are never compared with each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from heddle.functions.vectors import cosine
+from heddle.operators import order, similar
+from heddle.sources.scratch import discard, stored
 
-SIZE = 100
-
-
-def _batches(units: DataFrame, size: int, id_col: str, vector_col: str, *more: str) -> DataFrame:
-    vector = F.transform(vector_col, lambda x: x.cast("double"))
-    rows = units.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), *more)
-    batch = F.floor(F.col("id") / size).alias("batch")
-    return rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("id", "v", *more))).alias("rows"))
-
-
-def _scores(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers in order, and cosine similarities to six digits; -2 where a unit has no comparable vector."""
-    ids = rows.values.field("id").to_numpy(zero_copy_only=False)
-    vectors = [np.array(v, float) for v in rows.values.field("v").to_pylist()]
-    width = len(vectors[0])
-    v = np.array([x if len(x) == width else np.full(width, np.nan) for x in vectors])
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-    return ids, np.nan_to_num(np.round(unit @ unit.T, 6), nan=-2.0) + 0.0
-
-
-def _per_batch(batched: DataFrame, made: Callable, names: dict[str, pa.DataType], shape: str) -> DataFrame:
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            for i in range(b.num_rows):
-                columns = made(b.column("rows")[i])
-                n = len(columns[0])
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("batch")[i].as_py()] * n, pa.int64()), *[pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)]], ["batch", *names])
-
-    return batched.mapInArrow(run, f"batch long, {shape}")
 
+def classes(units: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The first unit of each different vector (id, v), and every other one with its first (id, first); combined before rows move."""
+    rows = stored(similar.usable(units, id_col, vector_col), "class-units")
+    firsts = stored(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "class-firsts")
+    copies = rows.join(firsts.filter("n > 1").select("v", F.col("id").alias("first")), "v").filter(F.col("id") != F.col("first")).select("id", "first")
+    return firsts.select("id", "v"), copies
 
-def pairs(units: DataFrame, least: float, strict: bool = False, size: int = SIZE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """batch, a, b, score: the pairs a < b of each batch with a similarity of `least` or more (strict: over it)."""
 
-    def made(rows):
-        ids, score = _scores(rows)
-        a, b = np.nonzero(np.triu((score > least) if strict else (score >= least), 1))
-        return ids[a], ids[b], score[a, b]
-
-    return _per_batch(_batches(units, size, id_col, vector_col), made, {"a": pa.int64(), "b": pa.int64(), "score": pa.float64()}, "a long, b long, score double")
+def pairs(units: DataFrame, least: float, strict: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+    """a, b, score: the pairs a < b with a similarity of `least` or more (strict: over it)."""
+    return similar.pairs(units, least, strict, id_col=id_col, vector_col=vector_col, **how)
 
 
 def contradictions(found: DataFrame, top: int = 20) -> DataFrame:
-    """The most similar pairs of each batch, with their rank."""
-    order = W.Window.partitionBy("batch").orderBy(F.desc("score"), "a", "b")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    """The most similar pairs, with their rank."""
+    best = found.orderBy(F.desc("score"), "a", "b").limit(top)
+    return best.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("score"), "a", "b")))  # at most `top` rows
 
 
 def relations(found: DataFrame, entities: DataFrame) -> DataFrame:
@@ -77,21 +45,15 @@ def relations(found: DataFrame, entities: DataFrame) -> DataFrame:
     return both.select(F.explode(ends).alias("e"), "score").select("e.src", "e.dst", "e.type", F.col("score").alias("weight"))
 
 
-def clusters(units: DataFrame, least: float, size: int = SIZE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """batch, id, cluster: the smallest identifier reachable inside the batch by pairs over `least`."""
-
-    def made(rows):
-        ids, score = _scores(rows)
-        label = np.arange(len(ids))
-        near = score > least
-        np.fill_diagonal(near, True)
-        while True:
-            low = np.where(near, label[None, :], len(ids)).min(axis=1)
-            if (low == label).all():
-                return ids, ids[label]
-            label = low
-
-    return _per_batch(_batches(units, size, id_col, vector_col), made, {"id": pa.int64(), "cluster": pa.int64()}, "id long, cluster long")
+def clusters(units: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+    """id, cluster: the smallest identifier reachable by pairs over `least`; every unit is in a cluster."""
+    firsts, copies = classes(units, id_col, vector_col)
+    found = order.components(similar.pairs(firsts, least, strict=True, id_col="id", vector_col="v", **how))
+    # An unlinked first stands for its copies; copies follow their first.
+    copied = copies.join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("cluster", "first").alias("cluster"))
+    linked = stored(found.union(copied), "cluster-linked")
+    every = units.select(F.col(id_col).cast("long").alias("id"))
+    return every.join(linked, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def merged(clustered: DataFrame, units: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -113,38 +75,23 @@ def update_queues(found: DataFrame, top: int = 5) -> DataFrame:
     return queue.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def crystallised(units: DataFrame, least: float, confidence_col: str = "confidence", size: int = SIZE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """batch, keep, remove: greedy merges in pair order; the more confident of a pair stays, the first on ties, and a removed unit takes part no more."""
-
-    def made(rows):
-        ids, score = _scores(rows)
-        sure = rows.values.field(confidence_col).to_pylist()
-        gone, keep, remove = set(), [], []
-        for i, j in zip(*np.nonzero(np.triu(score >= least, 1)), strict=True):
-            a, b = (i, j) if (sure[i] or 0) >= (sure[j] or 0) else (j, i)
-            if a not in gone and b not in gone:
-                gone.add(b)
-                keep.append(ids[a])
-                remove.append(ids[b])
-        return keep, remove
-
-    return _per_batch(_batches(units, size, id_col, vector_col, confidence_col), made, {"keep": pa.int64(), "remove": pa.int64()}, "keep long, remove long")
-
-
-def novel(units: DataFrame, least: float, size: int = SIZE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """batch, id, accepted: in order, a unit is accepted if no unit accepted before it is similar to it."""
+def crystallised(units: DataFrame, least: float, confidence_col: str = "confidence", id_col: str = "vec_id", vector_col: str = "embedding", few: int = order.FEW, **how) -> DataFrame:
+    """keep, remove: greedy merges in pair order; the more confident of a pair stays, the first on ties, and a removed unit takes part no more."""
+    found = similar.pairs(units, least, id_col=id_col, vector_col=vector_col, **how)
+    sure = units.select(F.col(id_col).cast("long").alias("id"), F.coalesce(confidence_col, F.lit(0)).alias("sure"))
+    for end in "ab":
+        found = found.join(sure.select(F.col("id").alias(end), F.col("sure").alias(f"sure_{end}")), end)
+    return order.merges(found.select("a", "b", (F.col("sure_a") >= F.col("sure_b")).alias("a_stays")), few)
 
-    def made(rows):
-        ids, score = _scores(rows)
-        taken: list[int] = []
-        accepted = []
-        for i in range(len(ids)):
-            accepted.append(not (score[i, taken] >= least).any())
-            if accepted[-1]:
-                taken.append(i)
-        return ids, accepted
 
-    return _per_batch(_batches(units, size, id_col, vector_col), made, {"id": pa.int64(), "accepted": pa.bool_()}, "id long, accepted boolean")
+def novel(units: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", few: int = order.FEW, **how) -> DataFrame:
+    """id, accepted: in order, a unit is accepted if no unit accepted before it is similar to it."""
+    firsts, copies = classes(units, id_col, vector_col)
+    found = similar.pairs(firsts, least, id_col="id", vector_col="v", **how)
+    # A copy is similar to its first, and to whatever kept its first out.
+    out = stored(order.rejected(found.select("a", "b"), few).union(copies.select("id")).select("id", F.lit(False).alias("_in")), "novel-rejected")
+    discard(found)
+    return units.select(F.col(id_col).cast("long").alias("id")).join(out, "id", "left").select("id", F.coalesce("_in", F.lit(True)).alias("accepted"))
 
 
 def centroids(units: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:

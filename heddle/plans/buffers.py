@@ -39,7 +39,12 @@ def outcome_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Pending decisions (signups) and the first purchase of the same user that resolves them within a day; the others expire."""
     events = table(spark, d, "events").filter(F.col("event_type").isin("signup", "purchase"))
     bought = F.when(F.col("event_type") == "purchase", F.col("ts"))
-    line = W.Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, W.Window.unboundedFollowing)
-    found = events.withColumn("_next", F.min(bought).over(line)).filter("event_type = 'signup'")
-    at = F.when((F.col("_next") > F.col("ts")) & (F.col("_next") <= F.col("ts") + F.expr("INTERVAL 1 DAY")), F.col("_next"))
+    # From the latest event on, the least purchase so far is the next one. A purchase at the signup's own time resolves nothing,
+    # so times are first made one row each: the purchase before a time in this order is at a later time.
+    times = events.groupBy("user_id", "ts").agg(F.min(bought).alias("_bought"))
+    line = W.Window.partitionBy("user_id").orderBy(F.desc("ts")).rowsBetween(W.Window.unboundedPreceding, -1)
+    later = times.withColumn("_next", F.min("_bought").over(line)).select(F.col("user_id").alias("_user"), F.col("ts").alias("_at"), "_next")
+    asked = events.filter("event_type = 'signup'")
+    found = asked.join(later, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("ts") == F.col("_at")), "left")
+    at = F.when(F.col("user_id").isNotNull() & (F.col("_next") <= F.col("ts") + F.expr("INTERVAL 1 DAY")), F.col("_next"))
     return found.select("event_id", at.alias("resolved_at"), F.when(at.isNull(), "expired").otherwise("resolved").alias("status"))

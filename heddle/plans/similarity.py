@@ -17,7 +17,7 @@ from heddle.sources.tables import memory_units, table
 
 LEAST = 0.25
 _COSINE = "coalesce(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), 0)"
-_PAIRS = f"p AS (SELECT a.vec_id // 100 AS batch, a.vec_id AS a, b.vec_id AS b, {_COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id)"
+_PAIRS = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 _CLUSTERS = f"""
     {_PAIRS}, e AS (SELECT a AS x, b AS y FROM p WHERE score > {LEAST} UNION ALL SELECT b, a FROM p WHERE score > {LEAST}),
     reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
@@ -28,12 +28,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
-@query(f"WITH {_PAIRS} SELECT batch, a, b, score FROM p WHERE score >= {LEAST}")
+@query(f"WITH {_PAIRS} SELECT a, b, score FROM p WHERE score >= {LEAST}")
 def vector_pairs_ge(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pairs(_vectors(spark, d), LEAST)
 
 
-@query(f"WITH {_PAIRS} SELECT batch, a, b, score, row_number() OVER (PARTITION BY batch ORDER BY score DESC, a, b)::INTEGER AS rank FROM p WHERE score >= {LEAST} QUALIFY rank <= 20")
+@query(f"WITH {_PAIRS} SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a, b)::INTEGER AS rank FROM p WHERE score >= {LEAST} QUALIFY rank <= 20")
 def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.contradictions(pairs.pairs(_vectors(spark, d), LEAST))
 
@@ -46,7 +46,7 @@ def relation_binding(spark: SparkSession, d: str) -> DataFrame:
     return pairs.relations(pairs.pairs(_vectors(spark, d), LEAST, strict=True), memory_units(spark, d))
 
 
-@query(f"WITH RECURSIVE {_CLUSTERS} SELECT id // 100 AS batch, id, cluster FROM c")
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster FROM c")
 def synthesis_components(spark: SparkSession, d: str) -> DataFrame:
     return pairs.clusters(_vectors(spark, d), LEAST)
 
@@ -57,7 +57,7 @@ def synthesis_components(spark: SparkSession, d: str) -> DataFrame:
     SELECT cluster, place, max(n) AS members, round(sum(w * x::DOUBLE), 6) AS value FROM s GROUP BY cluster, place""")
 def synthesis_pairwise_merge(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return pairs.merged(pairs.clusters(v, LEAST).select("id", "cluster"), v)
+    return pairs.merged(pairs.clusters(v, LEAST), v)
 
 
 @query(f"""
@@ -85,13 +85,26 @@ def consolidated_units(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.when(known, F.col("source")).otherwise(F.col("id")).alias("content_of"), F.coalesce("_ts", "ts").alias("ts"), known.alias("updated"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_PAIRS}, o AS (SELECT a, b, a * 37 % 100 >= b * 37 % 100 AS stays, row_number() OVER (ORDER BY a, b) AS k FROM p WHERE score >= {LEAST}),
+    g(k, gone, keep, remove) AS (
+        SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+        UNION ALL
+        SELECT o.k, CASE WHEN fine THEN list_append(gone, CASE WHEN stays THEN b ELSE a END) ELSE gone END, CASE WHEN fine THEN CASE WHEN stays THEN a ELSE b END END, CASE WHEN fine THEN CASE WHEN stays THEN b ELSE a END END
+        FROM (SELECT o.*, g.gone, NOT list_contains(gone, a) AND NOT list_contains(gone, b) AS fine FROM g JOIN o ON o.k = g.k + 1) o)
+    SELECT keep, remove FROM g WHERE keep IS NOT NULL""")
 def crystallizer_merges(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d).withColumn("confidence", F.pmod(F.col("vec_id") * 37, F.lit(100)) / 100)
     return pairs.crystallised(v, LEAST)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_PAIRS}, n AS (SELECT b AS id, list(a) AS earlier FROM p WHERE score >= {LEAST} GROUP BY b),
+    o AS (SELECT vec_id AS id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings LEFT JOIN n ON id = vec_id),
+    g(k, id, taken, accepted) AS (
+        SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], false
+        UNION ALL SELECT o.k, o.id, CASE WHEN list_has_any(earlier, taken) THEN taken ELSE list_append(taken, o.id) END, NOT list_has_any(earlier, taken) FROM g JOIN o ON o.k = g.k + 1)
+    SELECT id, accepted FROM g WHERE k > 0""")
 def novelty_greedy(spark: SparkSession, d: str) -> DataFrame:
     return pairs.novel(_vectors(spark, d), LEAST)
 
@@ -106,12 +119,12 @@ def centroid_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-    SELECT query_id, id, round(score * 0.5, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n.score DESC, id)::INTEGER AS rank FROM n WHERE n.score >= {LEAST} QUALIFY rank <= 10""")
+    WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS sim, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS exact FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+    SELECT query_id, id, round(exact * 0.5, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INTEGER AS rank FROM n WHERE sim >= {LEAST} QUALIFY rank <= 10""")
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     """The channel of hybrid retrieval: the ten nearest above the floor, at half weight."""
     v = _vectors(spark, d)
-    return nearest(v.filter("vec_id % 50 = 0"), v, 10, least=LEAST).withColumn("score", F.round(F.col("score") * 0.5, 6))
+    return nearest(v.filter("vec_id % 50 = 0"), v, 10, least=LEAST, weight=0.5)
 
 
 @query(f"""
