@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from heddle.sources.scratch import stored
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """id, other, type, direction: each edge from both of its ends."""
@@ -41,14 +43,22 @@ def by_id_or_name(vertices: DataFrame, members: DataFrame) -> DataFrame:
     return by("id").union(by("name")).distinct()
 
 
-def within(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """id, hops: vertices within so many undirected hops, with the least number of hops. Each hop starts from the newly found vertices only."""
+def within(edges: DataFrame, start: str, hops: int, most: int | None = None) -> DataFrame:
+    """id, hops: vertices within so many undirected hops, with the least number of hops; with most, the first so many by hops and id.
+
+    The first hop is a filter by the start's key. Later ones start from the newly found vertices only, which are stored, as are
+    those seen, so no round repeats the ones before it.
+    """
     step = both_ways(edges).select("id", F.col("other").alias("_to"))
-    seen = front = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
+    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
+    front = None
     for k in range(1, hops + 1):
-        front = step.join(front.select("id"), "id", "left_semi").select(F.col("_to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(k))
+        near = step.filter(F.col("id") == start) if front is None else step.join(front.select("id"), "id", "left_semi")
+        found = near.select(F.col("_to").alias("id")).distinct()
+        found = found.filter(F.col("id") != start) if front is None else found.join(seen.select("id"), "id", "left_anti")
+        front = stored(found.withColumn("hops", F.lit(k)), "graph-front") if k < hops else found.withColumn("hops", F.lit(k))
         seen = seen.union(front)
-    return seen
+    return seen if most is None else seen.orderBy("hops", "id").limit(most)
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

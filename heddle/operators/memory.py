@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from heddle.functions.vectors import cosine, nearest
+from heddle.sources.scratch import discard, stored
 
 
 def sliding_windows(rows: DataFrame, key: str, order: str, size: int = 5, overlap: int = 2) -> DataFrame:
@@ -29,21 +30,22 @@ def _stretched(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
 
 
-def beside(rows: DataFrame, key: str, order: str, value: str, out: str, after: bool = False) -> DataFrame:
-    """rows with out: value of the row before (or after) in the key's order, null at its end.
+def beside(rows: DataFrame, key: str, order: str, value: str, before: str = "_before", after: str = "_after") -> DataFrame:
+    """rows with before and after: value of the row before and after in the key's order, null at its ends.
 
-    Windows are by key and stretch of the order, so a key of any share is spread; a stretch's first row looks at the last one of
-    the stretch before it, which comes from one row a stretch.
+    Windows are by key and stretch of the order, so a key of any share is spread; a stretch's ends look at the stretches beside
+    it, whose first and last values come from one row a stretch.
     """
     placed = _stretched(rows, key, order)
-    inner = W.Window.partitionBy(key, "_stretch").orderBy(order if not after else F.desc(order))
-    pick = F.min_by if after else F.max_by
-    ends = placed.groupBy(key, "_stretch").agg(pick(value, order).alias("_end"))
-    line = W.Window.partitionBy(key).orderBy("_stretch" if not after else F.desc("_stretch"))
-    ends = ends.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), F.lag("_end").over(line).alias("_other"))
-    local = placed.withColumn("_near", F.lag(value).over(inner)).withColumn("_place", F.row_number().over(inner))
+    line = W.Window.partitionBy(key).orderBy("_stretch")
+    ends = placed.groupBy(key, "_stretch").agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), F.lag("_last").over(line).alias("_low"), F.lead("_first").over(line).alias("_high"))
+    inner = W.Window.partitionBy(key, "_stretch").orderBy(order)
+    # A null value beside is told from an end by a mark of its own.
+    local = placed.withColumns({"_l": F.lag(F.struct(value)).over(inner), "_r": F.lead(F.struct(value)).over(inner)})
     both = local.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")))
-    return both.withColumn(out, F.when(F.col("_place") == 1, F.col("_other")).otherwise(F.col("_near"))).drop("_key", "_at", "_other", "_near", "_place", "_stretch")
+    pick = lambda near, end: F.when(F.col(near).isNull(), F.col(end)).otherwise(F.col(f"{near}.{value}"))
+    return both.withColumns({before: pick("_l", "_low"), after: pick("_r", "_high")}).drop("_key", "_at", "_low", "_high", "_l", "_r", "_stretch")
 
 
 def running(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
@@ -62,19 +64,22 @@ def boundaries(units: DataFrame, key: str, order: str, vector_col: str = "embedd
     Interior local minima that also lie below the threshold are boundaries; a key without such minima falls back to all
     units below the threshold. The order is a number.
     """
-    sim = beside(units.select(key, order, vector_col), key, order, vector_col, "_before")
-    sim = sim.select(key, order, F.when(F.col("_before").isNotNull(), F.round(cosine(vector_col, "_before"), 6)).alias("similarity"))
-    sim = beside(beside(sim, key, order, "similarity", "_l"), key, order, "similarity", "_r", after=True)
-    sim = sim.withColumn("_low", F.coalesce(F.col("similarity") < threshold, F.lit(False))).withColumn("_min", F.coalesce((F.col("similarity") < F.col("_l")) & (F.col("similarity") < F.col("_r")), F.lit(False)))
-    any_ = sim.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("_low") & F.col("_min")).alias("_any"))
-    both = sim.join(any_, F.col(key).eqNullSafe(F.col("_key")))
+    near = beside(units.select(key, order, vector_col), key, order, vector_col)
+    # Stored, for what follows looks at it several times: narrow rows without the vectors.
+    sim = stored(near.select(key, order, F.when(F.col("_before").isNotNull(), F.round(cosine(vector_col, "_before"), 6)).alias("similarity")), "topic-similarity")
+    at = F.col("similarity")
+    marks = beside(sim, key, order, "similarity").select(key, order, "similarity", F.coalesce(at < threshold, F.lit(False)).alias("_low"), F.coalesce((at < F.col("_before")) & (at < F.col("_after")), F.lit(False)).alias("_min"))
+    marks = stored(marks, "topic-marks")
+    discard(sim)
+    any_ = marks.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("_low") & F.col("_min")).alias("_any"))
+    both = marks.join(any_, F.col(key).eqNullSafe(F.col("_key")))
     return both.select(key, order, "similarity", F.when(F.col("_any"), F.col("_low") & F.col("_min")).otherwise(F.col("_low")).alias("boundary"))
 
 
 def segments(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFrame:
     """key, segment, first, last, n: units between boundaries; segments under `least` units join the one before, the first stays."""
     marked = running(marked.withColumn("_b", F.col("boundary").cast("int")), key, order, "_b", "_s")
-    raw = marked.groupBy(key, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    raw = stored(marked.groupBy(key, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")), "topic-segments")
     first = raw.groupBy(F.col(key).alias("_key")).agg(F.min("_s").alias("_least"))
     opens = ((F.col("_s") == F.col("_least")) | (F.col("n") >= least)).cast("int")
     joined = running(raw.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_open", opens).drop("_key", "_least"), key, "_s", "_open", "segment").withColumn("segment", F.col("segment") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.vectors import cosine, nearest
 from heddle.operators import graph, memory, retrieval, service
-from heddle.plans import buffers, chunks, exports, panels, similarity, units  # noqa: F401  their queries register themselves
+from heddle.plans import buffers, chunks, exports, groups, panels, similarity, units  # noqa: F401  their queries register themselves
 from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from heddle.sources.tables import EDGES, VERTICES, edge_counts, edges, edges_of, table, vertices
 from heddle.streaming import metrics
