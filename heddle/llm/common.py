@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Where `stored` notes its tables, innermost last.
+_NOTED: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def noted(tables: list[DataFrame]) -> Iterator[None]:
+    """Tables that are stored meanwhile are added to `tables`, for whoever knows when they have been read."""
+    _NOTED.append(tables)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -33,11 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _NOTED[-1:]:
+        tables.append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of stored tables that nothing reads any more, so a long job does not fill the shared folder."""
+    """Delete the files of stored tables that nothing reads any more, so a long job does not fill the shared folder; what is gone already may be named again."""
     for t in tables:
         session = t.sparkSession
         path = session._jvm.org.apache.hadoop.fs.Path(t.stored_at)
