@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.vectors import cosine, nearest
-from heddle.operators import graph, memory, retrieval, service
+from heddle.operators import graph, index, memory, retrieval, service
 from heddle.plans import buffers, chunks, exports, groups, panels, similarity, units  # noqa: F401  their queries register themselves
 from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from heddle.sources.kept import kept
 from heddle.sources.tables import EDGES, VERTICES, edge_counts, edges, edges_of, table, vertices
 from heddle.streaming import metrics
 
@@ -55,9 +56,15 @@ def keyword_contains(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.contains(table(spark, d, "documents"), WORDS).select("doc_id", "score")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, score by the term index of the documents."""
+    path = kept(spark, d, "terms", ["documents"], lambda at: index.build(table(spark, d, "documents"), at))
+    return index.bm25(spark, path, WORDS)
+
+
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm25")
 def keyword_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), WORDS)
+    return _scored(spark, d)
 
 
 _HYBRID = f"""
@@ -80,7 +87,7 @@ def hybrid_union_rank(spark: SparkSession, d: str) -> DataFrame:
     ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
     near = v.join(F.broadcast(ask)).select(F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), 6).alias("score"), F.lit("vector").alias("source"))
     near = near.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    words = retrieval.bm25(docs, WORDS).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
+    words = _scored(spark, d).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
     best = retrieval.best_of([near, words])
     head = best.orderBy(F.desc("score"), "id").limit(TOP)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(head), "id")
@@ -263,7 +270,7 @@ def set_union_merge(spark: SparkSession, d: str) -> DataFrame:
     ask = v.filter("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
     near = v.join(F.broadcast(ask)).select(F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), 6).alias("score"), F.lit("vector").alias("source"))
     near = near.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    words = retrieval.bm25(docs, WORDS).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
+    words = _scored(spark, d).select(F.col("doc_id").alias("id"), F.round(F.col("score") / 10, 6).alias("score"), F.lit("keyword").alias("source"))
     return retrieval.head(retrieval.best_of([near, words]), 30)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators import chunks
+from heddle.operators import chunks, spectral
 from heddle.plans.registry import query
 from heddle.sources.tables import table
 
@@ -70,3 +70,11 @@ def spatial_near_edges(spark: SparkSession, d: str) -> DataFrame:
     """Elements of a page closer than 500 units; customers of a nation stand in for a page's elements."""
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 5000).cast("double").alias("y"))
     return chunks.near_elements(e)
+
+
+@query()
+def spectral_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of all documents in chunks of like placement and meaning."""
+    elements = _markdown(spark, d)
+    made = spectral.assembled(spectral.chunked(elements), elements)
+    return made.select("doc_id", "chunk", "elements", "tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
