@@ -15,11 +15,6 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit("in").alias("direction")))
 
 
-def named(near: DataFrame, vertices: DataFrame) -> DataFrame:
-    """other, label, name, type, direction of a vertex's edges (other, type, direction)."""
-    return near.join(vertices, near["other"] == vertices["id"]).select("other", "label", "name", "type", "direction")
-
-
 def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, id, hops, types: every path of up to so many undirected edges, none of which it uses twice, from starts (id)."""
     eid = edges.withColumn("_e", F.concat_ws(">", "src", "dst", "type"))
@@ -43,42 +38,48 @@ def by_id_or_name(vertices: DataFrame, members: DataFrame) -> DataFrame:
     return by("id").union(by("name")).distinct()
 
 
-def within(edges: DataFrame, start: str, hops: int, most: int | None = None) -> DataFrame:
-    """id, hops: vertices within so many undirected hops, with the least number of hops; with most, the first so many by hops and id.
+def within(ends: DataFrame, start: str, hops: int, most: int | None = None) -> DataFrame:
+    """id, hops: vertices within so many hops over ends (id, other), with the least number of hops; with most, the first so many by hops and id.
 
-    The first hop is a filter by the start's key. Later ones start from the newly found vertices only, which are stored, as are
-    those seen, so no round repeats the ones before it.
+    The first hop is a filter by the start's key. Later ones start from the newly found vertices only, which are stored, so no
+    round repeats the ones before it.
     """
-    step = both_ways(edges).select("id", F.col("other").alias("_to"))
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
+    step = ends.select("id", F.col("other").alias("_to"))
+    seen = ends.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"))
     front = None
     for k in range(1, hops + 1):
         near = step.filter(F.col("id") == start) if front is None else step.join(front.select("id"), "id", "left_semi")
         found = near.select(F.col("_to").alias("id")).distinct()
         found = found.filter(F.col("id") != start) if front is None else found.join(seen.select("id"), "id", "left_anti")
-        front = stored(found.withColumn("hops", F.lit(k)), "graph-front") if k < hops else found.withColumn("hops", F.lit(k))
+        front = found.withColumn("hops", F.lit(k))
+        front = stored(front, "graph-front") if k < hops else front
         seen = seen.union(front)
     return seen if most is None else seen.orderBy("hops", "id").limit(most)
 
 
+def subgraph(ends: DataFrame, start: str, hops: int, most: int = 500) -> DataFrame:
+    """src, dst, type, src_hops, dst_hops: the edges between the first `most` vertices within so many hops."""
+    near = stored(within(ends, start, hops, most), "graph-near")
+    edges = ends.filter("direction = 'out'").select(F.col("id").alias("src"), F.col("other").alias("dst"), "type")
+    for end in ("src", "dst"):
+        edges = edges.join(near.select(F.col("id").alias(end), F.col("hops").alias(f"{end}_hops")), end)
+    return edges.select("src", "dst", "type", "src_hops", "dst_hops")
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ids (id)."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def label_counts(vertices: DataFrame) -> DataFrame:
-    return vertices.groupBy("label").agg(F.count("*").alias("n"))
-
-
-def degrees(edges: DataFrame) -> DataFrame:
-    """id, outgoing, incoming."""
+def degrees(ends: DataFrame) -> DataFrame:
+    """id, outgoing, incoming over ends (id, direction)."""
     way = lambda d: F.sum((F.col("direction") == d).cast("long"))
-    return both_ways(edges).groupBy("id").agg(way("out").alias("outgoing"), way("in").alias("incoming"))
+    return ends.groupBy("id").agg(way("out").alias("outgoing"), way("in").alias("incoming"))
 
 
-def communities(edges: DataFrame, vertices: DataFrame, kind: str, names: int = 5) -> DataFrame:
-    """community, members, top: members of each target of `kind` edges, and the first names in order."""
-    members = edges.filter(F.col("type") == kind).join(vertices, F.col("src") == F.col("id")).select(F.col("dst").alias("community"), "src", "name").distinct()
+def communities(ends: DataFrame, kind: str, names: int = 5) -> DataFrame:
+    """community, members, top: members of each target of `kind` edges, and the first names in order; over ends (id, other, type, direction, name)."""
+    members = ends.filter((F.col("type") == kind) & (F.col("direction") == "in")).select(F.col("id").alias("community"), F.col("other").alias("src"), "name")
     counts = members.groupBy("community").agg(F.count("*").alias("members"))
     order = W.Window.partitionBy("community").orderBy("name", "src")
     top = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= names).groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("top"))

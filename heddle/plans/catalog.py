@@ -9,8 +9,9 @@ from heddle.functions.vectors import cosine, nearest
 from heddle.operators import graph, index, memory, retrieval, service
 from heddle.plans import buffers, chunks, exports, groups, panels, similarity, units  # noqa: F401  their queries register themselves
 from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from heddle.sources.adjacency import Adjacency
 from heddle.sources.kept import kept
-from heddle.sources.tables import EDGES, VERTICES, edge_counts, edges, edges_of, table, vertices
+from heddle.sources.tables import EDGES, VERTICES, edges, table, vertices
 from heddle.streaming import metrics
 
 #: Words that the keyword queries look for, and the vertex that the graph queries start from.
@@ -56,10 +57,19 @@ def keyword_contains(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.contains(table(spark, d, "documents"), WORDS).select("doc_id", "score")
 
 
+def _terms(spark: SparkSession, d: str) -> str:
+    return kept(spark, d, "terms", ["documents"], lambda at: index.build(table(spark, d, "documents"), at))
+
+
+def prepare(spark: SparkSession, d: str) -> None:
+    """Build the stores that queries share, where they are not there yet; else the first query that needs one does."""
+    _terms(spark, d)
+    Adjacency(spark, d)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, score by the term index of the documents."""
-    path = kept(spark, d, "terms", ["documents"], lambda at: index.build(table(spark, d, "documents"), at))
-    return index.bm25(spark, path, WORDS)
+    return index.bm25(spark, _terms(spark, d), WORDS)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm25")
@@ -154,33 +164,43 @@ def structured_index_tf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH} SELECT other, label, name, type, direction FROM b JOIN v ON v.id = b.other WHERE b.id = '{START}'")
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.named(edges_of(spark, d, START), vertices(spark, d))
+    return Adjacency(spark, d).ends().filter(F.col("id") == START).select("other", "label", "name", "type", "direction")
 
 
-@query(f"WITH {_GRAPH}, h1 AS (SELECT '{START}' AS id, 0 AS hops UNION SELECT other, 1 FROM b WHERE id = '{START}'), h2 AS (SELECT * FROM h1 UNION SELECT b.other, 2 FROM b JOIN h1 USING (id) WHERE hops = 1) SELECT id, min(hops)::INTEGER AS hops FROM h2 GROUP BY id")
+@query(f"WITH {_GRAPH}, h1 AS (SELECT '{START}' AS id, 0 AS hops UNION SELECT other, 1 FROM b WHERE id = '{START}'), h2 AS (SELECT * FROM h1 UNION SELECT b.other, 2 FROM b JOIN h1 USING (id) WHERE hops = 1) SELECT id, min(hops)::INTEGER AS hops FROM h2 GROUP BY id ORDER BY min(hops), id LIMIT 500")
 def graph_subgraph_khop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.within(edges(spark, d), START, 2)
+    """The first five hundred vertices within two hops."""
+    return graph.within(Adjacency(spark, d).ends(), START, 2, 500)
+
+
+@query(f"""
+    WITH {_GRAPH}, h1 AS (SELECT '{START}' AS id, 0 AS hops UNION SELECT other, 1 FROM b WHERE id = '{START}'), h2 AS (SELECT * FROM h1 UNION SELECT b.other, 2 FROM b JOIN h1 USING (id) WHERE hops = 1),
+    n AS (SELECT id, min(hops)::INTEGER AS hops FROM h2 GROUP BY id ORDER BY min(hops), id LIMIT 500)
+    SELECT src, dst, type, x.hops AS src_hops, y.hops AS dst_hops FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst""")
+def graph_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    """The edges between those vertices, with both ends' hops."""
+    return graph.subgraph(Adjacency(spark, d).ends(), START, 2)
 
 
 @query(f"WITH {_GRAPH}, h AS (SELECT '{START}' AS id UNION SELECT other FROM b WHERE id = '{START}') SELECT src, dst, type FROM e WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h)")
 def graph_induced_edges(spark: SparkSession, d: str) -> DataFrame:
-    all_ = edges(spark, d)
-    return graph.induced(all_, graph.within(all_, START, 1))
+    store = Adjacency(spark, d)
+    return graph.induced(store.edges(), graph.within(store.ends(), START, 1))
 
 
 @query(f"WITH {_GRAPH} SELECT label, count(*) AS n FROM v GROUP BY label")
 def graph_stats_labels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_counts(vertices(spark, d))
+    return Adjacency(spark, d).labels()
 
 
 @query(f"WITH {_GRAPH} SELECT type, count(*) AS n FROM e GROUP BY type")
 def graph_stats_edge_types(spark: SparkSession, d: str) -> DataFrame:
-    return edge_counts(spark, d)
+    return Adjacency(spark, d).types()
 
 
 @query(f"WITH {_GRAPH} SELECT id, sum((direction = 'out')::INT)::BIGINT AS outgoing, sum((direction = 'in')::INT)::BIGINT AS incoming FROM b GROUP BY id")
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(edges(spark, d))
+    return graph.degrees(Adjacency(spark, d).ends())
 
 
 @query(f"""
@@ -188,12 +208,12 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY name, src) AS r FROM m)
     SELECT community, count(*) AS members, string_agg(name, ', ' ORDER BY name) FILTER (r <= 5) AS top FROM r GROUP BY community""")
 def community_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(edges(spark, d), vertices(spark, d), "LIVES_IN")
+    return graph.communities(Adjacency(spark, d).ends(), "LIVES_IN")
 
 
 @query(f"WITH {_GRAPH} SELECT count(*) AS total FROM v")
 def graph_total(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_counts(vertices(spark, d)).agg(F.sum("n").alias("total"))
+    return Adjacency(spark, d).labels().agg(F.sum("n").alias("total"))
 
 
 _SMALL = f"s AS (SELECT src || '>' || dst || '>' || type AS eid, src, dst, type FROM e WHERE type IN ('IN_REGION', 'BASED_IN')), w AS (SELECT eid, src AS id, dst AS other, type FROM s UNION ALL SELECT eid, dst, src, type FROM s)"

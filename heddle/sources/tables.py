@@ -40,28 +40,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, made)
 
 
-def edges_of(spark: SparkSession, sf_dir: str, vertex: str) -> DataFrame:
-    """other, type, direction of a vertex's edges: only tables that its label can appear in are read, by the key itself, so the filter reaches the scan."""
-    label, _, key = vertex.partition(":")
-    made = []
-    for kind, t, source, source_key, target, target_key in EDGES:
-        for own, own_key, other, other_key, way in ((source, source_key, target, target_key, "out"), (target, target_key, source, source_key, "in")):
-            if own == label:
-                near = table(spark, sf_dir, t).filter((F.col(own_key) == int(key)) & F.col(other_key).isNotNull()).select(F.col(other_key))
-                near = near.distinct() if t == "lineitem" else near
-                made.append(near.select(_key(other, other_key).alias("other"), F.lit(kind).alias("type"), F.lit(way).alias("direction")))
-    return reduce(DataFrame.union, made)
-
-
-def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """type, n: how many different edges of each type there are, counted by their keys."""
-    made = []
-    for kind, t, _, source_key, _, target_key in EDGES:
-        keys = table(spark, sf_dir, t).select(source_key, target_key).dropna()
-        made.append((keys.distinct() if t == "lineitem" else keys).agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "n"))
-    return reduce(DataFrame.union, made)
-
-
 #: Kinds of memory units, by identifier.
 KINDS = ("fact", "event", "summary", "relation")
 #: Runs of capitalised words; word ends are those of ASCII words.
