@@ -52,14 +52,15 @@ def digest(body: Column) -> Column:
 
 def plain_text(page: Column) -> Column:
     """The visible text of a page: a line for each block element, blanks collapsed."""
-    text = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
-    for name in SILENT:
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>", " ")
+    # Comments and silent elements go in one pass, whichever begins first.
+    silent = "|".join(rf"{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>" for name in SILENT)
+    text = F.regexp_replace(page, rf"(?is)<(?:!--.*?-->|{silent})", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{LINES})(?:[ \t\r\n/][^>]*)?>", "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
-    text = F.regexp_replace(text, r"[ \t\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    # Only blanks that change are matched: most are single spaces between words.
+    text = F.regexp_replace(text, r" [ \t\r]+|[\t\r][ \t\r]*", " ")
+    return F.btrim(F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def field(headers: Column, name: str) -> Column:
