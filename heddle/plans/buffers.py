@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from heddle.functions.text import estimated_tokens
+from heddle.operators import folds, memory
 from heddle.plans.registry import query
+from heddle.sources.scratch import stored
 from heddle.sources.tables import table
 
 
@@ -17,18 +19,13 @@ from heddle.sources.tables import table
           UNION ALL SELECT m.conv_id, m.k, m.turn, CASE WHEN s.held >= 64 THEN m.t ELSE s.held + m.t END, CASE WHEN s.held >= 64 THEN 1 ELSE s.n + 1 END FROM s JOIN m ON m.conv_id = s.conv_id AND m.k = s.k + 1)
     SELECT conv_id, turn, n AS units, held AS tokens FROM s WHERE held >= 64""")
 def sensory_flushes(spark: SparkSession, d: str) -> DataFrame:
-    """When a conversation's buffer is emptied: at the turn that brings it to 64 tokens. A conversation's turns are folded in its row."""
+    """When a conversation's buffer is emptied: at the turn that brings it to 64 tokens."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", estimated_tokens(F.col("text")).alias("t"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<turn:bigint,units:bigint,tokens:bigint>>").alias("out"))
-
-    def step(a, r):
-        held, n = a["held"] + r["t"], a["n"] + 1
-        full = held >= 64
-        out = F.when(full, F.array_append(a["out"], F.struct(r["turn"].alias("turn"), n.alias("units"), held.alias("tokens")))).otherwise(a["out"])
-        return F.struct(F.when(full, 0).otherwise(held).cast("long").alias("held"), F.when(full, 0).otherwise(n).cast("long").alias("n"), out.alias("out"))
-
-    folded = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("rows"))
-    return folded.select("conv_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("f")).select("conv_id", "f.*")
+    # A buffer starts at the first turn before which 64 tokens or more have come since the last start.
+    upto = stored(memory.running(turns, "conv_id", "turn", "t", "_upto").withColumn("_before", F.col("_upto") - F.col("t")), "buffer-turns")
+    found = folds.grouped(upto, "conv_id", "turn", "_before", 64)
+    full = found.groupBy("conv_id", "group").agg(F.max("turn").alias("turn"), F.count("*").alias("units"), F.sum("t").alias("tokens"))
+    return full.filter("tokens >= 64").drop("group")
 
 
 @query("""

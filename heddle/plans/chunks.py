@@ -32,25 +32,25 @@ def block_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return _markdown(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_ITEMS = "i AS (SELECT user_id AS page, (event_id % 7) * 60.0::DOUBLE AS x, round(hour(ts) * 10 + (event_id % 5) * 0.7, 6)::DOUBLE AS y, event_id::VARCHAR AS text FROM events WHERE dayofmonth(ts) <= 3)"
+_ITEMS = "i AS (SELECT user_id AS page, (event_id % 7) * 60.0::DOUBLE AS x, round(hour(ts) * 10 + (event_id % 5) * 0.7, 6)::DOUBLE AS y, event_id::VARCHAR AS text FROM events)"
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter(F.dayofmonth("ts") <= 3)
+    e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("page"), ((F.col("event_id") % 7) * 60.0).alias("x"), F.round(F.hour("ts") * 10 + (F.col("event_id") % 5) * 0.7, 6).alias("y"), F.col("event_id").cast("string").alias("text"))
 
 
 @query(f"""
     WITH RECURSIVE {_ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y DESC, x, text) AS k FROM i),
     f AS (SELECT page, k, x, y, text, y AS first, 0 AS line FROM o WHERE k = 1
-          UNION ALL SELECT o.page, o.k, o.x, o.y, o.text, CASE WHEN f.first - o.y > 2 THEN o.y ELSE f.first END, f.line + (f.first - o.y > 2)::INT FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1)
+          UNION ALL SELECT o.page, o.k, o.x, o.y, o.text, CASE WHEN round(f.first - o.y, 6) > 2 THEN o.y ELSE f.first END, f.line + (round(f.first - o.y, 6) > 2)::INT FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1)
     SELECT page, line, min(x) AS x, max(y) AS y, string_agg(text, ' ' ORDER BY x, text) AS text FROM f GROUP BY page, line""")
 def item_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of placed items; events stand in for the text items of pages."""
     return chunks.lines(_items(spark, d))
 
 
-@query(f"WITH {_ITEMS}, p AS (SELECT page, max(y) AS height FROM i GROUP BY page) SELECT page, coalesce(sum(height + 50) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS top FROM p")
+@query(f"WITH {_ITEMS}, p AS (SELECT page, max(y) AS height FROM i GROUP BY page) SELECT page, round(coalesce(sum(height + 50) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 6) AS top FROM p")
 def page_offsets(spark: SparkSession, d: str) -> DataFrame:
     return chunks.page_offsets(_items(spark, d).groupBy("page").agg(F.max("y").alias("height")))
 
