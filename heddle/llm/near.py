@@ -27,8 +27,6 @@ from heddle.llm.common import discard, stored
 SHINGLE, SIMILAR = 5, 75
 #: Nodes up to which texts are looked up by broadcast (100 bytes each, 20 MB); beyond it they are joined by a shuffle.
 BROADCAST_NODES = 200_000
-#: Words whose hashes a task keeps.
-CACHE = 500_000
 #: Sizes of linked sets differ by a factor of 4/3 at most, so their classes of this ratio are the same or neighbours.
 CLASS = 1.34
 
@@ -56,48 +54,68 @@ class Bands:
         return self.bits * -(-self.bands * self.rows // 64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII blanks only
+_BLANKS = np.zeros(256, bool)
+_BLANKS[list(b" \t\n\v\f\r")] = True
+#: Bytes that are hashed together, about.
+PIECE = 1 << 20
+#: A number for each byte, 0 for blanks, and the base of the words' polynomial hashes.
+_BYTES = np.where(_BLANKS, np.uint64(0), np.random.default_rng(17).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1))
+_BASE = np.uint64(0x9E3779B97F4A7C17)
+
 
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts, and each text's number of words; A-Z count as a-z, and the six ASCII blanks part words.
 
-def shingle_set(found: list[bytes], words: _Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; the whole sequence if it is shorter than one; empty without words."""
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(SHINGLE, len(h))
+    All bytes are hashed together: no word is an object of its own.
+    """
+    whole = [t.encode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer(b"\n" + b"\n".join(whole).lower() + b"\n", np.uint8)
+    blank = _BLANKS[raw]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.cumsum([len(t) + 1 for t in whole]) + 1
+    sizes = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+    if not len(starts):
+        return np.empty(0, np.uint64), sizes
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw), PIECE)), len(starts)))
+    return np.concatenate([_piece(raw[starts[i] : starts[j] if j < len(starts) else len(raw)], starts[i:j] - starts[i]) for i, j in itertools.pairwise(cuts)]), sizes
+
+
+def _piece(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words of some bytes, which begin with one; blanks after a word add nothing to its hash."""
+    begin = np.zeros(len(raw), np.int32 if len(raw) < 1 << 31 else np.int64)
+    begin[starts] = starts
+    inside = np.arange(len(raw), dtype=begin.dtype) - np.maximum.accumulate(begin)
+    powers = np.full(int(np.diff(np.append(starts, len(raw))).max()), _BASE, np.uint64)
+    powers[0] = 1
+    return _mixed(np.add.reduceat(_BYTES[raw] * np.multiply.accumulate(powers)[inside], starts))
+
+
+def _shingled(h: np.ndarray, width: int) -> np.ndarray:
     out = h[: len(h) - width + 1].copy()
     for k in range(1, width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
-    return np.unique(_mixed(out + np.uint64(width)))
+    return _mixed(out + np.uint64(width))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
-def shingle_sets(texts: list[list[bytes]], words: _Hashes) -> list[np.ndarray]:
-    """shingle_set of each text; those that are long enough are shingled together."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
-    if len(flat) < SHINGLE:
-        return [shingle_set(t, words) for t in texts]
-    out = flat[: len(flat) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - SHINGLE + 1 + k]
-    out = _mixed(out + np.uint64(SHINGLE))
-    begins = (np.cumsum(sizes) - sizes).tolist()
-    return [np.unique(out[a : a + n - SHINGLE + 1]) if n >= SHINGLE else shingle_set(t, words) for t, a, n in zip(texts, begins, sizes.tolist(), strict=True)]
+def shingle_sets(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text; the whole sequence if it is shorter than one; empty without words."""
+    out = _shingled(flat, SHINGLE) if len(flat) >= SHINGLE else flat
+    begins = np.cumsum(sizes) - sizes
+    return [_distinct(out[a : a + n - SHINGLE + 1]) if n >= SHINGLE else _shingled(flat[a : a + n], n) if n else np.empty(0, np.uint64) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
 def minima(sets: list[np.ndarray], count: int, seed: int = 1) -> np.ndarray:
@@ -151,17 +169,17 @@ def _signer(plan: Bands, floor: int = 0):
     """Signatures of (id, text); sets of fewer than floor shingles are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                tokens = [words_of(t) for t in b.column(1).to_pylist()]
+                flat, sizes = hashed_words(b.column(1).to_pylist())
                 if floor:
-                    b, tokens = b.filter(pa.array([len(t) >= floor for t in tokens], pa.bool_())), [t for t in tokens if len(t) >= floor]
-                sets = shingle_sets(tokens, words)
+                    long = sizes >= floor
+                    b, flat, sizes = b.filter(pa.array(long)), flat[np.repeat(long, sizes)], sizes[long]
+                sets = shingle_sets(flat, sizes)
                 if floor:
-                    large = [len(x) >= floor for x in sets]
-                    b, tokens, sets = b.filter(pa.array(large, pa.bool_())), list(itertools.compress(tokens, large)), list(itertools.compress(sets, large))
+                    large = np.array([len(x) >= floor for x in sets], bool)
+                    b, sizes, sets = b.filter(pa.array(large)), sizes[large], list(itertools.compress(sets, large))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, longs = np.empty(0, np.int64), np.empty((len(_columns(plan)), 0), np.int64)
                 if full:
@@ -176,7 +194,7 @@ def _signer(plan: Bands, floor: int = 0):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
-                        pa.array([len(t) for t in tokens], pa.int32()),
+                        pa.array(sizes, pa.int32()),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(missing)),
@@ -189,9 +207,8 @@ def _signer(plan: Bands, floor: int = 0):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Hashes()
     for b in batches:
-        sets = shingle_sets([words_of(t) for t in b.column(2).to_pylist()], words)
+        sets = shingle_sets(*hashed_words(b.column(2).to_pylist()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "wanted", "node", "body"])
 
 

@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from heddle.llm.common import ROW, WORD, discard, joined_small, keyed, row_id, stored, text_or_empty
-from heddle.llm.near import CACHE, SHINGLE, SIMILAR, Bands, classes
+from heddle.llm.near import SHINGLE, SIMILAR, Bands, classes
 
 RECALL, LEAST = 0.999, 16
 #: Words of a window, and starts that a window's key is the least of.
 PASSAGE, REACH = 26, 25
 #: Odd multipliers of the three words' hashes in a key.
 KEY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+#: Words whose hashes a task keeps.
+CACHE = 500_000
 #: Words that are looked at together; places must fit the low 24 bits.
 STRETCH = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
