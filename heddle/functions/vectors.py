@@ -33,6 +33,18 @@ def cosine(a, b) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(0.0)
 
 
+def similarity(a, b, kind: str = "cosine") -> Column:
+    """Similarity by choice, higher for more alike: cosine, dotProduct, or euclidean (1 / (1 + distance)); 0 for vectors of other lengths and empty ones, cosine for an unknown choice."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    if kind == "dotProduct":
+        return F.when(fits, dot(a, b)).otherwise(0.0)
+    if kind == "euclidean":
+        square = F.aggregate(F.zip_with(_real(a), _real(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+        return F.when(fits, 1 / (1 + F.sqrt(square))).otherwise(0.0)
+    return cosine(a, b)
+
+
 def blocked(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """block, rows: rows of one vector length packed into blocks of about BLOCK by a hash of the identifier."""
     n = max(1, -(-vectors.count() // BLOCK))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.vectors import cosine, nearest
 from heddle.operators import graph, index, memory, retrieval, service
-from heddle.plans import buffers, chunks, exports, groups, panels, similarity, units, written  # noqa: F401  their queries register themselves
+from heddle.plans import buffers, chunks, datasets, exports, groups, panels, similarity, units, written  # noqa: F401  their queries register themselves
 from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from heddle.sources.adjacency import Adjacency
 from heddle.sources.kept import kept
