@@ -59,3 +59,18 @@ def bm25(spark: SparkSession, path: str, words: list[str], id_col: str = "doc_id
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(total["mean"] or 1.0)))
 
     return found.select(F.col("id").alias(id_col), F.round(reduce(lambda a, b: a + b, [share(i, w) for i, w in enumerate(low)]), 6).alias("score"))
+
+
+def containing(spark: SparkSession, path: str, asked: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """ask, id: the documents that hold each asked string (ask, head), found by its rarest whole word.
+
+    A word with other characters on both sides inside the string is a word of every text that holds it. Strings without one
+    (of one or two words) are compared with all texts.
+    """
+    words = F.regexp_extract_all(F.lower("head"), F.lit(r"(?<=\P{L})\p{L}{3,}(?=\P{L})"), F.lit(0))
+    worded = asked.select("ask", "head", F.explode_outer(F.array_distinct(words)).alias("term"))
+    rare = worded.join(part(spark, path, "terms", TERMS), "term", "left").groupBy("ask", "head").agg(F.min_by("term", F.struct(F.coalesce("documents", F.lit(0)), "term")).alias("term"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    near = rare.filter("term is not null").join(part(spark, path, "postings", POSTINGS).select("term", "id"), "term").join(texts, "id")
+    every = rare.filter("term is null").join(texts, F.col("_text").contains(F.col("head")))
+    return near.filter(F.col("_text").contains(F.col("head"))).select("ask", "id").union(every.select("ask", "id"))

@@ -76,14 +76,37 @@ def boundaries(units: DataFrame, key: str, order: str, vector_col: str = "embedd
     return both.select(key, order, "similarity", F.when(F.col("_any"), F.col("_low") & F.col("_min")).otherwise(F.col("_low")).alias("boundary"))
 
 
-def segments(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFrame:
-    """key, segment, first, last, n: units between boundaries; segments under `least` units join the one before, the first stays."""
-    marked = running(marked.withColumn("_b", F.col("boundary").cast("int")), key, order, "_b", "_s")
-    raw = stored(marked.groupBy(key, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")), "topic-segments")
+def segmented(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFrame:
+    """key, order, segment of the units between boundaries; segments under `least` units join the one before, the first stays."""
+    marked = stored(running(marked.withColumn("_b", F.col("boundary").cast("int")), key, order, "_b", "_s").select(key, order, "_s"), "topic-runs")
+    raw = stored(marked.groupBy(key, "_s").agg(F.count("*").alias("n")), "topic-segments")
     first = raw.groupBy(F.col(key).alias("_key")).agg(F.min("_s").alias("_least"))
     opens = ((F.col("_s") == F.col("_least")) | (F.col("n") >= least)).cast("int")
-    joined = running(raw.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_open", opens).drop("_key", "_least"), key, "_s", "_open", "segment").withColumn("segment", F.col("segment") - 1)
-    return joined.groupBy(key, "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    numbered = running(raw.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_open", opens).drop("_key", "_least"), key, "_s", "_open", "_number")
+    numbered = numbered.select(F.col(key).alias("_key"), F.col("_s").alias("_run"), (F.col("_number") - 1).alias("segment"))
+    return marked.join(numbered, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_run"))).select(key, order, "segment")
+
+
+def segments(marked: DataFrame, key: str, order: str, least: int = 2) -> DataFrame:
+    """key, segment, first, last, n of the segments of `segmented`."""
+    return segmented(marked, key, order, least).groupBy(key, "segment").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+
+
+def segment_labels(units: DataFrame, key: str, order: str, top: int = 2) -> DataFrame:
+    """key, segment, label of units (key, order, segment, entities, content): the entities named most often, the earlier named of equals first.
+
+    Without entities the first unit's first three words of over three characters, and without those the segment's number.
+    """
+    named = units.select(key, "segment", order, F.posexplode("entities").alias("_place", "_entity"))
+    counts = named.groupBy(key, "segment", "_entity").agg(F.count("*").alias("_n"), F.min(F.struct(order, "_place")).alias("_first"))
+    rank = F.row_number().over(W.Window.partitionBy(key, "segment").orderBy(F.desc("_n"), "_first"))
+    best = counts.withColumn("_rank", rank).filter(F.col("_rank") <= top).groupBy(key, "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_entity"))), lambda r: r["_entity"]), " & ").alias("_named"))
+    best = best.select(F.col(key).alias("_key"), F.col("segment").alias("_segment"), "_named")
+    words = F.slice(F.filter(F.split(F.coalesce("content", F.lit("")), r"[ \t\r\n\f]+"), lambda w: F.length(w) > 3), 1, 3)
+    first = units.withColumn("_words", F.array_join(words, " ")).groupBy(key, "segment").agg(F.min_by("_words", order).alias("_words"))
+    both = first.join(best, F.col(key).eqNullSafe(F.col("_key")) & (F.col("segment") == F.col("_segment")), "left")
+    number = F.concat(F.lit("topic-"), (F.col("segment") + 1).cast("string"))
+    return both.select(key, "segment", F.coalesce("_named", F.when(F.col("_words") != "", F.col("_words")), number).alias("label"))
 
 
 def term_index(docs: DataFrame, top: int = 10, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:

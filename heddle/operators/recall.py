@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,6 +85,46 @@ def compressed(units: DataFrame, share: float = 0.5, least: int = 10, text_col:
     return df.select("id", F.size("s").alias("sentences"), F.when(short, F.size("s")).otherwise(F.size(kept)).alias("kept"), F.md5(F.when(short, F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, " ")).cast("binary")).alias("text"))
 
 
+def scored_sentences(units: DataFrame, least: int = 10, text_col: str = "content") -> DataFrame:
+    """id, at, sentence, score: sentences in order, scored by their words over two letters, fillers 0: a stand-in for a model's scores."""
+    s = units.select("id", F.posexplode(sentences(F.col(text_col), least)).alias("at", "sentence"))
+    words = F.size(F.filter(F.split("sentence", r"[ \t\r\n\f]+"), lambda w: F.length(w) > 2))
+    return s.withColumn("score", F.when(F.col("sentence").rlike(FILLER), 0).otherwise(words))
+
+
+def above_percentile(scored: DataFrame, share: float = 0.5) -> DataFrame:
+    """id, sentences, kept, text of scored sentences (id, at, sentence, score): those that reach the score at the place floor(n (1 - share)) of the ascending ones.
+
+    The place is found by counts of scores, a row a score, so a unit's sentences are never sorted as a whole.
+    """
+    counts = scored.groupBy("id", "score").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.Window.partitionBy("id").orderBy("score"))
+    whole = F.sum("_n").over(W.Window.partitionBy("id"))
+    place = F.least(F.floor(whole * F.lit(1 - share)), whole - 1)
+    limits = counts.withColumns({"_upto": upto, "_place": place}).filter("_upto > _place").groupBy("id").agg(F.min("score").alias("_limit"))
+    rows = scored.join(limits, "id").withColumn("_in", F.col("score") >= F.col("_limit"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_in"), F.struct("at", "sentence"))))
+    return rows.groupBy("id").agg(F.count("*").alias("sentences"), F.count_if("_in").alias("kept"), F.array_join(F.transform(kept, lambda r: r["sentence"]), " ").alias("text"))
+
+
+_CONDITION = re.compile(r"^([A-Za-z_]\w*)\s*(>=?|<=?|==|!=)\s*([\d.]+)$")
+_COMPARED = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
+
+
+def routed(metrics: dict[str, Column], routes: dict[str, str]) -> Column:
+    """The first route whose condition holds: `metric OP number`, or a metric's name alone for over 0.5; a missing or null metric is 0.
+
+    "default" is taken where no condition holds, null where there is none.
+    """
+    out = F.lit(routes.get("default")).cast("string")
+    for condition, to in reversed([x for x in routes.items() if x[0] != "default"]):
+        found = _CONDITION.match(condition)
+        name, op, limit = found.groups() if found else (condition, ">", "0.5")
+        value = F.coalesce(metrics[name].cast("double"), F.lit(0.0)) if name in metrics else F.lit(0.0)
+        out = F.when(_COMPARED[op](value, float(limit)), to).otherwise(out)
+    return out
+
+
 def dense(windows: DataFrame, text_col: str, sentences_: int = 2, over: int = 15) -> DataFrame:
     """Windows that hold at least so many sentences of more than `over` characters."""
     long = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[.!?]+"), lambda s: F.length(F.trim(s)) > over)

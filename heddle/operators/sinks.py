@@ -19,9 +19,13 @@ def memory_edges(units: DataFrame) -> DataFrame:
 
 
 def content_key(text: Column, first: int = 500) -> Column:
-    """A 32-bit rolling hash of a text's first characters, in base 36: a key for chunks that have none."""
-    at = F.sequence(F.lit(1), F.least(F.length(text), F.lit(first)))
-    codes = F.when(F.length(text) > 0, F.transform(at, lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    """A 32-bit rolling hash of a text's first UTF-16 units, in base 36: a key for chunks that have none.
+
+    The text's first characters are encoded once; two hex pairs are a unit.
+    """
+    units = F.hex(F.encode(F.substring(text, 1, first), "UTF-16BE"))
+    n = F.least(F.length(units) / 4, F.lit(first)).cast("int")
+    codes = F.transform(F.slice(F.regexp_extract_all(units, F.lit("(....)"), F.lit(1)), F.lit(1), n), lambda x: F.conv(x, 16, 10).cast("long"))
     h = F.aggregate(codes, F.lit(5381).cast("long"), lambda t, c: (t * 33 + c).bitwiseAND(0xFFFFFFFF))
     return F.lower(F.conv(h.cast("string"), 10, 36))
 

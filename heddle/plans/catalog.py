@@ -11,7 +11,7 @@ from heddle.plans import buffers, chunks, datasets, exports, groups, panels, sim
 from heddle.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from heddle.sources.adjacency import Adjacency
 from heddle.sources.kept import kept
-from heddle.sources.tables import EDGES, VERTICES, edges, table, vertices
+from heddle.sources.tables import EDGES, VERTICES, edges, memory_units, table, vertices
 from heddle.streaming import metrics
 
 #: Words that the keyword queries look for, and the vertex that the graph queries start from.
@@ -154,6 +154,29 @@ def topic_segments(spark: SparkSession, d: str) -> DataFrame:
     return memory.segments(memory.boundaries(table(spark, d, "embeddings"), "label", "vec_id"), "label", "vec_id")
 
 
+@query(f"""
+    WITH {_MARKED},
+    u AS (SELECT doc_id AS id, text AS content, (regexp_extract_all(coalesce(text, ''), '\\b[A-Z][a-z]+(?:[ \\t\\r\\n\\f]+[A-Z][a-z]+)*\\b'))[1:5] AS entities FROM documents),
+    r AS (SELECT label, vec_id, sum(boundary::INT) OVER (PARTITION BY label ORDER BY vec_id) AS s FROM marked),
+    g AS (SELECT label, s, count(*) AS n FROM r GROUP BY ALL),
+    o AS (SELECT *, (n >= 2 OR row_number() OVER (PARTITION BY label ORDER BY s) = 1)::INT AS opens FROM g),
+    k AS (SELECT *, sum(opens) OVER (PARTITION BY label ORDER BY s) - 1 AS segment FROM o),
+    m AS (SELECT r.label, segment, vec_id, content, entities FROM r JOIN k ON r.label = k.label AND r.s = k.s LEFT JOIN u ON u.id = vec_id),
+    x AS (SELECT label, segment, vec_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS i FROM m),
+    c AS (SELECT label, segment, e, count(DISTINCT vec_id) AS n, min(vec_id * 100 + i) AS first FROM x GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY label, segment ORDER BY n DESC, first) AS rank FROM c QUALIFY rank <= 2),
+    l AS (SELECT label, segment, string_agg(e, ' & ' ORDER BY rank) AS named FROM t GROUP BY ALL),
+    f AS (SELECT label, segment, array_to_string(([w FOR w IN regexp_split_to_array(coalesce(arg_min(coalesce(content, ''), vec_id), ''), '[ \\t\\r\\n\\f]+') IF length(w) > 3])[1:3], ' ') AS words FROM m GROUP BY label, segment)
+    SELECT f.label AS label, f.segment::BIGINT AS segment, coalesce(named, nullif(words, ''), 'topic-' || (f.segment + 1)) AS topic FROM f LEFT JOIN l ON l.label = f.label AND l.segment = f.segment""")
+def topic_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What each segment is about: the two entities that its units name most."""
+    v = table(spark, d, "embeddings")
+    found = memory.segmented(memory.boundaries(v, "label", "vec_id"), "label", "vec_id")
+    named = found.join(memory_units(spark, d).select(F.col("id").alias("vec_id"), "content", "entities"), "vec_id", "left")
+    named = named.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return memory.segment_labels(named.withColumnRenamed("label", "of"), "of", "vec_id").select(F.col("of").alias("label"), "segment", F.col("label").alias("topic"))
+
+
 @query(r"""
     WITH l AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 \t\r\n\f]', '', 'g'), '[ \t\r\n\f]+') IF length(x) >= 4] AS w FROM documents),
     t AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM l), c AS (SELECT doc_id, term, count(*) AS n, min(i) AS first FROM t GROUP BY doc_id, term)

@@ -165,8 +165,10 @@ def trace_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def skill_basis(spark: SparkSession, d: str) -> DataFrame:
-    """axis, vec_id, weight, rank: the five vectors that lie farthest along each of three principal axes."""
+    """axis, variance (the axis's share of all variance), vec_id, weight, rank: the five vectors that lie farthest along each of three principal axes."""
     rows = _vectors(spark, d).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    along = PCA(k=3, inputCol="features", outputCol="p").fit(rows).transform(rows).select("vec_id", F.posexplode(vector_to_array("p")).alias("axis", "weight"))
+    model = PCA(k=3, inputCol="features", outputCol="p").fit(rows)
+    shares = F.array(*[F.lit(float(x)) for x in model.explainedVariance.toArray()])
+    along = model.transform(rows).select("vec_id", F.posexplode(vector_to_array("p")).alias("axis", "weight"))
     order = W.Window.partitionBy("axis").orderBy(F.desc(F.abs(F.col("weight"))), "vec_id")
-    return along.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").withColumn("weight", F.round(F.abs(F.col("weight")), 6))
+    return along.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").withColumns({"weight": F.round(F.abs(F.col("weight")), 6), "variance": F.round(F.get(shares, F.col("axis")), 6)})

@@ -199,3 +199,29 @@ def _compressed_sql(share: float, least: int) -> str:
 @query(_compressed_sql(0.5, 10))
 def precompress_top(spark: SparkSession, d: str) -> DataFrame:
     return recall.compressed(memory_units(spark, d))
+
+
+@query(f"""
+    WITH s AS (
+        SELECT doc_id AS id, [x FOR x IN [regexp_replace(y, '^{SPACE}+|{SPACE}+$', '', 'g') FOR y IN regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?]){SPACE}+', '\\1' || chr(10), 'g'), '[\\n\\r]+')] IF length(x) >= 10] AS s
+        FROM documents),
+    e AS (SELECT id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s),
+    k AS (SELECT id, x, i, CASE WHEN regexp_matches(x, '{recall.FILLER}') THEN 0 ELSE len([w FOR w IN regexp_split_to_array(x, '{SPACE}+') IF length(w) > 2]) END AS score FROM e),
+    t AS (SELECT id, list_sort(list(score))[least(floor(count(*) * 0.7), count(*) - 1)::INTEGER + 1] AS least FROM k GROUP BY id)
+    SELECT id, count(*) AS sentences, count(*) FILTER (score >= least) AS kept, md5(string_agg(x, ' ' ORDER BY i) FILTER (score >= least)) AS text FROM k JOIN t USING (id) GROUP BY id""")
+def precompress_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences that score in the upper three tenths of their unit."""
+    found = recall.above_percentile(recall.scored_sentences(memory_units(spark, d)), 0.3)
+    return found.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query("""
+    WITH m AS (SELECT doc_id, length(coalesce(text, '')) / 5000 AS size, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) / greatest(1, length(coalesce(text, ''))) AS capitals, (lang = 'de')::INT AS german FROM documents)
+    SELECT doc_id, CASE WHEN capitals >= 0.2 THEN 'shouted' WHEN size > 0.9 THEN 'long' WHEN german > 0.5 THEN 'german' WHEN size <= 0.02 THEN 'short' ELSE 'other' END AS route FROM m""")
+def routed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents sent on by conditions on their metrics; the first that holds decides."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.length(text)
+    metrics = {"size": size / 5000, "capitals": F.length(F.regexp_replace(text, "[^A-Z]", "")) / F.greatest(F.lit(1), size), "german": (F.col("lang") == "de").cast("int")}
+    routes = {"capitals>=0.2": "shouted", "size > 0.9": "long", "german": "german", "size<=0.02": "short", "no_metric > 0": "never", "default": "other"}
+    return table(spark, d, "documents").select("doc_id", recall.routed(metrics, routes).alias("route"))
