@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from heddle.functions.text import terms
 from heddle.sources.kept import part
@@ -74,3 +75,20 @@ def containing(spark: SparkSession, path: str, asked: DataFrame, docs: DataFrame
     near = rare.filter("term is not null").join(part(spark, path, "postings", POSTINGS).select("term", "id"), "term").join(texts, "id")
     every = rare.filter("term is null").join(texts, F.col("_text").contains(F.col("head")))
     return near.filter(F.col("_text").contains(F.col("head"))).select("ask", "id").union(every.select("ask", "id"))
+
+
+def asked_terms(spark: SparkSession, path: str, questions: DataFrame, most: int = 3) -> DataFrame:
+    """ask, term, documents: the rarest `most` terms of each question (ask, text); rare terms decide a score, and have short postings."""
+    worded = questions.select("ask", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    known = worded.join(part(spark, path, "terms", TERMS), "term")
+    order = F.row_number().over(W.Window.partitionBy("ask").orderBy("documents", "term"))
+    return known.withColumn("_r", order).filter(F.col("_r") <= most).drop("_r")
+
+
+def bm25_each(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """ask, id, score of the documents with any term of each question (ask, term, documents)."""
+    total = part(spark, path, "totals", TOTALS).first()
+    d, f = F.col("documents"), F.col("times")
+    idf = F.log(1 + (F.lit(float(total["documents"])) - d + 0.5) / (d + 0.5))
+    share = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(total["mean"] or 1.0)))
+    return asked.join(part(spark, path, "postings", POSTINGS), "term").groupBy("ask", "id").agg(F.round(F.sum(share), 6).alias("score"))

@@ -67,6 +67,24 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return docs.groupBy(norm.alias("_key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("members")).select(id_col, "members", F.length("_key").alias("width"))
 
 
+def first_of_each(channels: dict[str, DataFrame], tops: dict[str, int]) -> DataFrame:
+    """ask, id, score, source: the best of each channel (ask, id, score) for each question, an item of several channels from the first of them."""
+
+    def cut(name: str, rows: DataFrame, place: int) -> DataFrame:
+        order = F.row_number().over(W.Window.partitionBy("ask").orderBy(F.desc("score"), "id"))
+        return rows.withColumn("_r", order).filter(F.col("_r") <= tops[name]).select("ask", "id", "score", F.lit(name).alias("source"), F.lit(place).alias("_place"))
+
+    every = reduce(DataFrame.unionByName, [cut(name, rows, k) for k, (name, rows) in enumerate(channels.items())])
+    return every.groupBy("ask", "id").agg(F.min_by(F.struct("score", "source"), "_place").alias("_m")).select("ask", "id", "_m.score", "_m.source")
+
+
+def each_within_budget(ranked: DataFrame, budget: int, text_col: str = "text") -> DataFrame:
+    """ranked (ask, id, score, text) of each question up to the first item that overflows its budget, with rank and running tokens; a question has few items."""
+    order = W.Window.partitionBy("ask").orderBy(F.desc("score"), "id")
+    placed = ranked.withColumn("tokens", estimated_tokens(F.col(text_col))).withColumns({"rank": F.row_number().over(order), "running": F.sum("tokens").over(order.rowsBetween(W.Window.unboundedPreceding, 0))})
+    return placed.filter(F.col("running") <= budget)
+
+
 def head(ranked: DataFrame, top: int, key: str = "id") -> DataFrame:
     """The best `top` rows by score, with their rank."""
     best = ranked.orderBy(F.desc("score"), key).limit(top)

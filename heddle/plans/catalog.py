@@ -104,6 +104,47 @@ def hybrid_union_rank(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.within_budget(texts, BUDGET, top=TOP).select("id", "source", "score", "tokens", "rank", "running")
 
 
+_FUSED = f"""
+    WITH q AS (SELECT vec_id AS ask, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), docs AS (SELECT * FROM documents WHERE doc_id IS NOT NULL),
+    t AS (SELECT doc_id, {_TERMS} AS w FROM docs), size AS (SELECT doc_id, len(w) AS n FROM t), total AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
+    tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
+    asked AS (SELECT ask, term, d FROM (SELECT DISTINCT ask, unnest({_TERMS.replace("coalesce(text, '')", "substr(coalesce(text, ''), 1, 80)")}) AS term FROM q JOIN docs ON doc_id = ask) JOIN df USING (term)
+              QUALIFY row_number() OVER (PARTITION BY ask ORDER BY d, term) <= 3),
+    words AS (SELECT ask, doc_id AS id, round(round(sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) * 0.02, 6) AS score
+              FROM asked JOIN tf USING (term) JOIN size USING (doc_id), total WHERE doc_id <> ask GROUP BY ask, doc_id),
+    near AS (SELECT ask, vec_id AS id, {_COSINE.format(a="q", b="embedding")} AS sim, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS exact FROM q JOIN embeddings ON vec_id <> ask),
+    vector AS (SELECT ask, id, round(exact * 0.5, 6) AS score FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY ask ORDER BY sim DESC, id) <= 16)),
+    graph AS (SELECT ask, id, round((sim * 0.6 + CASE id - ask WHEN 3 THEN 0.9 ELSE 0.5 END) * 0.3, 6) AS score FROM near WHERE id - ask IN (3, 9)),
+    every AS (
+        SELECT * FROM (SELECT ask, id, score, 'vector' AS source, 0 AS place, row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) AS r FROM vector) WHERE r <= 16
+        UNION ALL SELECT * FROM (SELECT ask, id, score, 'graph', 1, row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) AS r FROM graph) WHERE r <= 8
+        UNION ALL SELECT * FROM (SELECT ask, id, score, 'keyword', 2, row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) AS r FROM words) WHERE r <= 8),
+    once AS (SELECT ask, id, arg_min(score, place) AS score, arg_min(source, place) AS source FROM every GROUP BY ask, id),
+    sized AS (SELECT ask, id, once.source AS source, score, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens FROM once JOIN docs ON doc_id = id),
+    sums AS (SELECT *, row_number() OVER w::INTEGER AS rank, (sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM sized WINDOW w AS (PARTITION BY ask ORDER BY score DESC, id))
+    SELECT ask, id, source, score, tokens, rank, running FROM sums WHERE running <= {BUDGET}""".replace("row_number() OVER w::INTEGER", "(row_number() OVER w)::INTEGER")
+
+
+@query(_FUSED)
+def fused_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """For every question (a vector in fifty, with the head of its document) the vector, graph and keyword channels by weight, up to a token budget.
+
+    The graph channel has what the question's unit follows or explains; keywords are its rarest terms, looked up in the term index.
+    """
+    v, docs = table(spark, d, "embeddings"), table(spark, d, "documents").filter("doc_id is not null")
+    asks = v.filter("vec_id % 50 = 0")
+    near = nearest(asks, v, 16, weight=0.5).select(F.col("query_id").alias("ask"), "id", "score")
+    to = F.explode(F.array(F.struct((F.col("vec_id") + 3).alias("id"), F.lit(0.9).alias("w")), F.struct((F.col("vec_id") + 9).alias("id"), F.lit(0.5).alias("w"))))
+    around = asks.select(F.col("vec_id").alias("ask"), F.col("embedding").alias("_q"), to.alias("r")).select("ask", "_q", "r.id", "r.w").join(v.withColumnRenamed("vec_id", "id"), "id")
+    related = around.select("ask", "id", F.round((F.round(cosine("_q", "embedding"), 6) * 0.6 + F.col("w")) * 0.3, 6).alias("score"))
+    path = _terms(spark, d)
+    questions = docs.join(asks.select(F.col("vec_id").alias("ask")), F.col("doc_id") == F.col("ask")).select("ask", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text"))
+    words = index.bm25_each(spark, path, index.asked_terms(spark, path, questions)).filter("id <> ask").withColumn("score", F.round(F.col("score") * 0.02, 6))
+    found = retrieval.first_of_each({"vector": near, "graph": related, "keyword": words}, {"vector": 16, "graph": 8, "keyword": 8})
+    texts = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    return retrieval.each_within_budget(texts, BUDGET).select("ask", "id", "source", "score", "tokens", "rank", "running")
+
+
 @query(r"""
     WITH k AS (SELECT doc_id, substring(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), ' '), 1, 200) AS key FROM documents)
     SELECT min(doc_id) AS doc_id, count(*) AS members, length(key)::INTEGER AS width FROM k GROUP BY key""")
