@@ -5,8 +5,9 @@ MinHash minima give candidates; of every minimum only the low bits stay, packed
 for chance agreement, estimate the similarity; candidates that may reach the threshold are confirmed on full sets.
 
 A document with fewer than five words has its whole sequence as one shingle; without words, or with null text, its set is
-empty and it is linked with nothing. Documents with equal sets are linked, repeated rows too. An empty table gives an empty
-result. Other columns are ignored.
+empty and it is linked with nothing. Documents with equal sets are linked, repeated rows too. Very long texts are taken whole.
+A similarity of exactly the threshold links; ties inside a component go to the smallest identifier. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

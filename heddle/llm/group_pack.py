@@ -14,8 +14,9 @@ and its rank within that length. Ranks are counted in buckets; no length gathers
 Ids are those of the file's tokenizer. For speed they are made from its vocabulary by an own split and tiktoken; a text that
 holds one of the file's added tokens, such as <|endoftext|>, is encoded by the tokenizer itself.
 
-Null text is empty: it is the end token alone. Repeated rows are packed as often as they occur. An empty table gives an
-empty result. Other columns are ignored.
+Null text is empty: it is the end token alone. Repeated rows are packed as often as they occur. Very long texts are encoded
+whole, and cut into pieces. Pieces of one length are alike to the plan; a hash of identifier and piece, then their order, decides which of them takes which place.
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from heddle.llm.common import bucketed_total, stored, text_or_empty
 
 CAPACITY, END = 1024, 2
 #: Groups of equal cardinality, and the share of the capacity up to which a length is small.
-GROUPS, SMALL = 96, 1 / 4
+GROUPS, SMALL = 1_024, 1 / 4
 #: Limits tried for what a used configuration may leave of the capacity; below 0 none is used.
 WASTE = (CAPACITY, 128, 64, 32, 16, 8, 4, 2, 1, 0, -1)
 #: Words whose ids a task keeps.
@@ -121,33 +122,61 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_pieces(path, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def _dearest(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of most worth by prices: how much, and how many of each size. No more than three sizes fit together."""
+    # The dearest size for each room, and the dearest two for the room that each size leaves.
+    one, which = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    order = np.lexsort((-price, sizes))
+    first = order[np.unique(sizes[order], return_index=True)[1]]
+    one[sizes[first]], which[sizes[first]] = np.maximum(price[first], 0), np.where(price[first] > 0, first, -1)
+    top = np.maximum.accumulate(one)
+    which = which[np.maximum.accumulate(np.where((one == top) & (one > 0), np.arange(capacity + 1), 0))]
+    room = capacity - sizes
+    gain = np.where(room[:, None] >= sizes[None, :], price[None, :] + top[np.maximum(room[:, None] - sizes[None, :], 0)], 0)
+    second = np.argmax(gain, axis=1)
+    pair = gain[np.arange(len(sizes)), second]
+    start = int(np.argmax(price + pair))
+    pattern = np.zeros(len(sizes))
+    left = capacity - sizes[start]
+    pattern[start] += 1
+    if pair[start] > 0:
+        pattern[second[start]] += 1
+        left -= sizes[second[start]]
+        if which[left] >= 0:
+            pattern[which[left]] += 1
+    return float(price @ pattern), pattern
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Fractional cutting-stock optimum by column generation: patterns (how many of each size) and their multiplicities."""
+    """Fractional cutting-stock optimum by column generation: patterns (how many of each size) and their multiplicities.
+
+    The basis is kept as its inverse, which a new pattern changes by one row, and is made anew now and then. Sizes are over a
+    quarter of the capacity.
+    """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    amount = demand / np.diag(basis)
-    for _ in range(60 * k):
-        price = np.linalg.solve(basis.T, np.ones(k))
-        worth, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(int(sizes.min()), capacity + 1):
-            fits = np.flatnonzero(sizes <= room)
-            gain = worth[room - sizes[fits]] + price[fits]
-            best = int(np.argmax(gain))
-            worth[room], pick[room] = (gain[best], fits[best]) if gain[best] > worth[room - 1] else (worth[room - 1], -1)
-        if worth[capacity] <= 1 + 1e-7:
+    inverse, amount = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
+    least, gained = amount.sum(), 0
+    for turn in range(1, 60 * k + 1):
+        worth, pattern = _dearest(sizes, inverse.sum(axis=0), capacity)
+        # A basis that has long gained nothing turns in a circle; it is as good a plan as any other of its worth.
+        if amount.sum() < least - 1e-6 * least:
+            least, gained = amount.sum(), turn
+        if worth <= 1 + 1e-7 or turn - gained > 2 * k + 50:
             break
-        pattern, room = np.zeros(k), capacity
-        while room > 0 and worth[room] > 0:
-            if pick[room] < 0:
-                room -= 1
-            else:
-                pattern[pick[room]] += 1
-                room -= sizes[pick[room]]
-        step = np.linalg.solve(basis, pattern)
+        used = np.flatnonzero(pattern)
+        step = (inverse[:, used] * pattern[used]).sum(axis=1)
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(np.argmin(ratio))
         amount = np.maximum(amount - ratio[leave] * step, 0)
         amount[leave], basis[:, leave] = ratio[leave], pattern
+        if turn % 200:
+            row = inverse[leave] / step[leave]
+            inverse -= np.outer(step, row)
+            inverse[leave] = row
+        else:
+            inverse = np.linalg.inv(basis)
+            amount = np.maximum(inverse @ demand, 0)
     return [(basis[:, j].astype(int), amount[j]) for j in range(k)]
 
 

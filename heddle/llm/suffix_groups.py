@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import discard, stored, text_or_empty
+from heddle.llm.common import ROW, discard, keyed, stored, text_or_empty
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from (a power of two under it).
 LEAST, GRAM = 200, 64
@@ -380,9 +380,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """id, th (the text's hash), a, b: ranges of starts of repeated windows, in bytes; ranges may overlap."""
     if least < GRAM:
         raise ValueError(f"least must be {GRAM} bytes or more")
-    keyed = _keyed(docs, id_col, text_col)
-    kind = keyed.schema["id"].dataType.simpleString()
-    anchors = stored(keyed.mapInArrow(_anchors(least), f"id {kind}, th long, h long, dig long, at long, upto long, span int, gram int, n long"), "suffix-anchors")
+    placed = _keyed(docs, id_col, text_col)
+    kind = placed.schema["id"].dataType.simpleString()
+    anchors = stored(placed.mapInArrow(_anchors(least), f"id {kind}, th long, h long, dig long, at long, upto long, span int, gram int, n long"), "suffix-anchors")
     per = stored(anchors.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "at", "span", "gram")).alias("rep")), "suffix-contexts")
     twice = stored(per.filter("n > 1").select("h", "dig"), "suffix-copies")
     several = per.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
@@ -390,7 +390,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     discard(per)
 
     def bodies(wanted: DataFrame) -> DataFrame:
-        return _with_lists(keyed, wanted, ["at", "span", "gram", "n", "h"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, n long, h long, left binary, right binary")
+        return _with_lists(placed, wanted, ["at", "span", "gram", "n", "h"], "inner").mapInArrow(_bodies(least), f"id {kind}, th long, at long, n long, h long, left binary, right binary")
 
     columns = ["id", "th", "at", "n", "h", "salt", "divided", "left", "right"]
     ready = bodies(need.filter(F.col("contexts") <= salted)).withColumn("salt", F.lit(0).cast("long")).withColumn("divided", F.lit(False)).select(columns)
@@ -438,27 +438,28 @@ def _cut(least: int):
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, salted: int = SALTED) -> DataFrame:
     """One row per document: id_col, n_bytes, spans (removed byte ranges), kept (the other bytes)."""
-    keyed = _keyed(docs, id_col, text_col)
-    kind = keyed.schema["id"].dataType.simpleString()
-    rows = _with_lists(keyed, repeated(docs, id_col, text_col, least, salted), ["a", "b"], "left")
+    placed = _keyed(docs, id_col, text_col)
+    kind = placed.schema["id"].dataType.simpleString()
+    rows = _with_lists(placed, repeated(docs, id_col, text_col, least, salted), ["a", "b"], "left")
     out = rows.mapInArrow(_cut(least), f"id {kind}, th long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """The documents without their repeated strings, in their own columns; identifiers must be unique.
+    """The documents without their repeated strings, in their own columns; each row is one of its own, also where identifiers are null or repeat.
 
     Bytes of a character that a removed string cuts in two are left out as well.
     """
-    left = cut(docs, id_col, text_col, least).filter(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "kept")
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = keyed(docs, "repeat-rows")
+    left = cut(rows, ROW, text_col, least).filter(F.size("spans") > 0).select(F.col(ROW).alias("_id"), "kept")
+    kind = rows.schema[ROW].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], ["_id", "_kept"])
 
     left = left.mapInArrow(texts, f"_id {kind}, _kept string")
-    return docs.join(left, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
+    return rows.join(left, F.col(ROW) == F.col("_id"), "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
 
 
 def digests(cut_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

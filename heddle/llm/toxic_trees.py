@@ -8,9 +8,10 @@ Learning takes a bounded sample of labelled rows (ROWS), in parts by the identif
 the lexicon, part 3 the trees, part 4 the calibration; part 0 is held out. The lexicon keeps TERMS terms at most. All rows
 are scored, from their whole text only.
 
-Null text is empty, and empty texts have a score like others. If a part has only one label, the calibrated score is the
-share of toxic rows. Null identifiers are never learned from; repeated labels count as rows. An empty table gives an
-empty result.
+Null text is empty, and empty texts have a score like others; very long texts count as a whole. Terms that mark toxic texts
+equally well are kept in the order of their letters, and equal texts have equal scores. If a part has only one label, the
+calibrated score is the share of toxic rows. Null identifiers are never learned from; repeated labels count as rows. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
