@@ -150,8 +150,8 @@ def _dearest(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Fractional cutting-stock optimum by column generation: patterns (how many of each size) and their multiplicities.
 
-    The basis is kept as its inverse, which a new pattern changes by one row, and is made anew now and then. Sizes are over a
-    quarter of the capacity.
+    The basis is kept as its inverse, which a new pattern changes by one row. Sizes are over a quarter of the capacity. What
+    rounding adds up to on the way costs worth, never a document: multiplicities are cut to what is left of each size.
     """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
@@ -166,17 +166,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
             break
         used = np.flatnonzero(pattern)
         step = (inverse[:, used] * pattern[used]).sum(axis=1)
-        ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
+        ratio = np.where(step > 1e-7, amount / np.where(step > 1e-7, step, 1), np.inf)
         leave = int(np.argmin(ratio))
         amount = np.maximum(amount - ratio[leave] * step, 0)
         amount[leave], basis[:, leave] = ratio[leave], pattern
-        if turn % 200:
-            row = inverse[leave] / step[leave]
-            inverse -= np.outer(step, row)
-            inverse[leave] = row
-        else:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
+        row = inverse[leave] / step[leave]
+        inverse -= step[:, None] * row
+        inverse[leave] = row
     return [(basis[:, j].astype(int), amount[j]) for j in range(k)]
 
 
