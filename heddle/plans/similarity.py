@@ -87,7 +87,7 @@ def consolidated_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH RECURSIVE {_PAIRS}, o AS (SELECT a, b, a * 37 % 100 >= b * 37 % 100 AS stays, row_number() OVER (ORDER BY a, b) AS k FROM p WHERE score >= {LEAST}),
+    WITH RECURSIVE {_PAIRS}, o AS MATERIALIZED (SELECT a, b, a * 37 % 100 >= b * 37 % 100 AS stays, row_number() OVER (ORDER BY a, b) AS k FROM p WHERE score >= {LEAST}),
     g(k, gone, keep, remove) AS (
         SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
         UNION ALL
@@ -101,7 +101,7 @@ def crystallizer_merges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH RECURSIVE {_PAIRS}, n AS (SELECT b AS id, list(a) AS earlier FROM p WHERE score >= {LEAST} GROUP BY b),
-    o AS (SELECT vec_id AS id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings LEFT JOIN n ON id = vec_id),
+    o AS MATERIALIZED (SELECT vec_id AS id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings LEFT JOIN n ON id = vec_id),
     g(k, id, taken, accepted) AS (
         SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], false
         UNION ALL SELECT o.k, o.id, CASE WHEN list_has_any(earlier, taken) THEN taken ELSE list_append(taken, o.id) END, NOT list_has_any(earlier, taken) FROM g JOIN o ON o.k = g.k + 1)
