@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 import re
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -100,7 +101,8 @@ def above_percentile(scored: DataFrame, share: float = 0.5) -> DataFrame:
     counts = scored.groupBy("id", "score").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.Window.partitionBy("id").orderBy("score"))
     whole = F.sum("_n").over(W.Window.partitionBy("id"))
-    place = F.least(F.floor(whole * F.lit(1 - share)), whole - 1)
+    # In decimals: 0.7 as a binary fraction is a little less, and 90 times it would fall short of 63.
+    place = F.least(F.floor(whole.cast("decimal(20,0)") * F.lit(1 - Decimal(str(share)))).cast("long"), whole - 1)
     limits = counts.withColumns({"_upto": upto, "_place": place}).filter("_upto > _place").groupBy("id").agg(F.min("score").alias("_limit"))
     rows = scored.join(limits, "id").withColumn("_in", F.col("score") >= F.col("_limit"))
     kept = F.array_sort(F.collect_list(F.when(F.col("_in"), F.struct("at", "sentence"))))

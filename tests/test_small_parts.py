@@ -37,6 +37,13 @@ def test_upper_percentile(spark, share):
         assert got[u] == (len(own), len(kept), " ".join(kept))
 
 
+def test_upper_percentile_at_whole_places(spark):
+    """Seven tenths of 90 sentences are 63, whatever a binary fraction makes of it."""
+    rows = [(n, i, f"s{i}", i) for n in (10, 90, 170, 330) for i in range(n)]
+    got = {r["id"]: r["kept"] for r in recall.above_percentile(spark.createDataFrame(rows, "id int, at int, sentence string, score int"), 0.3).collect()}
+    assert got == {n: n - n * 7 // 10 for n in (10, 90, 170, 330)}
+
+
 def test_routes(spark):
     rows = spark.createDataFrame([(0.4, 1.0), (0.6, 2.0), (None, 3.0), (0.5, None)], "a double, b double")
     route = lambda r: [x[0] for x in rows.select(recall.routed({"a": F.col("a"), "b": F.col("b")}, r)).collect()]
