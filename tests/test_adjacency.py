@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from heddle.operators import graph
+from heddle.plans import catalog
 from heddle.sources import adjacency
 from heddle.sources.adjacency import ENDS
 from heddle.sources.kept import part
@@ -45,3 +46,20 @@ def test_no_nested_loops_over_the_edges(spark, tmp_path):
     ends = store(spark, tmp_path / "g")
     plan = graph.within(ends, "a", 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_all_vertices_within_two_hops(spark, tmp_path):
+    """A nation of 700 customers has no limit on what is within two hops of it."""
+    shapes = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(7, "N", 0), (8, "M", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int", [(k, f"c{k}", 7) for k in range(700)] + [(900, "far", 8)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(1, "s", 7), (2, "t", 8)]),
+        "part": ("p_partkey long, p_name string", [(1, "p"), (2, "q")]),
+        "lineitem": ("l_partkey long, l_suppkey long", [(1, 1), (2, 2), (1, 1)]),
+    }
+    for name, (shape, rows) in shapes.items():
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["id"]: r["hops"] for r in catalog.QUERIES["graph_subgraph_khop"](spark, str(tmp_path)).collect()}
+    want = {"Nation:7": 0, "Region:0": 1, "Supplier:1": 1, "Nation:8": 2, "Part:1": 2} | {f"Customer:{k}": 1 for k in range(700)}
+    assert got == want
