@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from heddle.functions.text import together
 from heddle.functions.vectors import cosine, nearest
 from heddle.sources.scratch import discard, stored
 
@@ -112,7 +113,7 @@ def segment_labels(units: DataFrame, key: str, order: str, top: int = 2) -> Data
 def term_index(docs: DataFrame, top: int = 10, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:
     """id_col, term, n, rank: the most frequent words (a-z, 0-9) of each document of `least` characters or more, ties in order of their first place."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^a-z0-9 \t\r\n\f]", ""), r"[ \t\r\n\f]+")
-    placed = docs.select(id_col, F.posexplode(words).alias("place", "term")).filter(F.length("term") >= least)
+    placed = together(docs.select(id_col, text_col), id_col).select(id_col, F.posexplode(words).alias("place", "term")).filter(F.length("term") >= least)
     counts = placed.groupBy(id_col, "term").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     rank = F.row_number().over(W.Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top).drop("first")
