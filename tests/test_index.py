@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import index, retrieval
-from heddle.sources.kept import kept
+from heddle.operators import index, memory, retrieval
+from heddle.sources.kept import kept, part
 
 
 def rows_of(df):
@@ -37,6 +37,22 @@ def test_postings_are_in_order_and_filtered_at_the_scan(spark, tmp_path):
     assert len(files) >= 4 and all(x["b"] <= y["a"] for x, y in zip(files, files[1:], strict=False))
 
 
+def test_words_are_counted_where_their_text_lies(spark):
+    """A text moves once; its words and their counts don't, and repeated or null identifiers change no count."""
+    rows = [(1, "the the und"), (2, None), (3, "que " * 400), (1, "the end"), (None, "the lost one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for made in (index.counted(docs), memory.term_index(docs)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {tuple(r) for r in index.counted(docs).filter("term is not null").collect()}
+    assert got == {("the", 1, 2, 3), ("und", 1, 1, 3), ("que", 3, 400, 400), ("the", 1, 1, 2), ("end", 1, 1, 2)}
+
+
+def test_totals_count_documents_without_identifiers_and_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the the und"), (2, None), (None, "the lost one"), (None, "")], "doc_id long, text string")
+    index.build(docs, str(tmp_path / "i"))
+    assert tuple(part(spark, str(tmp_path / "i"), "totals", index.TOTALS).first()) == (4, 1.5)
+
+
 def test_a_kept_dataset_follows_its_table(spark, tmp_path):
     built = []
 
