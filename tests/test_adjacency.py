@@ -63,3 +63,20 @@ def test_all_vertices_within_two_hops(spark, tmp_path):
     got = {r["id"]: r["hops"] for r in catalog.QUERIES["graph_subgraph_khop"](spark, str(tmp_path)).collect()}
     want = {"Nation:7": 0, "Region:0": 1, "Supplier:1": 1, "Nation:8": 2, "Part:1": 2} | {f"Customer:{k}": 1 for k in range(700)}
     assert got == want
+
+
+def test_edges_stay_where_they_lie(spark, tmp_path):
+    """The store has no names to move, and a small set of vertices goes to the edges, whatever Spark estimates."""
+    ends = store(spark, tmp_path / "g")
+    assert ends.columns == ["id", "other", "type", "direction"]
+    edges = ends.filter("direction = 'out'").select(F.col("id").alias("src"), F.col("other").alias("dst"), "type")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (graph.induced(edges, graph.within(ends, "a", 1)), graph.subgraph(ends, "a", 2, 4)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        got = {tuple(r) for r in graph.induced(edges, graph.within(ends, "a", 1)).select("src", "dst", "type").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {("a", "b", "X"), ("a", "b", "Y"), ("e", "a", "X")}
